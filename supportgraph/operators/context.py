@@ -1,7 +1,7 @@
 """The comments that led up to a solution.
 
 For each solution the latest n comments of its ticket that are strictly older. No solution is
-paired with all earlier comments: comments are put on a time line and each instant looks back n
+paired with all earlier comments: comments are put on a time line and each one looks back n
 places, so the work grows with the number of comments even when one ticket holds a third of them.
 """
 
@@ -10,142 +10,170 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A ticket's time line is cut at the hours. Comment times have a resolution of seconds and at most
-# n comments per instant are kept, which bounds a piece by 3,600 n rows.
+from supportgraph.workspace import materialize
+
+# Tickets with more comments than this are worked on in pieces of their time line.
+LARGE_TICKET = 100_000
+# A piece is one hour. Comment times have a resolution of seconds and at most n comments per
+# instant are kept, which bounds a piece by 3,600 n rows.
 PIECE = "hour"
 
 
-def _before_first(
+def _dated(entries: Column | str) -> Column:
+    return F.filter(entries, lambda e: e["creationDate"].isNotNull())
+
+
+def _whole_tickets(comments: DataFrame, entry: Column, limit: int) -> DataFrame:
+    """Solutions with ``earlier``, for tickets that fit in a task: one shuffle, one sort."""
+    # Newest last, and the lowest id last among equal times, so that going backwards gives the
+    # order of the result. The first row of an instant looks back on older instants only.
+    latest_last = [F.col("creationDate"), F.desc("commentId")]
+    line = Window.partitionBy("ticketId").orderBy(*latest_last)
+    instant = Window.partitionBy("ticketId", "creationDate").orderBy(F.desc("commentId"))
+    looked_back = F.collect_list(entry).over(line.rowsBetween(-limit, -1))
+    return (
+        comments.repartition("ticketId")
+        .withColumn("__near", looked_back)
+        .withColumn("__near", F.first("__near").over(instant))
+        .where("isSolution")
+        .withColumn("earlier", F.reverse(_dated("__near")))
+        .drop("__near")
+    )
+
+
+def _first_look_back(
     rows: DataFrame, group: list[str], step: str, order: list[Column], limit: int, out: str
 ) -> DataFrame:
-    """For each (group, step): the last ``limit`` rows of the group from earlier steps, as
+    """For each (group, step): the last ``limit`` entries of the group from earlier steps, as
     ``out``, in the order given. One sort per group and no list longer than ``limit``."""
     line = Window.partitionBy(*group).orderBy(F.col(step), *order)
-    entry = F.struct("creationDate", "commentId")
     return (
-        rows.withColumn(out, F.collect_list(entry).over(line.rowsBetween(-limit, -1)))
+        rows.withColumn(out, F.collect_list("entry").over(line.rowsBetween(-limit, -1)))
         .withColumn("__previous", F.lag(step).over(line))
         .where(F.col("__previous").isNull() | (F.col("__previous") != F.col(step)))
-        .drop("__previous")
+        .select(*group, *([] if step in group else [step]), out)
     )
 
 
-def earlier_comments(comments: DataFrame, limit: int) -> DataFrame:
-    """For each instant of each ticket: ``earlier``, its latest ``limit`` comments strictly
-    before, newest first, equal times by comment id.
-
-    Reads ``ticketId, commentId, creationDate``; comments without a time are before nothing.
-    """
-    dated = comments.where(F.col("creationDate").isNotNull()).select(
-        "ticketId", "commentId", "creationDate"
-    )
+def _ticket_pieces(comments: DataFrame, entry: Column, limit: int) -> DataFrame:
+    """Solutions with ``earlier``, for tickets of any size: inside each hour, then across hours."""
     # No look-back reaches past the first n comments of one instant. Spark applies this limit in
     # the map tasks, before rows of one instant come together.
     instant = Window.partitionBy("ticketId", "piece", "creationDate").orderBy("commentId")
     rows = (
-        dated.withColumn("piece", F.date_trunc(PIECE, "creationDate"))
+        comments.where(F.col("creationDate").isNotNull())
+        .select(
+            "ticketId",
+            "commentId",
+            "creationDate",
+            F.date_trunc(PIECE, "creationDate").alias("piece"),
+            entry.alias("entry"),
+        )
         .withColumn("place", F.row_number().over(instant))
         .where(F.col("place") <= limit)
     )
-    oldest_first = [F.col("creationDate"), F.desc("place")]
-    near = _before_first(
+    near = _first_look_back(
         rows, ["ticketId", "piece"], "creationDate", [F.desc("place")], limit, "near"
     )
-    # What a piece hands on to later pieces: its last n comments.
+    # What an hour hands on to later hours: its last n comments.
     newest = Window.partitionBy("ticketId", "piece").orderBy(F.desc("creationDate"), "place")
     tails = rows.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= limit)
-    far = _before_first(tails, ["ticketId"], "piece", oldest_first, limit, "far")
-    return near.join(
-        far.select("ticketId", "piece", "far"), ["ticketId", "piece"], "left"
-    ).select(
-        "ticketId",
-        "creationDate",
-        F.slice(F.concat(F.reverse("near"), F.reverse("far")), 1, limit).alias("earlier"),
+    far = _first_look_back(
+        tails, ["ticketId"], "piece", [F.col("creationDate"), F.desc("place")], limit, "far"
+    )
+    both = F.concat(F.reverse("near"), F.reverse("far"))
+    lines = near.join(far, ["ticketId", "piece"]).select(
+        "ticketId", "creationDate", F.slice(both, 1, limit).alias("earlier")
+    )
+    # Solutions without a time have nothing before them.
+    none = F.array().cast(lines.schema["earlier"].dataType)
+    return (
+        comments.where("isSolution")
+        .join(lines, ["ticketId", "creationDate"], "left")
+        .withColumn("earlier", F.coalesce("earlier", none))
     )
 
 
-def context_rows(comments: DataFrame, limit: int) -> DataFrame:
+def solutions_with_earlier(
+    comments: DataFrame, limit: int, carry: list[str], large_ticket: int = LARGE_TICKET
+) -> DataFrame:
+    """The solutions among ``comments``, with ``earlier``: the latest ``limit`` comments of the
+    ticket strictly before, newest first, equal times by comment id, as structs of
+    ``creationDate, commentId`` and the columns of ``carry``.
+
+    Comments without a time are before nothing and have nothing before them.
+    """
+    comments = comments.where(F.col("ticketId").isNotNull()).select(
+        "ticketId", "commentId", "creationDate", "isSolution", *carry
+    )
+    entry = F.struct("creationDate", "commentId", *carry)
+    if limit == 0:
+        empty = F.filter(F.array(entry), lambda _: F.lit(False))
+        return comments.where("isSolution").withColumn("earlier", empty)
+    # Counts are combined before the shuffle. At most rows / large_ticket tickets are large.
+    large = materialize(
+        comments.groupBy("ticketId")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") > large_ticket)
+        .select("ticketId"),
+        "large-tickets",
+    )
+    if large.isEmpty():
+        return _whole_tickets(comments, entry, limit)
+    common = comments.join(large, "ticketId", "left_anti")
+    hot = comments.join(large, "ticketId", "left_semi")
+    return _whole_tickets(common, entry, limit).unionByName(_ticket_pieces(hot, entry, limit))
+
+
+def context_rows(comments: DataFrame, limit: int, large_ticket: int = LARGE_TICKET) -> DataFrame:
     """One row per solution and earlier comment: ``ticketId, solutionId, solutionDate, position,
     commentId, creationDate``. Position 1 is the latest."""
-    solutions = comments.where("isSolution").select(
-        "ticketId", F.col("commentId").alias("solutionId"), "creationDate"
-    )
-    lines = earlier_comments(comments, limit).where(F.size("earlier") > 0)
     return (
-        solutions.join(lines, ["ticketId", "creationDate"])
-        .withColumnRenamed("creationDate", "solutionDate")
-        .select("ticketId", "solutionId", "solutionDate", F.posexplode("earlier"))
+        solutions_with_earlier(comments, limit, [], large_ticket)
+        .select(
+            "ticketId",
+            F.col("commentId").alias("solutionId"),
+            F.col("creationDate").alias("solutionDate"),
+            F.posexplode("earlier").alias("pos", "found"),
+        )
         .select(
             "ticketId",
             "solutionId",
             "solutionDate",
             (F.col("pos") + 1).alias("position"),
-            "col.commentId",
-            "col.creationDate",
+            "found.commentId",
+            "found.creationDate",
         )
     )
 
 
+def with_author_role(comments: DataFrame, users: DataFrame) -> DataFrame:
+    """Add ``known`` and ``role`` of the author. Comments by unknown authors stay."""
+    roles = users.select(
+        F.col("userId").alias("authorUserId"), "role", F.lit(True).alias("known")
+    )
+    return comments.join(roles, "authorUserId", "left").withColumn(
+        "known", F.coalesce("known", F.lit(False))
+    )
+
+
 def solution_cards(
-    comments: DataFrame, users: DataFrame, limit: int, order: str = "newest"
+    comments: DataFrame, limit: int, order: str = "newest", large_ticket: int = LARGE_TICKET
 ) -> DataFrame:
-    """Every solution with a known author, its author's role and its context: ``ticketId,
-    solutionId, solutionDate, solutionContent, solutionRole, context``.
+    """Every solution with a known author and its context: ``ticketId, solutionId, solutionDate,
+    solutionContent, solutionRole, context``, from comments with the role of their author.
 
-    ``context`` is an array of ``(position, commentId, content, creationDate, known, role)``, at
-    most ``limit`` long and empty when nothing came before. Cards do not depend on a question, so
-    a ticket hit by many questions is worked out once.
+    ``context`` is an array of ``(creationDate, commentId, content, known, role)``, at most
+    ``limit`` long and empty when nothing came before. Cards do not depend on a question, so a
+    ticket hit by many questions is worked out once.
     """
-    roles = users.select(F.col("userId").alias("authorUserId"), "role")
-    solutions = (
-        comments.where("isSolution")
-        .join(roles, "authorUserId", "inner")
-        .select(
-            "ticketId",
-            F.col("commentId").alias("solutionId"),
-            F.col("creationDate").alias("solutionDate"),
-            F.col("content").alias("solutionContent"),
-            F.col("role").alias("solutionRole"),
-        )
-    )
-    entry = "struct<position:int,commentId:string,content:string,creationDate:timestamp," \
-        "known:boolean,role:string>"
-    if limit == 0:
-        return solutions.withColumn("context", F.array().cast(f"array<{entry}>"))
-
-    instants = comments.where("isSolution").select("ticketId", "creationDate").distinct()
-    lines = (
-        earlier_comments(comments, limit)
-        .where(F.size("earlier") > 0)
-        .join(instants, ["ticketId", "creationDate"], "left_semi")
-        .withColumnRenamed("creationDate", "solutionDate")
-    )
-    wanted = lines.select("ticketId", "solutionDate", F.posexplode("earlier")).select(
-        "ticketId", "solutionDate", (F.col("pos") + 1).alias("position"), "col.commentId"
-    )
-    texts = comments.select("ticketId", "commentId", "content", "creationDate", "authorUserId")
-    known_roles = roles.withColumn("known", F.lit(True))
-    context = (
-        wanted.join(texts, ["ticketId", "commentId"])
-        .join(known_roles, "authorUserId", "left")
-        .groupBy("ticketId", "solutionDate")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        "position",
-                        F.col("commentId").cast("string").alias("commentId"),
-                        "content",
-                        F.col("creationDate").cast("timestamp").alias("creationDate"),
-                        F.coalesce("known", F.lit(False)).alias("known"),
-                        "role",
-                    )
-                )
-            ).alias("context")
-        )
-    )
-    if order == "oldest":
-        context = context.withColumn("context", F.reverse("context"))
-    return solutions.join(context, ["ticketId", "solutionDate"], "left").withColumn(
-        "context", F.coalesce("context", F.array().cast(f"array<{entry}>"))
+    earlier = F.col("earlier") if order == "newest" else F.reverse("earlier")
+    cards = solutions_with_earlier(comments, limit, ["content", "known", "role"], large_ticket)
+    return cards.where("known").select(
+        "ticketId",
+        F.col("commentId").alias("solutionId"),
+        F.col("creationDate").alias("solutionDate"),
+        F.col("content").alias("solutionContent"),
+        F.col("role").alias("solutionRole"),
+        earlier.alias("context"),
     )

@@ -15,7 +15,7 @@ from supportgraph.functions.text import (
     result_metadata,
     result_text,
 )
-from supportgraph.operators.context import solution_cards
+from supportgraph.operators.context import solution_cards, with_author_role
 from supportgraph.operators.ranking import rank_in_group
 from supportgraph.operators.search import exact_topk
 from supportgraph.operators.triage import triage
@@ -65,23 +65,23 @@ def answer_hits(hits: DataFrame, graph: SupportGraph, options: RetrievalOptions)
 
     Open tickets, tickets without a solution and solutions without a known author drop out; a
     ticket with several solutions gives several rows. The large tables are joined with the few
-    hits first, and the comments of those tickets are written once for the four reads that follow.
+    hits first, and the comments of those tickets are written once for the reads that follow.
     """
-    wanted = hits.select("ticketId")
-    comments = materialize(
-        graph.comment.join(wanted, "ticketId", "left_semi").select(
-            "ticketId", "commentId", "content", "creationDate", "isSolution", "authorUserId"
-        ),
-        "hit-comments",
-    )
-    cards = solution_cards(comments, graph.user, options.context_limit, options.context_order)
     columns = ["ticketId", "title", "description", "resolutionSummary"]
-    carried = [c for c in hits.columns if c not in ("ticketId", "score", "rank")]
     if options.same_category:
         columns.append("categoryId")
-    found = hits.join(closed_tickets(graph).select(*columns), "ticketId")
+    wanted = hits.select("ticketId")
+    tickets = closed_tickets(graph).join(wanted, "ticketId", "left_semi").select(*columns)
+    found = hits.join(tickets, "ticketId")
     if options.same_category:
         found = found.where(F.col("category").isNull() | (F.col("category") == F.col("categoryId")))
+    found = materialize(found, "closed-hits")
+    comments = graph.comment.join(found.select("ticketId"), "ticketId", "left_semi").select(
+        "ticketId", "commentId", "content", "creationDate", "isSolution", "authorUserId"
+    )
+    comments = materialize(with_author_role(comments, graph.user), "hit-comments")
+    cards = solution_cards(comments, options.context_limit, options.context_order)
+    carried = [c for c in hits.columns if c not in ("ticketId", "score", "rank")]
     return found.join(cards, "ticketId").select(
         *carried,
         "ticketId",

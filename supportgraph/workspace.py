@@ -43,3 +43,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread_small(table: DataFrame, key: str) -> DataFrame:
+    """Deal the rows of a stored table out to all cores when its scan has fewer parts than that.
+
+    Meant for costly work per row on a table of few files, with a key of mostly different values.
+    A table that fills the cluster by itself is returned as it is: nothing large is shuffled.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores, key) if table.rdd.getNumPartitions() < cores else table

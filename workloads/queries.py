@@ -11,7 +11,7 @@ from supportgraph.functions.embedding import bucket, hashed_embedding, tokens
 from supportgraph.functions.parsing import parse_bool, parse_datetime, parse_int
 from supportgraph.functions.text import iso_datetime, join_text, stamp
 from supportgraph.operators import messages as talk
-from supportgraph.operators.context import context_rows, solution_cards
+from supportgraph.operators.context import context_rows, solution_cards, with_author_role
 from supportgraph.operators.edges import (
     attach_vectors,
     build_edges,
@@ -144,7 +144,8 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.use_utc(spark)
-    cards = solution_cards(t.comments(spark, sf_dir), t.users(spark, sf_dir), 3)
+    comments = with_author_role(t.comments(spark, sf_dir), t.users(spark, sf_dir))
+    cards = solution_cards(comments, 3)
     context = F.col("context")
     return cards.select(
         "ticketId",
