@@ -95,5 +95,5 @@ def triage_with_model(
                 records, columns=["is_related", "category", "title", "description"]
             )
 
-    analyzed = questions.withColumn("__analysis", analyze("question"))
+    analyzed = questions.withColumn("__analysis", analyze.asNondeterministic()("question"))
     return validate_analysis(analyzed.select(*questions.columns, "__analysis.*"))

@@ -468,8 +468,7 @@ def vectors_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = t.table(spark, sf_dir, "documents")
-    words = documents.select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
+    words = t.documents(spark, sf_dir).select("doc_id", F.explode(tokens(F.col("text"))).alias("token"))
     return words.groupBy("doc_id", bucket(F.col("token"), t.DIM).cast("bigint").alias("bucket")).agg(
         F.count("*").alias("n")
     )
@@ -477,8 +476,7 @@ def embed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = t.table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = hashed_embedding(documents, F.col("text"), t.DIM)
+    vectors = hashed_embedding(t.documents(spark, sf_dir), F.col("text"), t.DIM)
     return (
         vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
         .where("weight > 0")

@@ -11,12 +11,14 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from supportgraph.functions.embedding import hashed_embedding
 from supportgraph.functions.parsing import parse_int
+from supportgraph.operators.edges import attach_vectors
 from supportgraph.options import RetrievalOptions
 from supportgraph.schemas import SupportGraph
-from supportgraph.workspace import materialize
+from supportgraph.workspace import materialize, spread_small
 
 DIM = 64
 # Stand-in vectors are close to random, so scores lie around 0.5.
@@ -26,8 +28,21 @@ TEXT_OPTIONS = OPTIONS.updated(min_score=0.9)
 RELATED_FROM = 0.3
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table; its schema is read from the file once per process."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Key and text of every document, dealt out to all cores for the costly text work."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spread_small(rows, "doc_id")
 
 
 def use_utc(spark: SparkSession) -> None:
@@ -81,15 +96,11 @@ def category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders with document texts as descriptions and, where there is one, a vector."""
+def tickets(
+    spark: SparkSession, sf_dir: str, texts: bool = False, vectors: bool = False
+) -> DataFrame:
+    """Orders, if asked with document texts as descriptions and with a vector where there is one."""
     orders = table(spark, sf_dir, "orders")
-    texts = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ticketId"), F.col("text").alias("description")
-    )
-    vectors = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("ticketId"), F.col("embedding").cast("array<double>")
-    )
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     rows = orders.select(
         key.alias("ticketId"),
@@ -113,12 +124,20 @@ def tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderpriority").alias("priorityId"),
         F.concat(F.lit("Brand#"), (key % 28).cast("string")).alias("categoryId"),
     )
-    return rows.join(texts, "ticketId", "left").join(vectors, "ticketId", "left")
+    if texts:
+        found = table(spark, sf_dir, "documents").select(
+            F.col("doc_id").alias("ticketId"), F.col("text").alias("description")
+        )
+        rows = rows.join(found, "ticketId", "left")
+    if vectors:
+        found = vector_questions(spark, sf_dir).withColumnRenamed("query_id", "ticketId")
+        rows = rows.join(found, "ticketId", "left")
+    return rows
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    line = table(spark, sf_dir, "lineitem")
+    line = spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey")
     return line.select(
         F.concat_ws("-", *(F.col(c).cast("string") for c in parts)).alias("commentId"),
         F.concat_ws(
@@ -162,26 +181,27 @@ def graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
     )
 
 
-def search_graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
-    """The tables that retrieval reads, with the stored vectors."""
+def _retrieval_graph(spark: SparkSession, sf_dir: str, vectors: bool) -> SupportGraph:
     use_utc(spark)
     return SupportGraph(
         user=users(spark, sf_dir),
         status=materialize(status(spark, sf_dir), "status"),
-        ticket=tickets(spark, sf_dir),
+        ticket=tickets(spark, sf_dir, texts=True, vectors=vectors),
         comment=comments(spark, sf_dir),
     )
 
 
+def search_graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
+    """The tables that retrieval reads, with the stored vectors."""
+    return _retrieval_graph(spark, sf_dir, vectors=True)
+
+
 def text_graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
     """Like ``search_graph``, with the default vectors of the document texts on the tickets."""
-    found = search_graph(spark, sf_dir)
-    documents = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ticketId"), "text"
-    )
-    vectors = hashed_embedding(documents, F.col("text"), DIM).select("ticketId", "embedding")
-    bare = found.ticket.drop("embedding")
-    return replace(found, ticket=bare.join(vectors, "ticketId", "left"))
+    texts = documents(spark, sf_dir).withColumnRenamed("doc_id", "ticketId")
+    vectors = hashed_embedding(texts, F.col("text"), DIM).select("ticketId", "embedding")
+    found = _retrieval_graph(spark, sf_dir, vectors=False)
+    return replace(found, ticket=attach_vectors(found.ticket, vectors))
 
 
 def vector_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
