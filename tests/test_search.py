@@ -1,0 +1,157 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from supportgraph.operators.search import (
+    approx_topk,
+    build_index,
+    exact_topk,
+    fit_hasher,
+    recall,
+)
+
+DIM = 6
+
+
+def vectors(spark, name, rows):
+    return spark.createDataFrame(
+        [(i, [float(x) for x in v]) for i, v in rows], f"{name} string, embedding array<float>"
+    )
+
+
+def random_rows(prefix, n, seed, copies=0):
+    """n vectors, and ``copies`` more of the first one."""
+    values = np.random.default_rng(seed).normal(size=(n, DIM)).astype(np.float32)
+    values = np.concatenate([values, np.repeat(values[:1], copies, axis=0)])
+    return [(f"{prefix}{i:03d}", v) for i, v in enumerate(values)]
+
+
+def brute_force(queries, tickets, k, min_score=None, normalized=True):
+    hits = set()
+    for q, a in queries:
+        scored = []
+        for t, b in tickets:
+            a64, b64 = np.asarray(a, float), np.asarray(b, float)
+            cosine = a64 @ b64 / np.linalg.norm(a64) / np.linalg.norm(b64)
+            scored.append((-round((1 + cosine) / 2 if normalized else cosine, 9), t))
+        best = sorted(scored)[:k]
+        hits |= {
+            (q, t, place, round(-s, 6))
+            for place, (s, t) in enumerate(best, 1)
+            if min_score is None or -s >= min_score
+        }
+    return hits
+
+
+def as_set(df):
+    return {(r.query_id, r.ticketId, r["rank"], round(r.score, 6)) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block", [64 << 20, 8 * DIM * 7], ids=["broadcast", "shuffled"])
+@pytest.mark.parametrize(
+    "k,min_score,mode",
+    [(5, None, "normalized"), (1, 0.7, "normalized"), (3, 0.2, "raw"), (200, None, "raw"),
+     (0, None, "raw")],
+)
+def test_exact_equals_brute_force(spark, block, k, min_score, mode):
+    queries, tickets = random_rows("q", 20, 1), random_rows("t", 60, 2, copies=30)
+    found = exact_topk(
+        vectors(spark, "query_id", queries).repartition(3),
+        vectors(spark, "ticketId", tickets).repartition(5),
+        k, DIM, min_score, mode, broadcast_bytes=block, ticket_block_bytes=block,
+    )
+    assert as_set(found) == brute_force(queries, tickets, k, min_score, mode == "normalized")
+
+
+def test_equal_scores_go_by_id_whatever_the_blocks(spark):
+    copies = [(f"t{i:03d}", [1, 2, 3, 4, 5, 6]) for i in range(50)]
+    queries = [("q", [1, 0, 0, 0, 0, 0])]
+    for parts in (1, 7):
+        found = exact_topk(
+            vectors(spark, "query_id", queries),
+            vectors(spark, "ticketId", copies).repartition(parts),
+            3,
+            DIM,
+        )
+        assert sorted(r.ticketId for r in found.collect()) == ["t000", "t001", "t002"]
+
+
+def test_unusable_vectors_are_left_out(spark):
+    tickets = spark.createDataFrame(
+        [("ok", [1.0, 0.0]), ("short", [1.0]), ("zero", [0.0, 0.0]), ("none", None),
+         ("hole", [1.0, None]), (None, [1.0, 1.0])],
+        "ticketId string, embedding array<double>",
+    )
+    queries = spark.createDataFrame(
+        [("q", [2.0, 0.0]), ("zero", [0.0, 0.0])], "query_id string, embedding array<double>"
+    )
+    found = exact_topk(queries, tickets, 9, 2).collect()
+    assert [(r.query_id, r.ticketId, r.score) for r in found] == [("q", "ok", 1.0)]
+
+
+def test_long_ids(spark):
+    tickets = vectors(spark, "ticketId", random_rows("", 9, 3)).withColumn(
+        "ticketId", F.col("ticketId").cast("bigint")
+    )
+    queries = tickets.withColumnRenamed("ticketId", "query_id")
+    found = exact_topk(queries, tickets, 1, DIM).collect()
+    assert {(r.query_id, r.ticketId) for r in found} == {(i, i) for i in range(9)}
+
+
+def test_threshold_never_adds_rows(spark):
+    queries = vectors(spark, "query_id", random_rows("q", 10, 4))
+    tickets = vectors(spark, "ticketId", random_rows("t", 40, 5))
+    counts = [
+        exact_topk(queries, tickets, 5, DIM, floor).count() for floor in (0.0, 0.6, 0.8, 0.95, 1.1)
+    ]
+    assert counts == sorted(counts, reverse=True) and counts[0] == 50 and counts[-1] == 0
+
+
+@pytest.fixture(scope="module")
+def indexed(spark):
+    queries, tickets = random_rows("q", 15, 6, copies=10), random_rows("t", 80, 7, copies=60)
+    left, right = vectors(spark, "query_id", queries), vectors(spark, "ticketId", tickets)
+    hasher = fit_hasher(right, bands=4, rows_per_band=1, bucket_length=1.0)
+    return (
+        left,
+        right,
+        build_index(left, hasher, DIM, key="query_id", rows_per_band=1).cache(),
+        build_index(right, hasher, DIM, rows_per_band=1).cache(),
+    )
+
+
+def test_index(indexed):
+    _, _, _, index = indexed
+    rows = index.collect()
+    assert len(rows) == 140 and all(len(r.bands) == 4 for r in rows)
+    assert all(np.linalg.norm(r.embedding) == pytest.approx(1) for r in rows)
+    copies = {tuple(r.bands) for r in rows if r.ticketId == "t000" or r.ticketId >= "t080"}
+    assert len(copies) == 1
+
+
+def test_approximate_search(indexed):
+    left, right, queries, index = indexed
+    exact = exact_topk(left, right, 5, DIM)
+    whole = approx_topk(queries, index, 5, DIM)
+    # Cutting the large buckets must not change anything.
+    assert as_set(approx_topk(queries, index, 5, DIM, block_rows=8)) == as_set(whole)
+    truth = {(r.query_id, r.ticketId): r.score for r in exact_topk(left, right, 140, DIM).collect()}
+    for r in whole.collect():
+        assert truth[r.query_id, r.ticketId] == pytest.approx(r.score)
+    rates = recall(whole, exact).collect()
+    assert len(rates) == 25
+    assert sum(r.found for r in rates) / sum(r.expected for r in rates) > 0.8
+
+
+def test_approximate_search_is_exact_inside_its_buckets(indexed):
+    _, _, queries, index = indexed
+    bands = {r.ticketId: set(r.bands) for r in index.collect()}
+    units = {r.ticketId: np.array(r.embedding) for r in index.collect()}
+    expected = set()
+    for q in queries.collect():
+        near = [t for t, b in bands.items() if b & set(q.bands)]
+        scored = sorted((-round((1 + units[t] @ np.array(q.embedding)) / 2, 9), t) for t in near)
+        expected |= {
+            (q.query_id, t, place, round(-s, 6)) for place, (s, t) in enumerate(scored[:4], 1)
+        }
+    assert as_set(approx_topk(queries, index, 4, DIM, block_rows=16)) == expected

@@ -136,7 +136,7 @@ def topk_raw_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.use_utc(spark)
-    return context_rows(t.comments(spark, sf_dir), 3).select(
+    return context_rows(t.comments(spark, sf_dir, spread=True), 3).select(
         "ticketId", "solutionId", F.col("position").cast("bigint").alias("position"), "commentId"
     )
 
@@ -144,7 +144,9 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def context_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.use_utc(spark)
-    comments = with_author_role(t.comments(spark, sf_dir), t.users(spark, sf_dir))
+    comments = with_author_role(
+        t.comments(spark, sf_dir, spread=True), t.users(spark, sf_dir)
+    )
     cards = solution_cards(comments, 3)
     context = F.col("context")
     return cards.select(

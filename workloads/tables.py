@@ -135,9 +135,12 @@ def tickets(
     return rows
 
 
-def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+def comments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Line items. ``spread`` is for queries that work on all of them."""
     parts = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-    line = spread_small(table(spark, sf_dir, "lineitem"), "l_orderkey")
+    line = table(spark, sf_dir, "lineitem")
+    if spread:
+        line = spread_small(line, "l_orderkey")
     return line.select(
         F.concat_ws("-", *(F.col(c).cast("string") for c in parts)).alias("commentId"),
         F.concat_ws(
