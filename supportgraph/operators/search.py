@@ -131,20 +131,23 @@ def exact_topk(
     ``embedding``. A threshold is applied in the tasks: a ticket below it cannot push a ticket
     above it out of the k best, so this gives what filtering the k best afterwards gives.
 
-    When the queries fit in ``broadcast_bytes``, tickets are scanned where they lie. Otherwise
-    both sides are cut into blocks by a hash of their ids and every query block meets every
-    ticket block in a task of its own.
+    Queries are counted first. When they fit in ``broadcast_bytes``, they are sent to all
+    executors and tickets are scanned where they lie. Otherwise both sides are cut into blocks by
+    a hash of their ids, and every query block meets every ticket block in a task of its own.
+    Queries are read two or three times: write them out first if they are costly to compute.
     """
     queries = _searchable(queries, QUERY_ID, dim)
     tickets = _searchable(tickets, TICKET_ID, dim)
     schema = _hit_schema(queries, tickets)
     row_bytes = 8 * dim
     most = max(broadcast_bytes // row_bytes, 1)
-    small = queries.limit(most + 1).toArrow()
-    if small.num_rows <= most:
-        hits = _search_broadcast(small, tickets, schema, k, dim, min_score, score_mode)
+    n_queries = queries.count()
+    if n_queries <= most:
+        hits = _search_broadcast(
+            queries.toArrow(), tickets, schema, k, dim, min_score, score_mode
+        )
     else:
-        query_parts = F.lit(_parts(queries.count(), most))
+        query_parts = F.lit(_parts(n_queries, most))
         ticket_parts = F.lit(_parts(tickets.count(), max(ticket_block_bytes // row_bytes, 1)))
         left = _spread(queries, QUERY_ID, query_parts, ticket_parts, "__q", "__t")
         right = _spread(tickets, TICKET_ID, ticket_parts, query_parts, "__t", "__q")
@@ -227,17 +230,12 @@ def approx_topk(
     schema = _hit_schema(queries, index)
     left = queries.select(QUERY_ID, VECTOR, F.explode("bands").alias("band"))
     right = index.select(TICKET_ID, VECTOR, F.explode("bands").alias("band"))
-    large = materialize(_large_buckets(left, right, block_rows), "large-buckets")
+    buckets = materialize(_shared_buckets(left, right, block_rows), "buckets")
 
     def cut(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str):
-        parts = df.join(large, "band", "left")
+        # The join drops the rows of buckets that only one side has, before any vector is moved.
         return _spread(
-            parts,
-            key,
-            F.coalesce(own, F.lit(1)),
-            F.coalesce(other, F.lit(1)),
-            own_name,
-            other_name,
+            df.join(buckets, "band"), key, F.col(own), F.col(other), own_name, other_name
         ).drop("query_parts", "ticket_parts")
 
     hits = _search_cells(
@@ -255,18 +253,14 @@ def approx_topk(
     return best_per_query(once, k)
 
 
-def _large_buckets(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
-    """Buckets that need cutting, with the number of blocks of either side. There are at most
-    rows / block_rows of them, so the table stays small next to its input."""
+def _shared_buckets(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
+    """Buckets with rows on both sides, with the number of blocks of either side. Counts are
+    combined before the shuffle."""
 
     def counted(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
 
-    return (
-        counted(left, "query_parts")
-        .join(counted(right, "ticket_parts"), "band")
-        .where("query_parts > 1 or ticket_parts > 1")
-    )
+    return counted(left, "query_parts").join(counted(right, "ticket_parts"), "band")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -144,6 +144,7 @@ def retrieve_by_text(
 ) -> DataFrame:
     """Past solutions for ``questions (query_id, question)`` with text, metadata and score."""
     vectors = embed_columns(questions, list(text_columns), options.dim, client_factory)
+    vectors = materialize(vectors.select("query_id", "embedding"), "question-vectors")
     return with_text(retrieve(vectors, graph, options))
 
 
@@ -165,7 +166,8 @@ def gated_search(
     if options.same_category:
         related = materialize(related, "related")
     vectors = embed_columns(related, ["title", "description"], options.dim, client_factory)
-    hits = find_tickets(vectors.select("query_id", "embedding"), graph, options)
+    vectors = materialize(vectors.select("query_id", "embedding"), "question-vectors")
+    hits = find_tickets(vectors, graph, options)
     if options.same_category:
         hits = hits.join(related.select("query_id", "category"), "query_id")
     return answer_hits(hits, graph, options).drop("category")

@@ -24,7 +24,7 @@ DIM = 64
 # Stand-in vectors are close to random, so scores lie around 0.5.
 OPTIONS = RetrievalOptions(top_k=5, context_limit=2, min_score=0.6, dim=DIM)
 # Stand-in texts share most of their short words, so scores lie close to 1.
-TEXT_OPTIONS = OPTIONS.updated(min_score=0.9)
+TEXT_OPTIONS = OPTIONS.updated(min_score=0.8)
 RELATED_FROM = 0.3
 
 
