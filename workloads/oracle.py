@@ -48,7 +48,8 @@ TICKETS = """tickets AS (
   FROM orders LEFT JOIN documents ON doc_id = o_orderkey)"""
 
 COMMENTS = """comments AS (
-  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS commentId,
+  SELECT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey,
+                   strftime(l_shipdate, '%Y%m%d')) AS commentId,
          concat_ws(' ', 'part', l_partkey, 'quantity', CAST(l_quantity AS INTEGER)) AS content,
          l_shipdate AS creationDate,
          l_returnflag = 'R' AS isSolution,

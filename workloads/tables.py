@@ -142,7 +142,12 @@ def comments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFram
     if spread:
         line = spread_small(line, "l_orderkey")
     return line.select(
-        F.concat_ws("-", *(F.col(c).cast("string") for c in parts)).alias("commentId"),
+        # The keys alone repeat once in the smallest test set.
+        F.concat_ws(
+            "-",
+            *(F.col(c).cast("string") for c in parts),
+            F.date_format("l_shipdate", "yyyyMMdd"),
+        ).alias("commentId"),
         F.concat_ws(
             " ",
             F.lit("part"),
