@@ -94,17 +94,20 @@ def prompt_table(
 
 
 def conversation_stats(messages: DataFrame) -> DataFrame:
-    """Per conversation: its last turn, whether a system message is present, and the last one.
-
-    One aggregation, combined before the shuffle; long conversations are one row per task.
-    """
-    is_system = F.col("role") == "system"
+    """Per conversation: its last turn and whether a system message is present. Combined before
+    the shuffle, so a long conversation is one row per task; the texts are not read."""
+    is_system = F.coalesce(F.col("role") == "system", F.lit(False))
     return messages.groupBy("conv_id").agg(
-        F.max("turn").alias("last_turn"),
-        F.bool_or(F.coalesce(is_system, F.lit(False))).alias("has_system"),
-        F.max_by(
-            F.when(is_system, F.col("content")), F.when(is_system, F.col("turn"))
-        ).alias("system_prompt"),
+        F.max("turn").alias("last_turn"), F.bool_or(is_system).alias("has_system")
+    )
+
+
+def last_system_message(messages: DataFrame) -> DataFrame:
+    """The text of the last system message of each conversation that has one."""
+    return (
+        messages.where("role = 'system'")
+        .groupBy("conv_id")
+        .agg(F.max_by("content", "turn").alias("system_prompt"))
     )
 
 
@@ -112,7 +115,8 @@ def recovered_system_prompt(
     messages: DataFrame, default: str = DEFAULT_SYSTEM_PROMPT
 ) -> DataFrame:
     """The system prompt of each conversation: the last one saved, else the default."""
-    return conversation_stats(messages).select(
+    known = messages.select("conv_id").distinct()
+    return known.join(last_system_message(messages), "conv_id", "left").select(
         "conv_id", F.coalesce("system_prompt", F.lit(default)).alias("system_prompt")
     )
 

@@ -17,7 +17,13 @@ from supportgraph.operators.quality import (
 )
 from supportgraph.operators.search import build_index, fit_hasher
 from supportgraph.schemas import KEYS, SupportGraph
-from supportgraph.sources.tables import read_graph, refresh_graph, refresh_table
+from supportgraph.sources.tables import (
+    read_csv,
+    read_graph,
+    refresh_graph,
+    refresh_table,
+    write_csv_with_vectors,
+)
 
 
 def key_violations(graph: SupportGraph) -> DataFrame:
@@ -71,6 +77,21 @@ def embed_tickets(
     return replace(graph, ticket=tickets)
 
 
+def embed_csv(
+    spark: SparkSession,
+    source: str,
+    target: str,
+    dim: int,
+    client_factory: ClientFactory | None = None,
+    text_columns: tuple[str, ...] = ("title", "description"),
+    multi_line: bool = True,
+) -> None:
+    """Read a CSV of tickets and write it with a vector column, as a JSON list."""
+    rows = read_csv(spark, source, multi_line)
+    vectors = embed_columns(rows, list(text_columns), dim, client_factory)
+    write_csv_with_vectors(vectors, target)
+
+
 def with_vectors(graph: SupportGraph, vectors: DataFrame, dim: int) -> SupportGraph:
     """The graph with stored vectors put on its tickets; vectors that cannot be searched are left
     out."""

@@ -52,7 +52,8 @@ def test_prompts(spark, log):
 
 
 def test_stats_and_recovery(log):
-    assert rows(talk.conversation_stats(log)) == [("a", 5, True, "newer"), ("b", 1, False, None)]
+    assert rows(talk.conversation_stats(log)) == [("a", 5, True), ("b", 1, False)]
+    assert rows(talk.last_system_message(log)) == [("a", "newer")]
     assert rows(talk.recovered_system_prompt(log, "std")) == [("a", "newer"), ("b", "std")]
 
 

@@ -379,6 +379,17 @@ SELECT query_id, ticketId, similarityScore, solutionId, contextCount FROM result
        || '+00:00' AS iso FROM events""",
     "parsed_datetimes": """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P'
        THEN strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') END AS parsed FROM orders""",
+    "score_texts": """SELECT printf('%.3f', l_discount) AS score,
+       printf('%.1f%%', l_discount * 100) AS percent, count(*) AS n
+FROM lineitem GROUP BY l_discount""",
+    "name_labels": "SELECT page_id, split_part(url, '.', 1) AS label FROM pages",
+    "rows_by_key": f"""{_ctes(COMMENTS)}
+SELECT commentId, articleId, articleId IS NOT NULL AS kept FROM comments""",
+    "cosine_pairs": """SELECT a.vec_id AS query_id,
+       round((1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 6)
+         AS score,
+       round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "typed_priority": """SELECT o_orderkey,
        CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) AS level,
        CAST(trunc(o_totalprice) AS INTEGER) AS whole_price,
@@ -430,6 +441,8 @@ SELECT commentId, content, strftime(creationDate, '%Y-%m-%d %H:%M:%S') AS create
     "embed_tokens": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
 SELECT id AS doc_id, bucket, n FROM v_counts""",
     "embed_documents": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
+SELECT id AS doc_id, bucket, round(weight, 9) AS weight FROM v""",
+    "embed_csv_batch": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
 SELECT id AS doc_id, bucket, round(weight, 9) AS weight FROM v""",
     "title_rules": f"""WITH records AS (
   SELECT doc_id, CASE WHEN doc_id % 12 <> 11 THEN 'cat_00' || (doc_id % 12) END AS category,

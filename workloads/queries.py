@@ -9,7 +9,15 @@ from pyspark.sql import functions as F
 
 from supportgraph.functions.embedding import bucket, hashed_embedding, tokens
 from supportgraph.functions.parsing import parse_bool, parse_datetime, parse_int
-from supportgraph.functions.text import iso_datetime, join_text, stamp
+from supportgraph.functions.similarity import cosine_score
+from supportgraph.functions.text import (
+    iso_datetime,
+    join_text,
+    label_of,
+    percent_text,
+    score_text,
+    stamp,
+)
 from supportgraph.operators import messages as talk
 from supportgraph.operators.context import context_rows, solution_cards, with_author_role
 from supportgraph.operators.edges import (
@@ -306,6 +314,42 @@ def parsed_datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orders.select("o_orderkey", stamp(parse_datetime(text)).alias("parsed"))
 
 
+@query
+def score_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = t.table(spark, sf_dir, "lineitem")
+    return line.groupBy("l_discount").agg(F.count("*").alias("n")).select(
+        score_text(F.col("l_discount")).alias("score"),
+        percent_text(F.col("l_discount")).alias("percent"),
+        "n",
+    )
+
+
+@query
+def name_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.table(spark, sf_dir, "pages").select("page_id", label_of(F.col("url")).alias("label"))
+
+
+@query
+def rows_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Comments that name an article, and the side table of those that do not."""
+    rows = t.comments(spark, sf_dir)
+    kept = stored.with_key(rows, "articleId").withColumn("kept", F.lit(True))
+    held = stored.without_key(rows, "articleId").withColumn("kept", F.lit(False))
+    return kept.unionByName(held).select("commentId", "articleId", "kept")
+
+
+@query
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector against the next one."""
+    a = t.vector_questions(spark, sf_dir)
+    b = a.select((F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
+    return a.join(b, "query_id").select(
+        "query_id",
+        F.round(cosine_score(F.col("embedding"), F.col("other")), 6).alias("score"),
+        F.round(cosine_score(F.col("other"), F.col("embedding"), "raw"), 6).alias("cosine"),
+    )
+
+
 @query
 def typed_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = t.table(spark, sf_dir, "orders")
@@ -490,6 +534,24 @@ def embed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def embed_csv_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a CSV file, embedded into a second one, which is read back."""
+    source, target = fresh_path(spark, "plain-csv"), fresh_path(spark, "embedded-csv")
+    rows = t.documents(spark, sf_dir).select(F.col("doc_id").alias("ticketId"), "text")
+    rows.write.options(**stored.CSV_OPTIONS).csv(source)
+    build.embed_csv(spark, source, target, t.DIM, text_columns=("text",))
+    loaded = stored.read_csv_vectors(spark, target).select(
+        F.col("ticketId").cast("bigint").alias("doc_id"),
+        F.posexplode("embedding").alias("bucket", "weight"),
+    )
+    return loaded.where("weight > 0").select(
+        "doc_id",
+        F.col("bucket").cast("bigint").alias("bucket"),
+        F.round("weight", 9).alias("weight"),
+    )
+
+
 @query
 def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document sentences as titles and whole texts as descriptions, some with bad categories."""
