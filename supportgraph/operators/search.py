@@ -11,13 +11,16 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import BucketedRandomProjectionLSH, BucketedRandomProjectionLSHModel
+from pyspark.ml.feature import (
+    BucketedRandomProjectionLSH,
+    BucketedRandomProjectionLSHModel,
+    Normalizer,
+)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from supportgraph.functions.similarity import norm
 from supportgraph.operators.blocks import TopK, unit_rows
 from supportgraph.workspace import materialize
 
@@ -188,15 +191,9 @@ def build_index(
 ) -> DataFrame:
     """Unit vectors with one bucket id per band: ``key, embedding, bands``. Write it to Parquet
     once and search it many times."""
-    unit = (
-        _searchable(df, key, dim)
-        .withColumn("__length", norm(F.col(VECTOR)))
-        .where("__length > 0")
-        .select(
-            key,
-            F.transform(VECTOR, lambda x: x.cast("double") / F.col("__length")).alias(VECTOR),
-        )
-        .withColumn("__unit", array_to_vector(VECTOR))
+    vectors = _searchable(df, key, dim).where(F.exists(VECTOR, lambda x: x != 0))
+    unit = Normalizer(inputCol="__vector", outputCol="__unit").transform(
+        vectors.select(key, array_to_vector(F.col(VECTOR).cast("array<double>")).alias("__vector"))
     )
     hashes = F.transform("__hashes", lambda h: F.element_at(vector_to_array(h), 1))
     tables = hasher.getNumHashTables()
@@ -207,7 +204,7 @@ def build_index(
     return (
         hasher.transform(unit)
         .withColumn("__flat", hashes)
-        .select(key, VECTOR, F.array(*bands).alias("bands"))
+        .select(key, vector_to_array("__unit").alias(VECTOR), F.array(*bands).alias("bands"))
     )
 
 
