@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
+from pyspark.ml.feature import BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,7 +107,8 @@ def build(
     client_factory: ClientFactory | None = None,
     **index_settings,
 ) -> SupportGraph:
-    """Write node tables, edges and the vector index under ``root`` and read the tables back.
+    """Write node tables, edges and the vector index with its hasher under ``root`` and read the
+    tables back.
 
     Raises when a key is used twice. Edges are stored by type, so a walk reads one type only.
     """
@@ -122,5 +124,12 @@ def build(
     rows_per_band = index_settings.get("rows_per_band", 2)
     vectors = full.ticket.where(F.col("embedding").isNotNull())
     hasher = fit_hasher(vectors, **index_settings)
+    hasher.write().overwrite().save(f"{root}/hasher")
     refresh_table(build_index(vectors, hasher, dim, rows_per_band=rows_per_band), f"{root}/index")
     return full
+
+
+def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, BucketedRandomProjectionLSHModel]:
+    """The stored index and the hasher to look questions up with."""
+    hasher = BucketedRandomProjectionLSHModel.load(f"{root}/hasher")
+    return spark.read.parquet(f"{root}/index"), hasher

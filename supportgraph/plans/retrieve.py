@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.feature import BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,9 +16,9 @@ from supportgraph.functions.text import (
     result_metadata,
     result_text,
 )
-from supportgraph.operators.context import solution_cards, with_author_role
+from supportgraph.operators.context import LARGE_TICKET, solution_cards, with_author_role
 from supportgraph.operators.ranking import rank_in_group
-from supportgraph.operators.search import exact_topk
+from supportgraph.operators.search import approx_topk, build_index, exact_topk
 from supportgraph.operators.triage import triage
 from supportgraph.options import HANDLER, RETRIEVER, RetrievalOptions
 from supportgraph.schemas import SupportGraph
@@ -80,7 +81,9 @@ def answer_hits(hits: DataFrame, graph: SupportGraph, options: RetrievalOptions)
         "ticketId", "commentId", "content", "creationDate", "isSolution", "authorUserId"
     )
     comments = materialize(with_author_role(comments, graph.user), "hit-comments")
-    cards = solution_cards(comments, options.context_limit, options.context_order)
+    # The stored copy counts itself; with few comments in all, no ticket can be large.
+    large = None if comments.count() <= LARGE_TICKET else LARGE_TICKET
+    cards = solution_cards(comments, options.context_limit, options.context_order, large)
     carried = [c for c in hits.columns if c not in ("ticketId", "score", "rank")]
     return found.join(cards, "ticketId").select(
         *carried,
@@ -106,6 +109,42 @@ def retrieve(
     return answer_hits(find_tickets(questions, graph, options), graph, options)
 
 
+def find_tickets_with_index(
+    questions: DataFrame,
+    index: DataFrame,
+    hasher: BucketedRandomProjectionLSHModel,
+    graph: SupportGraph,
+    options: RetrievalOptions,
+    rows_per_band: int = 2,
+) -> DataFrame:
+    """Like ``find_tickets``, among the tickets that share an index bucket with the question."""
+    if options.filter_mode == "pre":
+        index = index.join(closed_tickets(graph).select("ticketId"), "ticketId", "left_semi")
+    hashed = build_index(questions, hasher, options.dim, "query_id", rows_per_band)
+    hits = approx_topk(
+        materialize(hashed, "question-index"),
+        index,
+        options.top_k,
+        options.dim,
+        options.min_score,
+        options.score_mode,
+    )
+    return materialize(hits, "hits")
+
+
+def retrieve_with_index(
+    questions: DataFrame,
+    index: DataFrame,
+    hasher: BucketedRandomProjectionLSHModel,
+    graph: SupportGraph,
+    options: RetrievalOptions = RETRIEVER,
+    rows_per_band: int = 2,
+) -> DataFrame:
+    """Like ``retrieve``, through a stored index; the hasher is the one it was built with."""
+    hits = find_tickets_with_index(questions, index, hasher, graph, options, rows_per_band)
+    return answer_hits(hits, graph, options)
+
+
 def ordered(results: DataFrame) -> DataFrame:
     """Results by question, best score first."""
     return results.orderBy(

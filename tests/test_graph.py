@@ -16,7 +16,10 @@ from supportgraph.operators.quality import (
     valid_vectors,
     vector_rejects,
 )
-from supportgraph.plans.build import build, key_violations, reference_report
+from supportgraph.operators.search import build_index
+from supportgraph.options import RetrievalOptions
+from supportgraph.plans.build import build, key_violations, load_index, reference_report
+from supportgraph.plans.retrieve import find_tickets_with_index, retrieve_with_index
 
 
 def test_edges(graph):
@@ -119,7 +122,28 @@ def test_build(spark, graph, tmp_path):
     assert full.ticket.where("embedding is not null").count() == 4
     edges = spark.read.parquet(f"{root}/edges")
     assert edges.count() == build_edges(graph).count()
-    assert spark.read.parquet(f"{root}/index").columns == ["ticketId", "embedding", "bands"]
+    index, hasher = load_index(spark, root)
+    assert index.columns == ["ticketId", "embedding", "bands"] and index.count() == 4
+    again = build_index(full.ticket, hasher, 32, rows_per_band=1)
+    assert again.select("ticketId", "bands").exceptAll(index.select("ticketId", "bands")).count() == 0
+
+    # A question equal to a ticket shares all its buckets.
+    question = full.ticket.where("ticketId = 't1'").select(
+        F.lit("q").alias("query_id"), "embedding"
+    )
+    options = RetrievalOptions(top_k=1, min_score=0.9, dim=32)
+    found = retrieve_with_index(question, index, hasher, full, options, rows_per_band=1)
+    assert {(r.ticketId, r.solutionComment.commentId) for r in found.collect()} == {
+        ("t1", "m4"), ("t1", "m6"),
+    }
+    open_only = full.ticket.where("ticketId = 't4'").select(
+        F.lit("q").alias("query_id"), "embedding"
+    )
+    for mode in ("post", "pre"):
+        hits = find_tickets_with_index(
+            open_only, index, hasher, full, options.updated(filter_mode=mode), rows_per_band=1
+        )
+        assert ("t4" in {r.ticketId for r in hits.collect()}) == (mode == "post")
 
 
 def test_build_refuses_duplicate_keys(spark, graph, tmp_path):

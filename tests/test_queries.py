@@ -32,7 +32,7 @@ def test_query(spark, con, name):
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
     assert set(queries()) - set(oracle_sql()) == {
-        "approx_topk_hits", "approx_recall", "recent_files",
+        "approx_topk_hits", "approx_recall", "recent_files", "retrieve_with_index",
     }
 
 

@@ -264,6 +264,22 @@ def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(_approx(spark, sf_dir), exact)
 
 
+@query
+def retrieve_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _ticket_vectors(spark, sf_dir)
+    hasher = fit_hasher(vectors)
+    index = _index(vectors, hasher, "ticketId", "index")
+    return _flat(
+        retrieve.retrieve_with_index(
+            t.vector_questions(spark, sf_dir),
+            index,
+            hasher,
+            t.search_graph(spark, sf_dir),
+            t.OPTIONS,
+        )
+    )
+
+
 @query
 def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     t.use_utc(spark)
