@@ -237,6 +237,9 @@ _TRIAGE = [
 _RELATED = """related AS (
   SELECT query_id, title || ' ' || description AS question FROM analysis WHERE is_related)"""
 
+_GATED = f"""{_ctes(*_TRIAGE, _RELATED, *_text_results('related', 'query_id', 'question'))}
+SELECT query_id, ticketId, similarityScore, solutionId, contextCount FROM results"""
+
 # --- edges --------------------------------------------------------------------------------------
 
 
@@ -370,8 +373,16 @@ FROM embeddings LEFT JOIN results r ON r.query_id = vec_id GROUP BY vec_id""",
     "retrieve_by_text": f"""{_ctes(_QUESTIONS, *_text_results('questions', 'query_id', 'question'))}
 SELECT query_id, ticketId AS ticket_id, similarityScore AS similarity_score,
        solutionId AS solution_comment_id, contextCount AS context_comment_count FROM results""",
-    "gated_search": f"""{_ctes(*_TRIAGE, _RELATED, *_text_results('related', 'query_id', 'question'))}
-SELECT query_id, ticketId, similarityScore, solutionId, contextCount FROM results""",
+    "gated_search": _GATED,
+    "stream_gated": _GATED,
+    "refreshed_counts": f"""{_ctes(USERS)}
+SELECT 'user' AS label, count(*) AS n FROM users
+UNION ALL SELECT 'status', count(DISTINCT o_orderstatus) FROM orders
+UNION ALL SELECT 'priority', count(DISTINCT o_orderpriority) FROM orders
+UNION ALL SELECT 'category', count(DISTINCT p_brand) FROM part
+UNION ALL SELECT 'ticket', count(*) FROM orders
+UNION ALL SELECT 'comment', count(*) FROM lineitem
+UNION ALL SELECT 'article', count(*) FROM part""",
     "iso_dates": f"""SELECT o_orderkey, {_ISO.format('o_orderdate')} AS iso,
        strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS stamp FROM orders""",
     "iso_event_times": """SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S')

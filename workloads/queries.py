@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -226,12 +227,7 @@ def retrieve_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query
-def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = t.text_questions(spark, sf_dir)
-    results = retrieve.gated_search(
-        questions, t.text_graph(spark, sf_dir), t.TEXT_OPTIONS, t.RELATED_FROM
-    )
+def _gated_columns(results: DataFrame) -> DataFrame:
     return results.select(
         "query_id",
         "ticketId",
@@ -241,6 +237,15 @@ def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    questions = t.text_questions(spark, sf_dir)
+    results = retrieve.gated_search(
+        questions, t.text_graph(spark, sf_dir), t.TEXT_OPTIONS, t.RELATED_FROM
+    )
+    return _gated_columns(results)
+
+
 def _index(df: DataFrame, hasher, key: str, name: str) -> DataFrame:
     return materialize(build_index(df, hasher, t.DIM, key=key), name)
 
@@ -300,6 +305,24 @@ def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(out))
 
 
+@query
+def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """User turns as they arrive, through triage and search."""
+    t.use_utc(spark)
+    schema = t.table(spark, sf_dir, "conversations").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
+    found = t.text_graph(spark, sf_dir)
+    out = fresh_path(spark, "answers")
+    job = answer_stream(
+        t.as_questions(arriving),
+        lambda batch: retrieve.gated_search(batch, found, t.TEXT_OPTIONS, t.RELATED_FROM),
+        out,
+        fresh_path(spark, "stream"),
+    )
+    job.awaitTermination()
+    return _gated_columns(spark.read.parquet(out))
+
+
 # --- typing, checks, edges ----------------------------------------------------------------------
 
 
@@ -424,6 +447,20 @@ def expand_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("userId", "ticketId", "commentId", "articleId")
 
 
+@query
+def refreshed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows per node table after two full refreshes."""
+    root = fresh_path(spark, "graph")
+    found = t.graph(spark, sf_dir)
+    stored.refresh_graph(found, root)
+    stored.refresh_graph(found, root)
+    counts = [
+        df.agg(F.lit(label).alias("label"), F.count("*").alias("n"))
+        for label, df in stored.read_graph(spark, root).tables().items()
+    ]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def ticket_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ticket nodes after their foreign keys have become edges."""

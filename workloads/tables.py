@@ -224,10 +224,9 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def text_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def as_questions(turns: DataFrame) -> DataFrame:
     """Every user turn is a question."""
-    turns = table(spark, sf_dir, "conversations").where("role = 'user'")
-    return turns.select(
+    return turns.where("role = 'user'").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias(
             "query_id"
         ),
@@ -235,6 +234,10 @@ def text_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_questions(table(spark, sf_dir, "conversations"))
+
+
 def prompt_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last user turn of each conversation, asked again."""
     turns = table(spark, sf_dir, "conversations").where("role = 'user'")
