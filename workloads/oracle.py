@@ -113,7 +113,7 @@ _COLLECTED = f"""collected AS (
 
 _RESULTS = f"""results AS (
   SELECT h.query_id, t.ticketId, t.title, t.description, t.resolutionSummary,
-         round(h.score, 6) AS similarityScore, h.score,
+         h.score AS similarityScore, h.score,
          s.commentId AS solutionId, s.content AS solutionContent,
          {_ISO.format('s.creationDate')} AS solutionDate, u.role AS solutionRole,
          coalesce(contextIds, '') AS contextIds, coalesce(contextTexts, '') AS contextTexts,
@@ -149,7 +149,7 @@ _FROM_RESULTS = _ctes(*_result_ctes())
 
 def _topk(mode: str = "normalized", floor: float = -2) -> str:
     return f"""{_ctes(_scores(mode))}
-SELECT query_id, ticketId, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (
+SELECT query_id, ticketId, score, CAST(rank AS INTEGER) AS rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticketId) AS rank
   FROM scores) WHERE rank <= 5 AND score >= {floor}"""
 
@@ -230,7 +230,7 @@ _TRIAGE = [
          CASE WHEN stripped <> '' THEN title ELSE {_text(FALLBACK_TITLE)} END AS title,
          CASE WHEN stripped <> '' THEN stripped
               ELSE {_text(DESCRIPTION_EMPTY)} END AS description,
-         round(score, 6) AS category_score
+         score AS category_score
   FROM analyzed)""",
 ]
 
@@ -397,9 +397,9 @@ FROM lineitem GROUP BY l_discount""",
     "rows_by_key": f"""{_ctes(COMMENTS)}
 SELECT commentId, articleId, articleId IS NOT NULL AS kept FROM comments""",
     "cosine_pairs": """SELECT a.vec_id AS query_id,
-       round((1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 6)
+       round((1 + list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])) / 2, 9)
          AS score,
-       round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine
+       round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS cosine
 FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
     "typed_priority": """SELECT o_orderkey,
        CAST(split_part(o_orderpriority, '-', 1) AS INTEGER) AS level,

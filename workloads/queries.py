@@ -55,7 +55,7 @@ def query(fn: Query) -> Query:
 
 
 def _flat(results: DataFrame) -> DataFrame:
-    """Nested results as plain columns; scores are rounded for comparison only."""
+    """Nested results as plain columns."""
     context = F.col("contextComments")
     return results.select(
         "query_id",
@@ -63,7 +63,7 @@ def _flat(results: DataFrame) -> DataFrame:
         "title",
         "description",
         "resolutionSummary",
-        F.round("similarityScore", 6).alias("similarityScore"),
+        "similarityScore",
         F.col("solutionComment.commentId").alias("solutionId"),
         F.col("solutionComment.content").alias("solutionContent"),
         F.col("solutionComment.creationDate").alias("solutionDate"),
@@ -108,7 +108,7 @@ def results_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = retrieve.ordered(_results(spark, sf_dir))
     return results.select(
         "query_id",
-        F.round("similarityScore", 6).alias("similarityScore"),
+        "similarityScore",
         "ticketId",
         F.col("solutionComment.commentId").alias("solutionId"),
     )
@@ -122,7 +122,7 @@ def _topk(spark: SparkSession, sf_dir: str, **settings) -> DataFrame:
     hits = exact_topk(
         t.vector_questions(spark, sf_dir), _ticket_vectors(spark, sf_dir), 5, t.DIM, **settings
     )
-    return hits.select("query_id", "ticketId", F.round("score", 6).alias("score"), "rank")
+    return hits.select("query_id", "ticketId", "score", "rank")
 
 
 @query
@@ -179,7 +179,7 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         "query_id",
         "text",
         "m.ticket_id",
-        F.round("m.similarity_score", 6).alias("similarity_score"),
+        "m.similarity_score",
         "m.solution_comment_id",
         F.col("m.context_comment_count").cast("bigint").alias("context_comment_count"),
     )
@@ -221,7 +221,7 @@ def retrieve_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select(
         "query_id",
         F.col("metadata.ticket_id").alias("ticket_id"),
-        F.round("metadata.similarity_score", 6).alias("similarity_score"),
+        F.col("metadata.similarity_score").alias("similarity_score"),
         F.col("metadata.solution_comment_id").alias("solution_comment_id"),
         F.col("metadata.context_comment_count").cast("bigint").alias("context_comment_count"),
     )
@@ -231,7 +231,7 @@ def _gated_columns(results: DataFrame) -> DataFrame:
     return results.select(
         "query_id",
         "ticketId",
-        F.round("similarityScore", 6).alias("similarityScore"),
+        "similarityScore",
         F.col("solutionComment.commentId").alias("solutionId"),
         F.size("contextComments").cast("bigint").alias("contextCount"),
     )
@@ -384,8 +384,8 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = a.select((F.col("query_id") - 1).alias("query_id"), F.col("embedding").alias("other"))
     return a.join(b, "query_id").select(
         "query_id",
-        F.round(cosine_score(F.col("embedding"), F.col("other")), 6).alias("score"),
-        F.round(cosine_score(F.col("other"), F.col("embedding"), "raw"), 6).alias("cosine"),
+        cosine_score(F.col("embedding"), F.col("other")).alias("score"),
+        cosine_score(F.col("other"), F.col("embedding"), "raw").alias("cosine"),
     )
 
 
@@ -629,7 +629,7 @@ def triage_category(spark: SparkSession, sf_dir: str) -> DataFrame:
         "category",
         "title",
         "description",
-        F.round("category_score", 6).alias("category_score"),
+        "category_score",
     )
 
 
