@@ -4,7 +4,38 @@ from __future__ import annotations
 
 LOWER = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+WORDS = "regexp_extract_all({0}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')".format(LOWER.format("text"))
+
 ORACLE: dict[str, str] = {
+    "op3_decontamination": f"""
+        WITH doc AS (SELECT doc_id, {WORDS} AS w FROM documents),
+        item AS (SELECT item_id::VARCHAR AS item_id, {WORDS} AS w FROM benchmark),
+        starts AS (
+            SELECT item_id, w, least(10, len(w)) AS n, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS p
+            FROM item WHERE len(w) > 0
+        ),
+        windows AS (SELECT DISTINCT item_id, n, array_to_string(w[p : p + n - 1], ' ') AS k FROM starts),
+        doc_starts AS (
+            SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS p
+            FROM doc, (SELECT DISTINCT n FROM windows)
+        ),
+        hits AS (
+            SELECT doc_id, item_id, n, p
+            FROM (SELECT doc_id, n, p, array_to_string(w[p : p + n - 1], ' ') AS k FROM doc_starts)
+            JOIN windows USING (n, k)
+        ),
+        covered AS (
+            SELECT doc_id, count(DISTINCT at) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM hits) GROUP BY doc_id
+        ),
+        named AS (
+            SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
+            FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY doc_id
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+               sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
+    """,
     "op9_exact_dedup": f"""
         WITH digests AS (SELECT doc_id, sha256({LOWER.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
