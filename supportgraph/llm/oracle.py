@@ -25,8 +25,8 @@ ORACLE: dict[str, str] = {
             JOIN windows USING (n, k)
         ),
         covered AS (
-            SELECT doc_id, count(DISTINCT at) AS n_hit
-            FROM (SELECT doc_id, unnest(range(p, p + n)) AS at FROM hits) GROUP BY doc_id
+            SELECT doc_id, count(DISTINCT word) AS n_hit
+            FROM (SELECT doc_id, unnest(range(p, p + n)) AS word FROM hits) GROUP BY doc_id
         ),
         named AS (
             SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items
