@@ -36,6 +36,54 @@ ORACLE: dict[str, str] = {
                sha256(coalesce(items, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
         FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
     """,
+    "op6_mixing": r"""
+        WITH docs AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+                   md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS h
+            FROM documents
+        ),
+        sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source),
+        ranked AS (
+            SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
+                   [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight
+            FROM sources
+        ),
+        levels AS (
+            SELECT a.source, a.source_size, a.cap, a.weight,
+                   (1.5::DOUBLE * (SELECT sum(source_size) FROM sources)
+                    - coalesce(sum(b.cap) FILTER (b.cap / b.weight < a.cap / a.weight), 0))
+                   / (sum(b.weight) FILTER (b.cap / b.weight >= a.cap / a.weight)) AS level
+            FROM ranked a CROSS JOIN ranked b GROUP BY ALL
+        ),
+        targets AS (
+            SELECT source, source_size,
+                   round(least(cap, coalesce((SELECT min_by(level, cap / weight) FROM levels
+                                              WHERE cap / weight > level) * weight, cap)), 6) AS target
+            FROM levels
+        ),
+        planned AS (
+            SELECT *, CASE WHEN source_size > 0 THEN least(floor(target / source_size), 2) ELSE 0 END::INT AS whole
+            FROM targets
+        ),
+        missing AS (SELECT *, target - whole * source_size AS missing FROM planned),
+        sums AS (
+            SELECT source, h, sum(size) AS words, sum(sum(size)) OVER (PARTITION BY source ORDER BY h) AS running
+            FROM docs GROUP BY source, h
+        ),
+        borders AS (
+            SELECT s.source, min(s.h) AS h, min_by(running, s.h) AS running, min_by(words, s.h) AS words
+            FROM sums s JOIN missing m ON s.source IS NOT DISTINCT FROM m.source
+            WHERE missing > 0 AND running >= missing GROUP BY s.source
+        ),
+        plans AS (
+            SELECT m.*, b.h AS border,
+                   running - missing < missing - (running - words) AS inclusive
+            FROM missing m LEFT JOIN borders b ON m.source IS NOT DISTINCT FROM b.source
+        )
+        SELECT doc_id, size, source_size, target,
+               (size * (whole + coalesce(d.h < border OR (inclusive AND d.h = border), false)::INT))::BIGINT AS taken
+        FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source
+    """,
     "op9_exact_dedup": f"""
         WITH digests AS (SELECT doc_id, sha256({LOWER.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
