@@ -84,6 +84,81 @@ ORACLE: dict[str, str] = {
                (size * (whole + coalesce(d.h < border OR (inclusive AND d.h = border), false)::INT))::BIGINT AS taken
         FROM docs d JOIN plans p ON d.source IS NOT DISTINCT FROM p.source
     """,
+    "op8_revisits": r"""
+        WITH base AS (
+            SELECT page_id, url, '"' || md5(html) || '"' AS tag, 'day ' || (page_id % 1000) AS modified,
+                   octet_length(encode(html))::VARCHAR AS length,
+                   1700000000 + page_id AS moment, 86400 * 365 AS day,
+                   regexp_extract(url, '^[^/]*//[^/]*') AS front, regexp_replace(url, '^[^/]*//[^/]*', '') AS back
+            FROM pages
+        ),
+        captures AS (
+            SELECT page_id * 8 AS record_id, page_id, url, moment AS ts, 'response' AS type, 200 AS status, tag AS etag,
+                   modified, length, 'text/html' AS content, 'max-age=60' AS cache, NULL::VARCHAR AS age FROM base
+            UNION ALL
+            SELECT page_id * 8 + 1, page_id, upper(front) || back || '#again', moment + day, 'revisit', 304, 'W/' || tag,
+                   NULL, '0', NULL, 'max-age=3600', NULL FROM base
+            UNION ALL
+            SELECT page_id * 8 + 2, page_id, url, moment + 2 * day, 'revisit', 304, 'x' || tag, NULL, '0', NULL, NULL, NULL
+            FROM base WHERE page_id % 3 = 0
+            UNION ALL
+            SELECT page_id * 8 + 3, page_id, url, moment - day, 'revisit', 304, tag, NULL, NULL, NULL, NULL, NULL
+            FROM base WHERE page_id % 5 = 0
+            UNION ALL
+            SELECT page_id * 8 + 4, page_id, url, moment + 3 * day, 'revisit', 304, NULL, modified, NULL, NULL, NULL, '9'
+            FROM base WHERE page_id % 7 = 0
+            UNION ALL
+            SELECT page_id * 8 + 5, page_id, url, moment + 4 * day, 'revisit', 304, NULL, NULL, NULL, NULL, NULL, '9'
+            FROM base WHERE page_id % 11 = 0
+        ),
+        split AS (
+            SELECT *, regexp_replace(trim(url), '#.*$', '') AS plain FROM captures
+        ),
+        cut AS (
+            SELECT *, lower(regexp_extract(plain, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS scheme,
+                   lower(regexp_extract(plain, '^[^:/]*://([^/?]*)', 1)) AS host,
+                   regexp_extract(plain, '^[^:/]*://[^/?]*([^?]*)', 1) AS path,
+                   array_to_string(list_sort(list_filter(
+                       string_split(regexp_extract(plain, '[?](.*)$', 1), '&'),
+                       lambda p: p <> '' AND NOT starts_with(p, 'utm_'))), '&') AS query
+            FROM split
+        ),
+        named AS (
+            SELECT *, scheme || '://'
+                   || CASE scheme WHEN 'http' THEN regexp_replace(host, ':80$', '')
+                                  WHEN 'https' THEN regexp_replace(host, ':443$', '') ELSE host END
+                   || CASE path WHEN '' THEN '/' ELSE path END
+                   || CASE query WHEN '' THEN '' ELSE '?' || query END AS canonical_url
+            FROM cut
+        ),
+        joined AS (
+            SELECT v.*, s.record_id AS found, s.etag AS s_etag, s.modified AS s_modified, s.length AS s_length,
+                   s.content AS s_content, s.cache AS s_cache
+            FROM named v LEFT JOIN named s
+              ON s.canonical_url = v.canonical_url AND s.type = 'response' AND s.ts < v.ts AND v.type = 'revisit'
+            QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY s.ts DESC, s.record_id DESC) = 1
+        ),
+        judged AS (
+            SELECT *, coalesce(regexp_replace(etag, '^W/', '') = regexp_replace(s_etag, '^W/', ''),
+                               modified = s_modified) AS same
+            FROM joined
+        ),
+        outcomes AS (
+            SELECT *, CASE WHEN type = 'response' THEN 'full' WHEN found IS NULL THEN 'no earlier response'
+                           WHEN same THEN 'resolved' WHEN same IS NULL THEN 'no validator' ELSE 'mismatch' END AS outcome
+            FROM judged
+        )
+        SELECT record_id, page_id, canonical_url, outcome, CASE WHEN outcome = 'resolved' THEN found END AS source_id,
+               CASE WHEN outcome = 'resolved' THEN 200 ELSE status END AS status,
+               concat_ws(chr(10), 'age: ' || age,
+                   'cache-control: ' || CASE WHEN outcome = 'resolved' THEN coalesce(cache, s_cache) ELSE cache END,
+                   'content-length: ' || CASE WHEN outcome = 'resolved' THEN s_length ELSE length END,
+                   'content-type: ' || CASE WHEN outcome = 'resolved' THEN s_content ELSE content END,
+                   'etag: ' || CASE WHEN outcome = 'resolved' THEN coalesce(etag, s_etag) ELSE etag END,
+                   'last-modified: ' || CASE WHEN outcome = 'resolved' THEN coalesce(modified, s_modified) ELSE modified END
+               ) AS headers
+        FROM outcomes
+    """,
     "op9_exact_dedup": f"""
         WITH digests AS (SELECT doc_id, sha256({LOWER.format("text")}) AS text_sha256 FROM documents)
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, wordpiece
+from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, warc, wordpiece
 from supportgraph.llm.common import crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +87,50 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
 
 
+def captures(pages: DataFrame) -> DataFrame:
+    """Capture records of every page: a full response, and later revisits that vary by page.
+
+    One revisit has the address in other letters and the tag in its weak form; some pages have a
+    revisit with another page's tag, one before any response, one with a time and no tag, one with
+    neither.
+    """
+    page, url = F.col("page_id"), F.col("url")
+    tag, modified = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.concat(F.lit("day "), (page % 1000).cast("string"))
+    shouted = F.concat(F.upper(F.regexp_extract(url, "^[^/]*//[^/]*", 0)), F.regexp_replace(url, "^[^/]*//[^/]*", ""))
+
+    def record(number, when, address, seconds, kind, status, **headers):
+        entries = [F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in headers.items()]
+        return F.when(when, F.struct(
+            (page * 8 + number).alias("record_id"), address.alias("url"),
+            F.timestamp_seconds(F.lit(1_700_000_000) + page + seconds).alias("date"), F.lit(kind).alias("type"),
+            F.lit(status).alias("status"), F.map_from_entries(F.array(*entries)).alias("headers"),
+        ))
+
+    every, day = F.lit(True), 86_400 * 365
+    length, none = F.octet_length("html").cast("string"), F.lit("0")
+    records = F.array(
+        record(0, every, url, 0, "response", 200, ETag=tag, Last_Modified=modified, Content_Length=length,
+               Content_Type=F.lit("text/html"), Cache_Control=F.lit("max-age=60")),
+        record(1, every, F.concat(shouted, F.lit("#again")), day, "revisit", 304, ETag=F.concat(F.lit("W/"), tag),
+               Cache_Control=F.lit("max-age=3600"), Content_Length=none),
+        record(2, page % 3 == 0, url, 2 * day, "revisit", 304, ETag=F.concat(F.lit("x"), tag), Content_Length=none),
+        record(3, page % 5 == 0, url, -day, "revisit", 304, ETag=tag),
+        record(4, page % 7 == 0, url, 3 * day, "revisit", 304, Last_Modified=modified, Age=F.lit("9")),
+        record(5, page % 11 == 0, url, 4 * day, "revisit", 304, Age=F.lit("9")),
+    )
+    return pages.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")
+
+
+@query
+def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
+    lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value))
+    return found.select(
+        "record_id", F.floor(F.col("record_id") / 8).alias("page_id"), "canonical_url", "outcome", "source_id",
+        "status", F.array_join(lines, "\n").alias("headers"),
+    )
+
+
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(

@@ -238,23 +238,33 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates: that with the smallest id.
 
-    Rows that repeat this id count as one. A row without an id stays only where its whole group
-    has none, one row of the group.
+    Rows whose id is their own are told by it. Those that share an id, or have none, are told by
+    their fingerprint, computed again for them alone: of the rows of a group that have its smallest
+    id (or none, where the whole group has none) one stays.
     """
     marks = materialize(near_duplicates(docs, id, text, shingle, distance), "marks")
-    kept = marks.filter(F.col(id) == F.col("component_id")).select(id)
-    named = docs.join(kept, id, "left_semi").dropDuplicates([id])
-    nameless = marks.filter("component_id IS NULL").select(F.col("fingerprint").alias("_print"), "component")
+    ids = materialize(
+        marks.filter(F.col(id).isNotNull())
+        .groupBy(id).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_least")),
+        "ids",
+    )
+    named = docs.join(ids.filter((F.col("_rows") == 1) & (F.col(id) == F.col("_least"))).select(id), id, "left_semi")
 
     @F.arrow_udf("bigint")
     def compute(column: pa.Array) -> pa.Array:
         prints = np.array([fingerprint(x, shingle) for x in texts(column)], np.uint64)
         return pa.array(prints.view(np.int64))
 
-    rest = (
-        docs.filter(F.col(id).isNull())
-        .withColumn("_print", compute(F.col(text)))
-        .join(nameless.distinct(), "_print")
-        .dropDuplicates(["component"])
+    first = marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(
+        F.col("fingerprint").alias("_print"), F.col("component").alias("_component"), F.col("component_id").alias("_first")
     )
-    return named.select(*docs.columns).unionByName(rest.select(*docs.columns))
+    unclear = docs.filter(F.col(id).isNull()).unionByName(
+        docs.join(ids.filter("_rows > 1").select(id), id, "left_semi").select(*docs.columns)
+    )
+    told = (
+        unclear.withColumn("_print", compute(F.col(text)))
+        .join(first.distinct(), "_print")
+        .filter(F.col(id).eqNullSafe(F.col("_first")))
+        .dropDuplicates(["_component"])
+    )
+    return named.select(*docs.columns).unionByName(told.select(*docs.columns))

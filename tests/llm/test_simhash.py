@@ -108,6 +108,14 @@ def test_whole_operator_equals_brute_force(spark):
     assert [r.text for r in kept if r.doc_id is None] == ["alone of all"]
 
 
+def test_one_row_stays_of_each_group_with_shared_ids(spark):
+    one, two = "a b c d e f g h", "q r s t u v w x y"
+    rows = [(5, one), (5, two), (5, two), (2, one), (9, "z z z z"), (9, "z z z z"), (None, two), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(r.doc_id, r.text or "") for r in simhash.keep_one(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(2, one), (5, two), (9, "z z z z"), (None, "")], key=str)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(docs).collect() == [] and simhash.keep_one(docs).collect() == []
