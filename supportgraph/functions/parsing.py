@@ -27,9 +27,30 @@ def parse_int(text: Column) -> Column:
     return text.try_cast("double").try_cast("int")
 
 
+# A time of day followed by a zone.
+ZONED = r"(?i):\d{2}(\.\d+)?\s*(z|utc|gmt|[+-]\d|[a-z]+/[a-z_]+)"
+
+
 def parse_datetime(text: Column) -> Column:
-    """Timestamp from ``yyyy-MM-dd HH:mm:ss`` or ISO text; the session must be in UTC."""
-    return F.try_to_timestamp(F.trim(text))
+    """Timestamp from ``yyyy-MM-dd HH:mm:ss`` or ISO text. Text without a zone is in UTC, whatever
+    the zone of the session."""
+    text = F.trim(text)
+    plain = text.try_cast("timestamp_ntz").cast("string")
+    return F.when(text.rlike(ZONED), F.try_to_timestamp(text)).otherwise(
+        F.try_to_timestamp(F.concat(plain, F.lit("+00:00")))
+    )
+
+
+def as_utc(local: Column) -> Column:
+    """The instant at which a clock in UTC shows a time without a zone."""
+    since = local.cast("timestamp_ntz") - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+
+    def part(unit: str) -> Column:
+        return F.extract(F.lit(unit), since).cast("bigint")
+
+    minutes = (part("DAY") * 24 + part("HOUR")) * 60 + part("MINUTE")
+    seconds = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    return F.timestamp_micros(minutes * 60_000_000 + seconds)
 
 
 def parse_vector(text: Column) -> Column:

@@ -53,14 +53,16 @@ def description_ok(description: Column) -> Column:
     return F.coalesce(strip(description) != "", F.lit(False))
 
 
-def category_ok(category: Column) -> Column:
-    return category.isNull() | category.isin(CATEGORY_CODES)
+def category_ok(category: Column, codes: list[str] = CATEGORY_CODES) -> Column:
+    return category.isNull() | category.isin(codes)
 
 
-def analysis_error(title: Column, description: Column, category: Column) -> Column:
+def analysis_error(
+    title: Column, description: Column, category: Column, codes: list[str] = CATEGORY_CODES
+) -> Column:
     """Message of the first rule that fails, null when the record is valid."""
     return (
-        F.when(~category_ok(category), CATEGORY_UNKNOWN)
+        F.when(~category_ok(category, codes), CATEGORY_UNKNOWN)
         .when(title.isNull(), TITLE_MISSING)
         .when(F.length(title) > TITLE_MAX_CHARS, TITLE_TOO_LONG)
         .when(F.size(words(title)) > TITLE_MAX_WORDS, TITLE_TOO_MANY_WORDS)

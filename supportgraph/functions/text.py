@@ -31,19 +31,24 @@ def join_text(*columns: Column, null_text: str | None = None) -> Column:
     return F.concat_ws(" ", *parts)
 
 
+def stamp(at: Column) -> Column:
+    """Date and time in UTC, to the second, whatever the zone of the session.
+
+    The text is that of a time without a zone: formatting an instant would pass through the clock
+    of the session, which skips an hour a year.
+    """
+    seconds = F.floor(F.unix_micros(at) / 1_000_000).cast("decimal(18,6)")
+    zero, epoch = F.lit(0), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (epoch + F.make_dt_interval(zero, zero, zero, seconds)).cast("string")
+
+
 def iso_datetime(at: Column) -> Column:
     """ISO-8601 text with the UTC offset; microseconds are shown only when there are any."""
-    at = at.cast("timestamp")
-    utc = F.to_utc_timestamp(at, F.current_timezone())
-    whole = F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss")
+    micros = F.pmod(F.unix_micros(at), F.lit(1_000_000))
     fraction = F.when(
-        F.unix_micros(at) % 1_000_000 != 0, F.date_format(utc, ".SSSSSS")
+        micros != 0, F.concat(F.lit("."), F.lpad(micros.cast("string"), 6, "0"))
     ).otherwise(F.lit(""))
-    return F.concat(whole, fraction, F.lit("+00:00"))
-
-
-def stamp(at: Column) -> Column:
-    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.translate(stamp(at), " ", "T"), fraction, F.lit("+00:00"))
 
 
 def score_text(score: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from supportgraph.functions import rules, text
 from supportgraph.functions.embedding import embed_columns, hashed_embedding, model_embedding
-from supportgraph.functions.parsing import parse_bool, parse_datetime, parse_int
+from supportgraph.functions.parsing import as_utc, parse_bool, parse_datetime, parse_int
 from supportgraph.functions.similarity import cosine_score
 from supportgraph.operators.quality import validate_analysis
 
@@ -61,6 +61,23 @@ def test_iso(spark, value, expected):
     assert one(spark, text.iso_datetime(F.col("a").cast("timestamp")), a=value) == expected
 
 
+def test_times_without_a_zone_are_utc_in_any_session(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        # The second time does not exist on a clock in New York, the third exists twice.
+        for plain in ("2024-01-01 08:00:00", "2024-03-10 02:30:00", "2024-11-03 01:30:00", "2024-02-03"):
+            at = parse_datetime(F.col("a"))
+            clock = plain if " " in plain else f"{plain} 00:00:00"
+            assert one(spark, text.stamp(at), a=plain) == clock
+            assert one(spark, text.iso_datetime(at), a=plain) == clock.replace(" ", "T") + "+00:00"
+            assert one(spark, text.stamp(as_utc(F.col("a").cast("timestamp_ntz"))), a=plain) == clock
+        zoned = parse_datetime(F.col("a"))
+        assert one(spark, text.stamp(zoned), a="2024-01-01T08:00:00-05:00") == "2024-01-01 13:00:00"
+        assert one(spark, text.stamp(zoned), a="2024-01-01 08:00:00Z") == "2024-01-01 08:00:00"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_iso_outside_utc(spark):
     spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
     try:
