@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.functions.rules import FALLBACK_TITLE, analysis_error, strip
+from supportgraph.functions.rules import CATEGORY_CODES, FALLBACK_TITLE, analysis_error, strip
 from supportgraph.functions.similarity import norm
 
 
@@ -55,14 +55,14 @@ def vector_rejects(df: DataFrame, dim: int, vector: str = "embedding") -> DataFr
     return vector_errors(df, dim, vector).where(F.col("error").isNotNull())
 
 
-def validate_analysis(df: DataFrame) -> DataFrame:
+def validate_analysis(df: DataFrame, codes: list[str] = CATEGORY_CODES) -> DataFrame:
     """Strip the texts of valid analysis records and replace invalid ones by the fallback record,
-    whose description is the message of the rule that failed."""
+    whose description is the message of the rule that failed. ``codes``: the known categories."""
     error = "__error"
     ok = F.col(error).isNull()
     return (
         df.withColumn(
-            error, analysis_error(F.col("title"), F.col("description"), F.col("category"))
+            error, analysis_error(F.col("title"), F.col("description"), F.col("category"), codes)
         )
         .withColumns(
             {

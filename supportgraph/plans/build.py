@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.ml.feature import BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +15,9 @@ from supportgraph.operators.quality import (
     dangling_references,
     duplicate_keys,
     valid_vectors,
+    vector_rejects,
 )
-from supportgraph.operators.search import build_index, fit_hasher
+from supportgraph.operators.search import Planes, TicketIndex, build_index, write_index
 from supportgraph.schemas import KEYS, SupportGraph
 from supportgraph.sources.tables import (
     read_csv,
@@ -99,37 +100,81 @@ def with_vectors(graph: SupportGraph, vectors: DataFrame, dim: int) -> SupportGr
     return replace(graph, ticket=attach_vectors(graph.ticket, valid_vectors(vectors, dim)))
 
 
+def quality_rejects(graph: SupportGraph, vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
+    """What is wrong with a graph, in one table: ``label, key, reason, detail``.
+
+    Keys used twice with their number, references to no row with column and value, and, for
+    ``vectors (ticketId, embedding)``, those that cannot be searched with the reason.
+    """
+    repeated = key_violations(graph).select(
+        "label", "key", F.lit("duplicate key").alias("reason"), F.col("n").cast("string").alias("detail")
+    )
+    dangling = reference_report(graph).select(
+        "label",
+        "key",
+        F.lit("dangling reference").alias("reason"),
+        F.concat_ws("=", "column", "value").alias("detail"),
+    )
+    found = repeated.unionByName(dangling)
+    if vectors is None:
+        return found
+    return found.unionByName(
+        vector_rejects(vectors, dim).select(
+            F.lit("ticket").alias("label"),
+            F.col("ticketId").cast("string").alias("key"),
+            F.lit("vector").alias("reason"),
+            F.col("error").alias("detail"),
+        )
+    )
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    """The folder of the build that was finished last."""
+    return f"{root}/{spark.read.text(f'{root}/current').first().value}"
+
+
 def build(
     spark: SparkSession,
     graph: SupportGraph,
     root: str,
     dim: int,
     client_factory: ClientFactory | None = None,
-    **index_settings,
+    rejects: DataFrame | None = None,
+    **index_settings: int,
 ) -> SupportGraph:
-    """Write node tables, edges and the vector index with its hasher under ``root`` and read the
-    tables back.
+    """Write node tables, edges, vectors, rejects and the vector index, and read the tables back.
 
-    Raises when a key is used twice. Edges are stored by type, so a walk reads one type only.
+    Every build goes to a folder of its own under ``root``; only when all is written does
+    ``root/current`` name it, so a failed build leaves the last one as it was, and ``graph`` may
+    have been read from it. Earlier versions stay until they are deleted. Raises when a key is
+    used twice. Edges are stored by type, so a walk reads one type only. ``rejects`` (see
+    ``load_rejects``) are stored together with what ``quality_rejects`` finds.
     """
-    refresh_graph(graph, f"{root}/nodes")
-    stored = read_graph(spark, f"{root}/nodes")
-    repeated = key_violations(stored).limit(5).collect()
+    repeated = key_violations(graph).limit(5).collect()
     if repeated:
         raise ValueError(f"duplicate keys: {[(r.label, r.key) for r in repeated]}")
+    version, top = uuid.uuid4().hex, root
+    root = f"{top}/{version}"
+    refresh_graph(graph, f"{root}/nodes")
+    stored = read_graph(spark, f"{root}/nodes")
     edges = build_edges(stored)
     edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{root}/edges")
     refresh_table(embed_tickets(stored, dim, client_factory).ticket, f"{root}/tickets_embedded")
     full = replace(stored, ticket=spark.read.parquet(f"{root}/tickets_embedded"))
-    rows_per_band = index_settings.get("rows_per_band", 2)
-    vectors = full.ticket.where(F.col("embedding").isNotNull())
-    hasher = fit_hasher(vectors, **index_settings)
-    hasher.write().overwrite().save(f"{root}/hasher")
-    refresh_table(build_index(vectors, hasher, dim, rows_per_band=rows_per_band), f"{root}/index")
+    planes = Planes(dim, **index_settings)
+    write_index(build_index(full.ticket, planes), f"{root}/index")
+    settings = spark.createDataFrame([(dim, planes.bands, planes.bits)], "dim int, bands int, bits int")
+    refresh_table(settings.coalesce(1), f"{root}/index_settings")
+    found = quality_rejects(stored, full.ticket.select("ticketId", "embedding"), dim)
+    refresh_table(found if rejects is None else rejects.unionByName(found), f"{root}/rejects")
+    spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
+        f"{top}/current"
+    )
     return full
 
 
-def load_index(spark: SparkSession, root: str) -> tuple[DataFrame, BucketedRandomProjectionLSHModel]:
-    """The stored index and the hasher to look questions up with."""
-    hasher = BucketedRandomProjectionLSHModel.load(f"{root}/hasher")
-    return spark.read.parquet(f"{root}/index"), hasher
+def load_index(spark: SparkSession, root: str) -> TicketIndex:
+    """The stored index with the planes to look questions up with."""
+    root = current_version(spark, root)
+    planes = Planes(*spark.read.parquet(f"{root}/index_settings").first())
+    return TicketIndex(spark.read.parquet(f"{root}/index"), planes)

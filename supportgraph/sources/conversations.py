@@ -15,20 +15,63 @@ def _file_name(path) -> F.Column:
     return F.url_decode(F.element_at(F.split(path, "/"), -1))
 
 
-def load_conversation_files(spark: SparkSession, path: str) -> DataFrame:
+def _conversation_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``file, conv_id, value, list, reason``: the reason is why a file cannot be used."""
+    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
+    name = _file_name(F.col("_metadata.file_path"))
+    label = F.col("conv_id").cast("string") if "conv_id" in files.columns else label_of(name)
+    listed = F.from_json("value", TURNS)
+    bad_message = F.exists("list", lambda m: m.isNull() | m["role"].isNull())
+    return files.select(
+        name.alias("file"), label.alias("conv_id"), "value", listed.alias("list")
+    ).withColumn(
+        "reason",
+        F.when(F.trim("value") == "", "empty")
+        .when(F.col("list").isNull(), "no list of messages")
+        .when(bad_message, "message without role"),
+    )
+
+
+def load_conversation_files(
+    spark: SparkSession, path: str, pattern: str = "*.json", skip_rejects: bool = False
+) -> DataFrame:
     """Turns of conversations stored as one JSON list per file.
 
-    The position in the list is the turn and the file name up to its first dot is the
-    conversation. An empty or broken file gives no turns. File names must not contain a colon.
+    The position in the list is the turn. The conversation is the file name up to its first dot,
+    or the folder where this is called ``conv_id=<id>``. File names must not contain a colon. A file that is empty, no list, or has a
+    message without a role fails the job; with ``skip_rejects`` it is left out, for the caller to
+    store ``conversation_rejects``.
     """
-    files = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True)
-    turns = files.select(
-        label_of(_file_name(F.col("_metadata.file_path"))).alias("conv_id"),
-        F.posexplode(F.from_json("value", TURNS)).alias("turn", "message"),
-    )
+    files = _conversation_files(spark, path, pattern)
+    if skip_rejects:
+        files = files.where("reason IS NULL")
+    else:
+        message = F.concat_ws(": ", "file", "reason")
+        checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast(TURNS))
+        files = files.withColumn("list", checked.otherwise(F.col("list")))
+    turns = files.select("conv_id", F.posexplode("list").alias("turn", "message"))
     return turns.select("conv_id", "turn", "message.role", "message.content")
 
 
+def conversation_rejects(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
+    """Conversation files that cannot be used: ``file, reason``."""
+    return _conversation_files(spark, path, pattern).where("reason IS NOT NULL").select("file", "reason")
+
+
+def write_conversation_files(messages: DataFrame, path: str) -> None:
+    """One JSON list per conversation, in a folder per conversation: ``conv_id=<id>/part-….txt``.
+
+    A conversation is gathered by one task, so this is an export for short ones; logs are stored by
+    ``append_conversations``.
+    """
+    entry = F.struct("turn", "content", "role")
+    lists = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("ordered"))
+    text = F.to_json(
+        F.transform("ordered", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    )
+    lists.select("conv_id", text.alias("value")).write.partitionBy("conv_id").text(path)
+
+
 def append_conversations(messages: DataFrame, path: str) -> None:
     """Add turns to a log with one JSON object per line.
 

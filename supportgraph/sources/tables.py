@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -9,7 +11,15 @@ from pyspark.sql.types import StructType
 from supportgraph.functions.parsing import parse_vector, typed
 from supportgraph.schemas import KEYS, SCHEMAS, SupportGraph
 
-CSV_OPTIONS = {"header": True, "quote": '"', "escape": '"'}
+# The writer would strip blanks at the ends of a text. An empty text and null are the same in these
+# files: both are read as null.
+CSV_OPTIONS = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
@@ -49,8 +59,29 @@ def load_node_table(spark: SparkSession, label: str, path: str, multi_line: bool
     return with_key(apply_schema(rows, SCHEMAS[label]), KEYS[label])
 
 
+def load_rejects(
+    spark: SparkSession, paths: dict[str, str], multi_line: bool = True
+) -> DataFrame:
+    """The rows that ``load_graph`` leaves out, for they have no key: ``label, key, reason, detail``
+    with the row as it was read, as JSON, for the detail."""
+    parts = []
+    for label in SCHEMAS:
+        rows = read_csv(spark, paths[label], multi_line)
+        key = F.col(KEYS[label]) if KEYS[label] in rows.columns else F.lit(None)
+        parts.append(
+            rows.where(key.isNull()).select(
+                F.lit(label).alias("label"),
+                F.lit(None).cast("string").alias("key"),
+                F.lit("no key").alias("reason"),
+                F.to_json(F.struct("*")).alias("detail"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
+
+
 def load_graph(spark: SparkSession, paths: dict[str, str], multi_line: bool = True) -> SupportGraph:
-    """The seven node tables, from one CSV path per label."""
+    """The seven node tables, from one CSV path per label. Rows without a key are not among them:
+    see ``load_rejects``."""
     return SupportGraph(
         **{label: load_node_table(spark, label, paths[label], multi_line) for label in SCHEMAS}
     )

@@ -83,14 +83,50 @@ def files(tmp_path):
     return str(tmp_path)
 
 
-def test_conversation_files(spark, files):
-    rows = logs.load_conversation_files(spark, files).orderBy("turn").collect()
+def test_conversation_files(spark, files, tmp_path):
+    rows = logs.load_conversation_files(spark, files, skip_rejects=True).orderBy("turn").collect()
     assert [tuple(r) for r in rows] == [
         ("2024-01-01 10", 0, "system", 'Hé "q"'),
         ("2024-01-01 10", 1, "user", "two\nlines"),
     ]
 
 
+def test_broken_conversation_files(spark, files, tmp_path):
+    with pytest.raises(Exception, match="broken.json: no list of messages"):
+        logs.load_conversation_files(spark, files).collect()
+    (tmp_path / "blank.json").write_text(" ")
+    (tmp_path / "role.json").write_text('[{"content": "x"}]')
+    assert sorted(tuple(r) for r in logs.conversation_rejects(spark, files).collect()) == [
+        ("blank.json", "empty"),
+        ("broken.json", "no list of messages"),
+        ("role.json", "message without role"),
+    ]
+
+
+def test_conversation_files_round_trip(spark, tmp_path):
+    path = str(tmp_path / "lists")
+    rows = [("a", 0, "user", "x\ny"), ("a", 1, "assistant", ""), ("b", 0, "user", 'q"')]
+    messages = spark.createDataFrame(rows, "conv_id string, turn int, role string, content string")
+    logs.write_conversation_files(messages, path)
+    back = logs.load_conversation_files(spark, path, pattern="*.txt")
+    assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_csv_keeps_white_space(spark, tmp_path):
+    path = str(tmp_path / "csv")
+    texts = ["  lead and trail  ", "tab\t", "\u00a0x\r\ny ", '"', ' "q" ', ",", "\\", None]
+    rows = spark.createDataFrame([(f"t{i}", t, [1.0]) for i, t in enumerate(texts)], "ticketId string, title string, embedding array<double>")
+    tables.write_csv_with_vectors(rows, path)
+    back = {r.ticketId: r.title for r in tables.read_csv(spark, path).collect()}
+    assert [back[f"t{i}"] for i in range(len(texts))] == texts
+
+
+def test_rows_without_key_are_reported(spark, csv_paths):
+    rejects = tables.load_rejects(spark, csv_paths).collect()
+    assert [(r.label, r.key, r.reason) for r in rejects] == [("user", None, "no key")]
+    assert json.loads(rejects[0].detail)["username"] == "ghost"
+
+
 def test_file_listing(spark, files):
     rows = logs.list_conversation_files(spark, files).collect()
     assert [r.file_name for r in rows] == ["broken.json", "empty.json", "2024-01-01 10.5.json"]
