@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from supportgraph.operators.ranking import rank_in_group
+
 # Roles passed to a model, and roles shown to a reader.
 MODEL_ROLES = ["user", "assistant", "system"]
 SHOWN_ROLES = ["user", "assistant"]
@@ -139,13 +141,27 @@ def upsert_system_prompt(messages: DataFrame, system_prompt: str) -> DataFrame:
     return updated.select("conv_id", "turn", "role", "content").unionByName(added)
 
 
-def new_turns(messages: DataFrame, answers: DataFrame, system_prompt: str = "") -> DataFrame:
-    """Rows to add for ``answers (conv_id, question, answer)``, one per conversation: the system
-    prompt if the conversation has none, the question, the answer. A conversation not seen before
-    starts at turn 0."""
+def new_turns(
+    messages: DataFrame, answers: DataFrame, system_prompt: str = "", order: str | None = None
+) -> DataFrame:
+    """Rows to add for ``answers (conv_id, question, answer)``: the system prompt if the
+    conversation has none, then question and answer, two turns for every answer. A conversation not
+    seen before starts at turn 0.
+
+    Answers of one conversation follow each other by the column ``order``, and by their texts where
+    there is none or it is the same, so every turn of a conversation is one row. They are numbered
+    over range partitions, so a conversation may have any number of them.
+    """
     stats = conversation_stats(messages)
-    known = answers.join(stats, "conv_id", "left")
-    first = F.coalesce(F.col("last_turn") + 1, F.lit(0))
+    by = ([F.col(order)] if order else []) + [F.col("question"), F.col("answer")]
+    numbered = rank_in_group(answers, "conv_id", by, "__number")
+    known = numbered.join(stats, "conv_id", "left")
+    start = F.coalesce(F.col("last_turn") + 1, F.lit(0))
+    earlier = F.col("__number") - 1
+    extra = F.lit(0)
+    if system_prompt:
+        extra = F.when((earlier > 0) & ~F.coalesce("has_system", F.lit(False)), 1).otherwise(0)
+    first = start + earlier * 2 + extra
     rows = [
         F.struct(F.lit("user").alias("role"), F.col("question").alias("content")),
         F.struct(F.lit("assistant").alias("role"), F.col("answer").alias("content")),
@@ -155,7 +171,7 @@ def new_turns(messages: DataFrame, answers: DataFrame, system_prompt: str = "")
         system = F.array(
             F.struct(F.lit("system").alias("role"), F.lit(system_prompt).alias("content"))
         )
-        pair = F.when(F.coalesce("has_system", F.lit(False)), pair).otherwise(
+        pair = F.when(F.coalesce("has_system", F.lit(False)) | (earlier > 0), pair).otherwise(
             F.concat(system, pair)
         )
     turn_type = messages.schema["turn"].dataType
@@ -167,8 +183,10 @@ def new_turns(messages: DataFrame, answers: DataFrame, system_prompt: str = "")
     )
 
 
-def append_turns(messages: DataFrame, answers: DataFrame, system_prompt: str = "") -> DataFrame:
+def append_turns(
+    messages: DataFrame, answers: DataFrame, system_prompt: str = "", order: str | None = None
+) -> DataFrame:
     """The log with the new turns. To store, append only ``new_turns``."""
     return messages.select("conv_id", "turn", "role", "content").unionByName(
-        new_turns(messages, answers, system_prompt)
+        new_turns(messages, answers, system_prompt, order)
     )

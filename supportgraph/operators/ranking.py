@@ -26,12 +26,13 @@ def rank_in_group(
         sliced.groupBy(group, part)
         .agg(F.count("*").alias("__n"))
         .withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-        .drop("__n")
+        .select(F.col(group).alias("__group"), F.col(part).alias("__of"), "__offset")
     )
+    same = F.col(group).eqNullSafe(F.col("__group")) & (F.col(part) == F.col("__of"))
     inside = Window.partitionBy(group, part).orderBy(*order)
     return (
         sliced.withColumn("__place", F.row_number().over(inside))
-        .join(offsets, [group, part])
+        .join(offsets, same)
         .withColumn(out, F.col("__place") + F.col("__offset"))
-        .drop(part, "__place", "__offset")
+        .drop(part, "__place", "__offset", "__group", "__of")
     )

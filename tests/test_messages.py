@@ -79,4 +79,16 @@ def test_append(spark, log):
         ("c", 0, "system", "sys"), ("c", 1, "user", "q"), ("c", 2, "assistant", "r"),
     ]
     assert talk.append_turns(log, answers, "sys").count() == 16
+    several = spark.createDataFrame(
+        [("b", "q2", "r2", 2), ("b", "q1", "r1", 1), ("c", "q", "r", 1), ("b", "q1", "r1", 1), (None, "q", "r", 1)],
+        "conv_id string, question string, answer string, at int",
+    )
+    added = rows(talk.new_turns(log, several, "sys", "at").where("conv_id = 'b'"))
+    assert added == [
+        ("b", 2, "system", "sys"), ("b", 3, "user", "q1"), ("b", 4, "assistant", "r1"),
+        ("b", 5, "user", "q1"), ("b", 6, "assistant", "r1"),
+        ("b", 7, "user", "q2"), ("b", 8, "assistant", "r2"),
+    ]
+    assert talk.new_turns(log, several, "sys", "at").count() == 13
+    assert [r[1] for r in rows(talk.new_turns(log, several.where("conv_id = 'a'"), "", "at"))] == []
     assert len(rows(talk.new_turns(log, answers))) == 6
