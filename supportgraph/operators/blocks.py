@@ -1,4 +1,4 @@
-"""Top-k over one block of queries and one block of tickets: the part that runs inside a task."""
+"""Top-k over one block of queries and any number of ticket blocks: the part inside a task."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from supportgraph.functions.similarity import SCORE_DECIMALS
 
 QUERY_STEP = 1024
 TICKET_STEP = 4096
-PENDING_LIMIT = 2_000_000
 
 
 def unit_rows(ids: pa.Array, vectors: pa.Array, dim: int) -> tuple[pa.Array, np.ndarray]:
@@ -36,36 +35,64 @@ class TopK:
     """The k best tickets of every query, over any number of ticket blocks.
 
     Equal scores are ordered by ticket id, so the result does not depend on the order of blocks.
+    With ``codes``, rows of numbers, a query only meets tickets that have the same number in the
+    same place. No more than ``pending_most`` rows are ever held, whatever the number of tickets.
     """
 
-    def __init__(self, queries: np.ndarray, k: int, min_score: float | None, normalized: bool):
+    def __init__(
+        self,
+        queries: np.ndarray,
+        k: int,
+        min_score: float | None,
+        normalized: bool,
+        codes: np.ndarray | None = None,
+    ):
         self.queries = queries
+        self.codes = codes
         self.k = k
         self.normalized = normalized
         # Lowest score that can still enter the result of each query.
         self.floor = np.full(len(queries), -np.inf if min_score is None else min_score)
         self.pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.pending_rows = 0
+        self.compact_at = 2 * k * len(queries) + QUERY_STEP
+        self.pending_most = self.compact_at + QUERY_STEP * k
 
-    def push(self, ids: pa.Array, rows: np.ndarray) -> None:
+    def push(self, ids: pa.Array, rows: np.ndarray, codes: np.ndarray | None = None) -> None:
         if self.k == 0 or len(rows) == 0:
             return
         names = _sortable(ids)
+        order = np.argsort(names, kind="stable")
         for t in range(0, len(rows), TICKET_STEP):
-            block, block_names = rows[t : t + TICKET_STEP], names[t : t + TICKET_STEP]
+            chosen = order[t : t + TICKET_STEP]
+            own = codes[chosen] if codes is not None else None
             for q in range(0, len(self.queries), QUERY_STEP):
-                self._score(q, block, block_names)
-        if self.pending_rows > PENDING_LIMIT:
-            self._compact()
-
-    def _score(self, start: int, block: np.ndarray, names: np.ndarray) -> None:
+                self._score(q, rows[chosen], names[chosen], own)
+                if self.pending_rows > self.compact_at:
+                    self._compact()
+
+    def _score(
+        self, start: int, block: np.ndarray, names: np.ndarray, codes: np.ndarray | None
+    ) -> None:
+        """Add the best of a block, at most k per query; ``names`` are in order."""
         cosine = self.queries[start : start + QUERY_STEP] @ block.T
         scores = np.round((1 + cosine) / 2 if self.normalized else cosine, SCORE_DECIMALS)
+        if codes is not None:
+            meet = np.zeros(scores.shape, bool)
+            for own, other in zip(self.codes[start : start + QUERY_STEP].T, codes.T):
+                meet |= own[:, None] == other
+            scores[~meet] = -np.inf
         floor = self.floor[start : start + QUERY_STEP]
-        if scores.shape[1] > self.k:
-            # All tickets that tie with the k-th best are kept; the ids decide later.
-            floor = np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k])
-        row, column = np.nonzero(scores >= floor[:, None])
+        if scores.shape[1] >= self.k:
+            np.maximum(floor, np.partition(scores, -self.k, axis=1)[:, -self.k], out=floor)
+        keep = (scores >= floor[:, None]) & (scores > -np.inf)
+        over = np.flatnonzero(keep.sum(axis=1) > self.k)
+        if len(over):  # of those that tie with the k-th best, the first ones by name
+            better = scores[over] > floor[over, None]
+            tied = scores[over] == floor[over, None]
+            room = self.k - better.sum(axis=1)
+            keep[over] = better | (tied & (np.cumsum(tied, axis=1) <= room[:, None]))
+        row, column = np.nonzero(keep)
         if len(row):
             self.pending.append((row + start, scores[row, column], names[column]))
             self.pending_rows += len(row)

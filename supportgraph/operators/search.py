@@ -6,17 +6,14 @@ at most k rows per query, and the last step ranks those.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import (
-    BucketedRandomProjectionLSH,
-    BucketedRandomProjectionLSHModel,
-    Normalizer,
-)
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -26,17 +23,20 @@ from supportgraph.workspace import materialize
 
 QUERY_ID, TICKET_ID, VECTOR = "query_id", "ticketId", "embedding"
 
-# Queries up to this size are sent to every executor. Larger query tables are cut into blocks of
-# this size and shuffled.
+# Queries are sent to every executor in blocks of this size.
 BROADCAST_BYTES = 64 << 20
-# Size of the ticket side of one shuffled block.
-TICKET_BLOCK_BYTES = 128 << 20
+# Tasks of one scan of the tickets, per core: each of them hands on k rows per query.
+TASKS_PER_CORE = 4
 
 
 def _searchable(df: DataFrame, key: str, dim: int) -> DataFrame:
-    """Key and vector of the rows that can be compared; zero vectors are left out in the tasks."""
+    """Key and vector of the rows that can be compared; zero vectors are left out in the tasks.
+    ``vector_rejects`` tells which are not."""
     return df.select(key, VECTOR).where(
-        F.col(key).isNotNull() & F.col(VECTOR).isNotNull() & (F.size(VECTOR) == dim)
+        F.col(key).isNotNull()
+        & F.col(VECTOR).isNotNull()
+        & (F.size(VECTOR) == dim)
+        & ~F.exists(VECTOR, lambda x: x.isNull())
     )
 
 
@@ -50,72 +50,56 @@ def _hit_schema(queries: DataFrame, tickets: DataFrame) -> StructType:
     )
 
 
-def _hits(best: TopK, query_ids: pa.Array, ticket_type: pa.DataType) -> list[pa.Array]:
-    position, score, name = best.result()
-    return [
-        query_ids.take(pa.array(position, pa.int64())),
-        pa.array(name.tolist(), ticket_type),
-        pa.array(score, pa.float64()),
-    ]
-
-
 def best_per_query(hits: DataFrame, k: int) -> DataFrame:
-    """The k best hits of each query with their ``rank``.
-
-    Spark keeps k rows per query in every map task before the shuffle.
-    """
+    """The k best hits of each query with their ``rank``."""
     order = Window.partitionBy(QUERY_ID).orderBy(F.desc("score"), TICKET_ID)
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _search_broadcast(
-    queries: pa.Table, tickets: DataFrame, schema: StructType, k, dim, min_score, score_mode
+def _scan(
+    queries: pa.Table, tickets: DataFrame, schema: StructType, k, dim, min_score, score_mode, planes
 ) -> DataFrame:
+    """The k best of one block of queries, written to the shared folder."""
     ids, rows = unit_rows(queries.column(0), queries.column(1), dim)
     shared = tickets.sparkSession.sparkContext.broadcast((ids, rows))
     normalized = score_mode == "normalized"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows = shared.value
-        best, ticket_type = TopK(query_rows, k, min_score, normalized), None
+        codes = planes.codes(query_rows) if planes else None
+        best, ticket_type = TopK(query_rows, k, min_score, normalized, codes), None
         for batch in batches:
             ticket_type = batch.schema.field(0).type
-            best.push(*unit_rows(batch.column(0), batch.column(1), dim))
+            names, block = unit_rows(batch.column(0), batch.column(1), dim)
+            best.push(names, block, planes.codes(block) if planes else None)
         if ticket_type is not None:
-            columns = _hits(best, query_ids, ticket_type)
+            position, score, name = best.result()
+            columns = [
+                query_ids.take(pa.array(position, pa.int64())),
+                pa.array(name.tolist(), ticket_type),
+                pa.array(score, pa.float64()),
+            ]
             yield pa.RecordBatch.from_arrays(columns, names=[QUERY_ID, TICKET_ID, "score"])
 
-    return tickets.mapInArrow(scan, schema)
+    found = materialize(best_per_query(tickets.mapInArrow(scan, schema), k), "hits")
+    shared.destroy()
+    return found
 
 
-def _search_cells(
-    queries: DataFrame, tickets: DataFrame, cell: list[str], schema, k, dim, min_score, score_mode
+def _search(
+    queries: DataFrame, tickets: DataFrame, k, dim, min_score, score_mode, broadcast_bytes, planes=None
 ) -> DataFrame:
-    """Search inside cells: both sides carry the columns of ``cell``, and only rows of the same
-    cell meet. The caller keeps cells small enough for one task."""
-    normalized = score_mode == "normalized"
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, query_rows = unit_rows(left.column(QUERY_ID), left.column(VECTOR), dim)
-        best = TopK(query_rows, k, min_score, normalized)
-        best.push(*unit_rows(right.column(TICKET_ID), right.column(VECTOR), dim))
-        columns = _hits(best, query_ids, right.schema.field(TICKET_ID).type)
-        return pa.Table.from_arrays(columns, names=[QUERY_ID, TICKET_ID, "score"])
-
-    return (
-        queries.groupBy(*cell).cogroup(tickets.groupBy(*cell)).applyInArrow(search, schema)
-    )
-
-
-def _parts(rows: int, per_part: int) -> int:
-    return max(ceil(rows / per_part), 1)
-
-
-def _spread(df: DataFrame, key: str, own, other, own_name: str, other_name: str) -> DataFrame:
-    """Give each row one part of its own side and a copy for each part of the other side."""
-    return df.withColumn(own_name, F.pmod(F.xxhash64(key), own).cast("int")).withColumn(
-        other_name, F.explode(F.sequence(F.lit(0), (other - 1).cast("int")))
-    )
+    schema = _hit_schema(queries, tickets)
+    stored = materialize(_searchable(queries, QUERY_ID, dim), "queries")
+    tasks = TASKS_PER_CORE * stored.sparkSession.sparkContext.defaultParallelism
+    few = _searchable(tickets, TICKET_ID, dim).coalesce(max(tasks, 1))
+    blocks = max(ceil(stored.count() * 8 * dim / broadcast_bytes), 1)
+    block_of = F.pmod(F.xxhash64(QUERY_ID), F.lit(blocks))
+    parts = []
+    for number in range(blocks):
+        part = stored.where(block_of == number) if blocks > 1 else stored
+        parts.append(_scan(part.toArrow(), few, schema, k, dim, min_score, score_mode, planes))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def exact_topk(
@@ -126,138 +110,126 @@ def exact_topk(
     min_score: float | None = None,
     score_mode: str = "normalized",
     broadcast_bytes: int = BROADCAST_BYTES,
-    ticket_block_bytes: int = TICKET_BLOCK_BYTES,
 ) -> DataFrame:
-    """The k most similar tickets of every query: ``query_id, ticketId, score, rank``.
+    """The k most similar tickets of every query: ``query_id, ticketId, score, rank``, written to
+    the shared folder.
 
     ``queries`` has ``query_id`` and ``embedding``, ``tickets`` has ``ticketId`` and
     ``embedding``. A threshold is applied in the tasks: a ticket below it cannot push a ticket
     above it out of the k best, so this gives what filtering the k best afterwards gives.
 
-    Queries are counted first. When they fit in ``broadcast_bytes``, they are sent to all
-    executors and tickets are scanned where they lie. Otherwise both sides are cut into blocks by
-    a hash of their ids, and every query block meets every ticket block in a task of its own.
-    Queries are read two or three times: write them out first if they are costly to compute.
+    Queries are written out once and sent to all executors in blocks of about ``broadcast_bytes``,
+    one scan of the tickets for each block; tickets are never shuffled. A scan has a few tasks per
+    core, each reads many splits and keeps a rising floor for every query, so what is shuffled
+    grows with the cores and not with the splits.
     """
-    queries = _searchable(queries, QUERY_ID, dim)
-    tickets = _searchable(tickets, TICKET_ID, dim)
-    schema = _hit_schema(queries, tickets)
-    row_bytes = 8 * dim
-    most = max(broadcast_bytes // row_bytes, 1)
-    n_queries = queries.count()
-    if n_queries <= most:
-        hits = _search_broadcast(
-            queries.toArrow(), tickets, schema, k, dim, min_score, score_mode
-        )
-    else:
-        query_parts = F.lit(_parts(n_queries, most))
-        ticket_parts = F.lit(_parts(tickets.count(), max(ticket_block_bytes // row_bytes, 1)))
-        left = _spread(queries, QUERY_ID, query_parts, ticket_parts, "__q", "__t")
-        right = _spread(tickets, TICKET_ID, ticket_parts, query_parts, "__t", "__q")
-        hits = _search_cells(
-            left, right, ["__q", "__t"], schema, k, dim, min_score, score_mode
-        )
-    return best_per_query(hits, k)
+    return _search(queries, tickets, k, dim, min_score, score_mode, broadcast_bytes)
 
 
 # --- index and approximate search ---------------------------------------------------------------
 
 
-def fit_hasher(
-    df: DataFrame,
-    bands: int = 4,
-    rows_per_band: int = 2,
-    bucket_length: float = 0.5,
-    seed: int = 7,
-) -> BucketedRandomProjectionLSHModel:
-    """Random projections for vectors of the length found in ``df``. The seed decides them, so
-    queries and tickets can be hashed in different runs."""
-    hasher = BucketedRandomProjectionLSH(
-        inputCol="__unit",
-        outputCol="__hashes",
-        numHashTables=bands * rows_per_band,
-        bucketLength=bucket_length,
-        seed=seed,
-    )
-    return hasher.fit(df.select(array_to_vector(VECTOR).alias("__unit")).limit(1))
+@dataclass(frozen=True)
+class Planes:
+    """Signed projections that cut vectors into buckets: ``bands`` times ``bits`` planes.
 
+    The sign of a plane in a dimension comes from the MD5 of their numbers, so any two runs, and SQL,
+    agree. Vectors at an angle a share a band with probability (1 - a / 180°) ** bits: more bands
+    find more, more bits look at fewer tickets.
+    """
 
-def build_index(
-    df: DataFrame,
-    hasher: BucketedRandomProjectionLSHModel,
-    dim: int,
-    key: str = TICKET_ID,
-    rows_per_band: int = 2,
-) -> DataFrame:
-    """Unit vectors with one bucket id per band: ``key, embedding, bands``. Write it to Parquet
-    once and search it many times."""
-    vectors = _searchable(df, key, dim).where(F.exists(VECTOR, lambda x: x != 0))
-    unit = Normalizer(inputCol="__vector", outputCol="__unit").transform(
-        vectors.select(key, array_to_vector(F.col(VECTOR).cast("array<double>")).alias("__vector"))
-    )
-    hashes = F.transform("__hashes", lambda h: F.element_at(vector_to_array(h), 1))
-    tables = hasher.getNumHashTables()
-    bands = [
-        F.xxhash64(F.lit(i), F.slice("__flat", i * rows_per_band + 1, rows_per_band))
-        for i in range(tables // rows_per_band)
-    ]
-    return (
-        hasher.transform(unit)
-        .withColumn("__flat", hashes)
-        .select(key, vector_to_array("__unit").alias(VECTOR), F.array(*bands).alias("bands"))
-    )
+    dim: int
+    bands: int = 40
+    bits: int = 6
+
+    def signs(self) -> np.ndarray:
+        def sign(plane: int, dimension: int) -> int:
+            return 1 if hashlib.md5(f"{plane}:{dimension}".encode()).hexdigest()[0] < "8" else -1
+
+        return np.array(
+            [[sign(p, d) for d in range(self.dim)] for p in range(self.bands * self.bits)], np.float64
+        )
+
+    def codes(self, rows: np.ndarray) -> np.ndarray:
+        """The bucket of each row in each band."""
+        if not hasattr(self, "_signs"):
+            object.__setattr__(self, "_signs", self.signs())
+        # Sums that should be zero may differ from it by the order of adding: they count as above.
+        above = (rows @ self._signs.T >= -1e-9).reshape(len(rows), self.bands, self.bits)
+        return above @ (1 << np.arange(self.bits))
+
+
+@dataclass(frozen=True)
+class TicketIndex:
+    """The stored entries of an index (see ``build_index``) and the planes it was built with."""
+
+    entries: DataFrame
+    planes: Planes
+
+
+def build_index(df: DataFrame, planes: Planes, key: str = TICKET_ID) -> DataFrame:
+    """One row per vector and band, without the vector: ``band, bucket, key``."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = unit_rows(batch.column(0), batch.column(1), planes.dim)
+            codes = planes.codes(rows) if len(rows) else np.zeros((0, planes.bands), int)
+            for band in range(planes.bands):
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(rows), band, np.int32)),
+                        pa.array(codes[:, band].astype(np.int32)),
+                        ids,
+                    ],
+                    names=["band", "bucket", key],
+                )
+
+    schema = f"band int, bucket int, `{key}` {kind}"
+    return _searchable(df, key, planes.dim).mapInArrow(hashed, schema)
+
+
+def write_index(index: DataFrame, path: str) -> None:
+    """Store an index by band, sorted by bucket: a lookup reads the bands and row groups it needs."""
+    spread = index.repartitionByRange("band", "bucket", index.columns[2])
+    ordered = spread.sortWithinPartitions("band", "bucket")
+    ordered.write.mode("overwrite").partitionBy("band").parquet(path)
+
+
+def add_to_index(df: DataFrame, planes: Planes, path: str, key: str = TICKET_ID) -> None:
+    """Index new tickets beside those stored. Changed tickets need no removal: a ticket is compared
+    by its present vector, and an entry under an old bucket only makes it a candidate there."""
+    build_index(df, planes, key).write.mode("append").partitionBy("band").parquet(path)
+
+
+def candidates(queries: DataFrame, index: TicketIndex) -> DataFrame:
+    """The tickets that share a bucket with any query. The buckets wanted are broadcast: there are
+    no more than ``bands << bits`` of them, whatever the number of queries."""
+    wanted = build_index(queries, index.planes, QUERY_ID).select("band", "bucket").distinct()
+    near = index.entries.join(F.broadcast(wanted), ["band", "bucket"], "left_semi")
+    return near.select(TICKET_ID).distinct()
 
 
 def approx_topk(
     queries: DataFrame,
-    index: DataFrame,
+    index: TicketIndex,
+    tickets: DataFrame,
     k: int,
-    dim: int,
     min_score: float | None = None,
     score_mode: str = "normalized",
-    block_rows: int = 16_384,
+    broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """The k most similar tickets among those that share a band with the query.
 
-    Both sides come from ``build_index`` with the same hasher. Rows meet only inside their band
-    bucket. A bucket with more than ``block_rows`` rows on a side is cut into blocks by a hash of
-    the ids, and every block of one side meets every block of the other, so a bucket that holds a
-    third of all tickets is many tasks and loses nothing.
+    The index names the tickets in the queries' buckets; only their vectors are read, once, however
+    many buckets they share. These are searched like in ``exact_topk``, except that a query meets
+    only tickets that lie in one of its buckets. So a bucket may hold any share of the tickets and
+    loses nothing.
     """
-    schema = _hit_schema(queries, index)
-    left = queries.select(QUERY_ID, VECTOR, F.explode("bands").alias("band"))
-    right = index.select(TICKET_ID, VECTOR, F.explode("bands").alias("band"))
-    buckets = materialize(_shared_buckets(left, right, block_rows), "buckets")
-
-    def cut(df: DataFrame, key: str, own: str, other: str, own_name: str, other_name: str):
-        # The join drops the rows of buckets that only one side has, before any vector is moved.
-        return _spread(
-            df.join(buckets, "band"), key, F.col(own), F.col(other), own_name, other_name
-        ).drop("query_parts", "ticket_parts")
-
-    hits = _search_cells(
-        cut(left, QUERY_ID, "query_parts", "ticket_parts", "__q", "__t"),
-        cut(right, TICKET_ID, "ticket_parts", "query_parts", "__t", "__q"),
-        ["band", "__q", "__t"],
-        schema,
-        k,
-        dim,
-        min_score,
-        score_mode,
-    )
-    # A ticket may be found in several bands; its score is the same in each.
-    once = hits.groupBy(QUERY_ID, TICKET_ID).agg(F.max("score").alias("score"))
-    return best_per_query(once, k)
-
-
-def _shared_buckets(left: DataFrame, right: DataFrame, block_rows: int) -> DataFrame:
-    """Buckets with rows on both sides, with the number of blocks of either side. Counts are
-    combined before the shuffle."""
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("band").agg(F.ceil(F.count("*") / block_rows).cast("int").alias(name))
-
-    return counted(left, "query_parts").join(counted(right, "ticket_parts"), "band")
+    planes = index.planes
+    queries = materialize(_searchable(queries, QUERY_ID, planes.dim), "questions")
+    near = tickets.join(candidates(queries, index), TICKET_ID, "left_semi")
+    return _search(queries, near, k, planes.dim, min_score, score_mode, broadcast_bytes, planes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

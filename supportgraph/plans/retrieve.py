@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import BucketedRandomProjectionLSHModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supportgraph.functions.embedding import ClientFactory, embed_columns
-from supportgraph.functions.rules import needs_search
+from supportgraph.functions.rules import CATEGORIES, needs_search
 from supportgraph.functions.text import (
     UNKNOWN_AUTHOR,
     iso_datetime,
@@ -18,7 +17,7 @@ from supportgraph.functions.text import (
 )
 from supportgraph.operators.context import LARGE_TICKET, solution_cards, with_author_role
 from supportgraph.operators.ranking import rank_in_group
-from supportgraph.operators.search import approx_topk, build_index, exact_topk
+from supportgraph.operators.search import TicketIndex, approx_topk, exact_topk
 from supportgraph.operators.triage import triage
 from supportgraph.options import HANDLER, RETRIEVER, RetrievalOptions
 from supportgraph.schemas import SupportGraph
@@ -31,21 +30,23 @@ def closed_tickets(graph: SupportGraph) -> DataFrame:
 
 
 def find_tickets(
-    questions: DataFrame, graph: SupportGraph, options: RetrievalOptions
+    questions: DataFrame,
+    graph: SupportGraph,
+    options: RetrievalOptions,
+    index: TicketIndex | None = None,
 ) -> DataFrame:
-    """Hits ``query_id, ticketId, score, rank`` above the threshold, written to the shared folder."""
+    """Hits ``query_id, ticketId, score, rank`` above the threshold, written to the shared folder:
+    of all tickets, or of those that share a bucket of ``index`` with the question."""
     tickets = graph.ticket
     if options.filter_mode == "pre":
         tickets = closed_tickets(graph)
-    hits = exact_topk(
-        questions,
-        tickets,
-        options.top_k,
-        options.dim,
-        options.min_score,
-        options.score_mode,
+    if index is None:
+        return exact_topk(
+            questions, tickets, options.top_k, options.dim, options.min_score, options.score_mode
+        )
+    return approx_topk(
+        questions, index, tickets, options.top_k, options.min_score, options.score_mode
     )
-    return materialize(hits, "hits")
 
 
 def _author(role: F.Column) -> F.Column:
@@ -103,46 +104,14 @@ def answer_hits(hits: DataFrame, graph: SupportGraph, options: RetrievalOptions)
 
 
 def retrieve(
-    questions: DataFrame, graph: SupportGraph, options: RetrievalOptions = RETRIEVER
-) -> DataFrame:
-    """Past solutions for ``questions (query_id, embedding)``; see ``answer_hits``."""
-    return answer_hits(find_tickets(questions, graph, options), graph, options)
-
-
-def find_tickets_with_index(
-    questions: DataFrame,
-    index: DataFrame,
-    hasher: BucketedRandomProjectionLSHModel,
-    graph: SupportGraph,
-    options: RetrievalOptions,
-    rows_per_band: int = 2,
-) -> DataFrame:
-    """Like ``find_tickets``, among the tickets that share an index bucket with the question."""
-    if options.filter_mode == "pre":
-        index = index.join(closed_tickets(graph).select("ticketId"), "ticketId", "left_semi")
-    hashed = build_index(questions, hasher, options.dim, "query_id", rows_per_band)
-    hits = approx_topk(
-        materialize(hashed, "question-index"),
-        index,
-        options.top_k,
-        options.dim,
-        options.min_score,
-        options.score_mode,
-    )
-    return materialize(hits, "hits")
-
-
-def retrieve_with_index(
     questions: DataFrame,
-    index: DataFrame,
-    hasher: BucketedRandomProjectionLSHModel,
     graph: SupportGraph,
     options: RetrievalOptions = RETRIEVER,
-    rows_per_band: int = 2,
+    index: TicketIndex | None = None,
 ) -> DataFrame:
-    """Like ``retrieve``, through a stored index; the hasher is the one it was built with."""
-    hits = find_tickets_with_index(questions, index, hasher, graph, options, rows_per_band)
-    return answer_hits(hits, graph, options)
+    """Past solutions for ``questions (query_id, embedding)``, by exact search or through a stored
+    index; see ``answer_hits``."""
+    return answer_hits(find_tickets(questions, graph, options, index), graph, options)
 
 
 def ordered(results: DataFrame) -> DataFrame:
@@ -180,11 +149,12 @@ def retrieve_by_text(
     options: RetrievalOptions = RETRIEVER,
     client_factory: ClientFactory | None = None,
     text_columns: tuple[str, ...] = ("question",),
+    index: TicketIndex | None = None,
 ) -> DataFrame:
     """Past solutions for ``questions (query_id, question)`` with text, metadata and score."""
     vectors = embed_columns(questions, list(text_columns), options.dim, client_factory)
     vectors = materialize(vectors.select("query_id", "embedding"), "question-vectors")
-    return with_text(retrieve(vectors, graph, options))
+    return with_text(retrieve(vectors, graph, options, index))
 
 
 def gated_search(
@@ -194,19 +164,23 @@ def gated_search(
     related_from: float = 0.1,
     client_factory: ClientFactory | None = None,
     analysis: DataFrame | None = None,
+    topics: list[tuple[str, str]] = CATEGORIES,
+    index: TicketIndex | None = None,
 ) -> DataFrame:
     """Triage, then retrieval for related questions only.
 
     The searched text is the title and description of the analysis. ``analysis`` replaces the
     default triage, with the columns of ``questions`` and of an analysis record.
     """
-    analyzed = triage(questions, options.dim, related_from) if analysis is None else analysis
+    analyzed = analysis
+    if analyzed is None:
+        analyzed = triage(questions, options.dim, related_from, topics)
     related = analyzed.where("is_related")
     if options.same_category:
         related = materialize(related, "related")
     vectors = embed_columns(related, ["title", "description"], options.dim, client_factory)
     vectors = materialize(vectors.select("query_id", "embedding"), "question-vectors")
-    hits = find_tickets(vectors, graph, options)
+    hits = find_tickets(vectors, graph, options, index)
     if options.same_category:
         hits = hits.join(related.select("query_id", "category"), "query_id")
     return answer_hits(hits, graph, options).drop("category")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.query import StreamingQuery
 
-from supportgraph.workspace import materialize
+from supportgraph.workspace import materialize, removed_afterwards
 
 
 def answer_stream(
@@ -25,9 +25,11 @@ def answer_stream(
     """
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        # Retrieval reads its questions more than once; the source is read once.
-        results = answer(materialize(batch, "questions"))
-        results.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # Retrieval reads its questions more than once; the source is read once. What the steps
+        # of a batch have written goes once its results are stored.
+        with removed_afterwards(batch.sparkSession):
+            results = answer(materialize(batch, "questions"))
+            results.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     writer = questions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     if available_now:

@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders written inside ``removed_afterwards``, for the thread that writes them.
+_folders = threading.local()
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
@@ -32,6 +38,20 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def removed_afterwards(spark: SparkSession) -> Iterator[None]:
+    """Delete what ``materialize`` writes inside the block once it ends well. What the block
+    returns must not read it any more. After an error the folders stay, for their retention rule."""
+    outer, _folders.paths = getattr(_folders, "paths", None), []
+    try:
+        yield
+        for path in _folders.paths:
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    finally:
+        _folders.paths = outer
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -42,6 +62,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    if getattr(_folders, "paths", None) is not None:
+        _folders.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

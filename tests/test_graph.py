@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,10 +18,17 @@ from supportgraph.operators.quality import (
     valid_vectors,
     vector_rejects,
 )
-from supportgraph.operators.search import build_index
+from supportgraph.operators.search import Planes
 from supportgraph.options import RetrievalOptions
-from supportgraph.plans.build import build, key_violations, load_index, reference_report
-from supportgraph.plans.retrieve import find_tickets_with_index, retrieve_with_index
+from supportgraph.plans.build import (
+    build,
+    current_version,
+    key_violations,
+    load_index,
+    reference_report,
+)
+from supportgraph.plans.retrieve import find_tickets, retrieve
+from supportgraph.sources.tables import load_rejects
 
 
 def test_edges(graph):
@@ -116,23 +125,25 @@ def test_attach_vectors(spark):
     assert got == {"t1": [1.0], "t2": [5.0]}
 
 
-def test_build(spark, graph, tmp_path):
+def test_build(spark, graph, csv_paths, tmp_path):
     root = str(tmp_path / "built")
-    full = build(spark, graph, root, dim=32, bands=2, rows_per_band=1)
+    full = build(spark, graph, root, dim=32, rejects=load_rejects(spark, csv_paths), bands=2, bits=3)
     assert full.ticket.where("embedding is not null").count() == 4
-    edges = spark.read.parquet(f"{root}/edges")
+    version = current_version(spark, root)
+    edges = spark.read.parquet(f"{version}/edges")
     assert edges.count() == build_edges(graph).count()
-    index, hasher = load_index(spark, root)
-    assert index.columns == ["ticketId", "embedding", "bands"] and index.count() == 4
-    again = build_index(full.ticket, hasher, 32, rows_per_band=1)
-    assert again.select("ticketId", "bands").exceptAll(index.select("ticketId", "bands")).count() == 0
+    reasons = {(r.label, r.key, r.reason) for r in spark.read.parquet(f"{version}/rejects").collect()}
+    assert ("user", None, "no key") in reasons and ("ticket", "t5", "vector") in reasons
+    assert ("ticket", "t2", "dangling reference") in reasons
+    index = load_index(spark, root)
+    assert index.planes == Planes(32, 2, 3) and index.entries.count() == 8
 
     # A question equal to a ticket shares all its buckets.
     question = full.ticket.where("ticketId = 't1'").select(
         F.lit("q").alias("query_id"), "embedding"
     )
     options = RetrievalOptions(top_k=1, min_score=0.9, dim=32)
-    found = retrieve_with_index(question, index, hasher, full, options, rows_per_band=1)
+    found = retrieve(question, full, options, index)
     assert {(r.ticketId, r.solutionComment.commentId) for r in found.collect()} == {
         ("t1", "m4"), ("t1", "m6"),
     }
@@ -140,15 +151,20 @@ def test_build(spark, graph, tmp_path):
         F.lit("q").alias("query_id"), "embedding"
     )
     for mode in ("post", "pre"):
-        hits = find_tickets_with_index(
-            open_only, index, hasher, full, options.updated(filter_mode=mode), rows_per_band=1
-        )
+        hits = find_tickets(open_only, full, options.updated(filter_mode=mode), index)
         assert ("t4" in {r.ticketId for r in hits.collect()}) == (mode == "post")
 
+    # A later build may read what it replaces, and one that fails leaves it as it is.
+    build(spark, full, root, dim=32, bands=2, bits=3)
+    second = current_version(spark, root)
+    assert second != version and spark.read.parquet(f"{second}/nodes/ticket").count() == 5
+    twice = replace(full, user=full.user.unionByName(full.user))
+    with pytest.raises(ValueError, match="user"):
+        build(spark, twice, root, dim=32)
+    assert current_version(spark, root) == second
 
-def test_build_refuses_duplicate_keys(spark, graph, tmp_path):
-    from dataclasses import replace
 
+def test_build_refuses_duplicate_keys(spark, graph, tmp_path):
     twice = replace(graph, status=graph.status.unionByName(graph.status))
     with pytest.raises(ValueError, match="status"):
         build(spark, twice, str(tmp_path / "built"), dim=8)

@@ -1,9 +1,11 @@
+import os
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from supportgraph.operators.triage import triage, triage_with_model
+from supportgraph.functions.embedding import hashed_embedding, text_vector
+from supportgraph.operators.triage import topics_of, triage, triage_with_model
 from supportgraph.options import HANDLER, PAGE, RETRIEVER, RetrievalOptions
 from supportgraph.plans import retrieve as plans
 from supportgraph.plans.build import embed_tickets, with_vectors
@@ -148,6 +150,24 @@ def test_triage(asked):
     assert len(rows["q4"].title.split()) == 10
 
 
+def test_triage_over_a_table(spark, asked, graph):
+    topics = topics_of(graph.category)
+    assert topics == [("c1", "Printing Paper and ink"), ("c2", "Access Badges")]
+    rows = {r.query_id: r for r in triage(asked, 4096, 0.2, topics).collect()}
+    assert (rows["q1"].is_related, rows["q1"].category) == (True, "c1")
+    assert (rows["q2"].is_related, rows["q2"].category) == (False, None)
+    assert triage(asked, 64, 0.2, []).where("category IS NOT NULL").count() == 0
+    with pytest.raises(ValueError, match="more than 1"):
+        topics_of(graph.category, 1)
+
+
+def test_text_vector_is_the_default_vector(spark):
+    texts = ["Login, permissions, and ÄCCESS 42 login", "", "!"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for row in hashed_embedding(df, F.col("t"), 16).collect():
+        assert text_vector(row.t, 16) == pytest.approx(list(row.embedding or [0.0] * 16))
+
+
 def test_triage_with_model(spark, asked):
     def factory():
         class Client:
@@ -210,7 +230,10 @@ def test_stream(spark, questions, vector_graph, tmp_path):
         return keys(spark.read.parquet(out))
 
     questions.where("query_id = 'q1'").write.mode("append").parquet(source)
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
     assert len(run()) == 3
+    assert set(os.listdir(shared)) == before  # nothing of a stored batch stays
     assert len(run()) == 3
     questions.where("query_id = 'q2'").write.mode("append").parquet(source)
     assert run() == keys(plans.retrieve(questions, vector_graph, OPTIONS))

@@ -1,13 +1,18 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from supportgraph.operators.blocks import QUERY_STEP, TopK
 from supportgraph.operators.search import (
+    Planes,
+    TicketIndex,
+    add_to_index,
     approx_topk,
     build_index,
     exact_topk,
-    fit_hasher,
     recall,
+    write_index,
 )
 
 DIM = 6
@@ -47,7 +52,7 @@ def as_set(df):
     return {(r.query_id, r.ticketId, r["rank"], round(r.score, 6)) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [64 << 20, 8 * DIM * 7], ids=["broadcast", "shuffled"])
+@pytest.mark.parametrize("block", [64 << 20, 8 * DIM * 7], ids=["one block", "many blocks"])
 @pytest.mark.parametrize(
     "k,min_score,mode",
     [(5, None, "normalized"), (1, 0.7, "normalized"), (3, 0.2, "raw"), (200, None, "raw"),
@@ -58,7 +63,7 @@ def test_exact_equals_brute_force(spark, block, k, min_score, mode):
     found = exact_topk(
         vectors(spark, "query_id", queries).repartition(3),
         vectors(spark, "ticketId", tickets).repartition(5),
-        k, DIM, min_score, mode, broadcast_bytes=block, ticket_block_bytes=block,
+        k, DIM, min_score, mode, broadcast_bytes=block,
     )
     assert as_set(found) == brute_force(queries, tickets, k, min_score, mode == "normalized")
 
@@ -107,51 +112,66 @@ def test_threshold_never_adds_rows(spark):
     assert counts == sorted(counts, reverse=True) and counts[0] == 50 and counts[-1] == 0
 
 
+@pytest.mark.parametrize("tickets", [5_000, 60_000])
+def test_pending_rows_do_not_grow_with_the_tickets(tickets):
+    rng = np.random.default_rng(1)
+    queries = rng.normal(size=(QUERY_STEP + 50, 4))
+    best = TopK(queries, 5, None, True)
+    score = best._score
+    seen = []
+    best._score = lambda *a: (score(*a), seen.append(best.pending_rows))
+    for start in range(0, tickets, 2_500):  # all equal: every one ties with the best
+        ids = np.array([f"t{i:06d}" for i in range(start, start + 2_500)], object)
+        best.push(pa.array(ids), np.ones((2_500, 4)) / 2)
+    assert max(seen) <= best.pending_most == 2 * 5 * len(queries) + QUERY_STEP + QUERY_STEP * 5
+    position, _, name = best.result()
+    assert set(name) == {f"t{i:06d}" for i in range(5)} and len(name) == 5 * len(queries)
+
+
+PLANES = Planes(DIM, bands=8, bits=3)
+
+
 @pytest.fixture(scope="module")
-def indexed(spark):
+def indexed(spark, tmp_path_factory):
     queries, tickets = random_rows("q", 15, 6, copies=10), random_rows("t", 80, 7, copies=60)
     left, right = vectors(spark, "query_id", queries), vectors(spark, "ticketId", tickets)
-    hasher = fit_hasher(right, bands=4, rows_per_band=1, bucket_length=1.0)
-    return (
-        left,
-        right,
-        build_index(left, hasher, DIM, key="query_id", rows_per_band=1).cache(),
-        build_index(right, hasher, DIM, rows_per_band=1).cache(),
-    )
+    path = str(tmp_path_factory.mktemp("index") / "i")
+    write_index(build_index(right.where("ticketId < 't100'"), PLANES), path)
+    add_to_index(right.where("ticketId >= 't100'"), PLANES, path)
+    return queries, tickets, left, right, TicketIndex(spark.read.parquet(path), PLANES)
+
+
+def codes(rows):
+    units = np.array([v for _, v in rows], float)
+    return PLANES.codes(units / np.linalg.norm(units, axis=1)[:, None])
 
 
 def test_index(indexed):
-    _, _, _, index = indexed
-    rows = index.collect()
-    assert len(rows) == 140 and all(len(r.bands) == 4 for r in rows)
-    assert all(np.linalg.norm(r.embedding) == pytest.approx(1) for r in rows)
-    copies = {tuple(r.bands) for r in rows if r.ticketId == "t000" or r.ticketId >= "t080"}
-    assert len(copies) == 1
+    _, tickets, _, _, index = indexed
+    rows = {(r.ticketId, r.band, r.bucket) for r in index.entries.collect()}
+    assert rows == {(t, b, int(c)) for (t, _), own in zip(tickets, codes(tickets)) for b, c in enumerate(own)}
 
 
-def test_approximate_search(indexed):
-    left, right, queries, index = indexed
-    exact = exact_topk(left, right, 5, DIM)
-    whole = approx_topk(queries, index, 5, DIM)
-    # Cutting the large buckets must not change anything.
-    assert as_set(approx_topk(queries, index, 5, DIM, block_rows=8)) == as_set(whole)
-    truth = {(r.query_id, r.ticketId): r.score for r in exact_topk(left, right, 140, DIM).collect()}
-    for r in whole.collect():
-        assert truth[r.query_id, r.ticketId] == pytest.approx(r.score)
-    rates = recall(whole, exact).collect()
-    assert len(rates) == 25
-    assert sum(r.found for r in rates) / sum(r.expected for r in rates) > 0.8
+def test_lookup_reads_the_bands_it_needs(spark, indexed):
+    index = indexed[4]
+    one = index.entries.where("band = 3")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(band" in plan and one.count() == 140
 
 
 def test_approximate_search_is_exact_inside_its_buckets(indexed):
-    _, _, queries, index = indexed
-    bands = {r.ticketId: set(r.bands) for r in index.collect()}
-    units = {r.ticketId: np.array(r.embedding) for r in index.collect()}
+    queries, tickets, left, right, index = indexed
     expected = set()
-    for q in queries.collect():
-        near = [t for t, b in bands.items() if b & set(q.bands)]
-        scored = sorted((-round((1 + units[t] @ np.array(q.embedding)) / 2, 9), t) for t in near)
-        expected |= {
-            (q.query_id, t, place, round(-s, 6)) for place, (s, t) in enumerate(scored[:4], 1)
-        }
-    assert as_set(approx_topk(queries, index, 4, DIM, block_rows=16)) == expected
+    for (q, v), own in zip(queries, codes(queries)):
+        near = [t for t, other in zip(tickets, codes(tickets)) if (own == other).any()]
+        expected |= brute_force([(q, v)], near, 4)
+    assert as_set(approx_topk(left, index, right, 4)) == expected
+    assert as_set(approx_topk(left, index, right, 4, broadcast_bytes=8 * DIM * 4)) == expected
+
+
+def test_recall(indexed):
+    _, _, left, right, index = indexed
+    exact = exact_topk(left, right, 5, DIM)
+    rates = recall(approx_topk(left, index, right, 5), exact).collect()
+    assert len(rates) == 25
+    assert sum(r.found for r in rates) / sum(r.expected for r in rates) > 0.9
