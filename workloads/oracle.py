@@ -7,16 +7,34 @@ from supportgraph.functions.rules import (
     CATEGORY_UNKNOWN,
     DESCRIPTION_EMPTY,
     FALLBACK_TITLE,
-    SEARCH_PATTERN,
-    SMALL_TALK_PATTERN,
     TITLE_MAX_CHARS,
     TITLE_MAX_WORDS,
     TITLE_TOO_LONG,
     TITLE_TOO_MANY_WORDS,
 )
+from supportgraph.operators.search import Planes
 from workloads.queries import NEW_PROMPT
 from workloads.tables import DIM, OPTIONS, RELATED_FROM, TEXT_OPTIONS
 
+PLANES = Planes(DIM)
+
+
+# The gate's wording, written out: a slip in the library's lists must not be repeated here.
+_ASKS_FOR_HELP = (
+    "access|bug|bugs|can't|cant|cannot|crash|crashes|crashed|crashing|denied|error|errors|fail|fails|failed|"
+    "failing|failure|feature|features|freeze|freezes|freezing|how can|how do|how should|how to|issue|issues|"
+    "login|log in|not work|not working|password|permission|permissions|problem|problems|slow|timeout|timeouts|"
+    "upload|wrong"
+)
+_CHATS = (
+    "bye|goodbye|good morning|good afternoon|good evening|hello|hey|hi|how are you|thanks|thank you|what is|"
+    "who are you"
+)
+
+
+def _wording(words: str) -> str:
+    return "regexp_matches(lower(question), " + _text(f"(^|[^a-z])({words})([^a-z]|$)") + ")"
+
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
@@ -85,7 +103,7 @@ def _hits(k: int, min_score: float, pre: bool = False, source: str = "scores") -
 
 
 def _context(limit: int) -> str:
-    return f"""context AS (
+    return f"""context AS MATERIALIZED (
   SELECT * FROM (
     SELECT s.ticketId, s.commentId AS solutionId, c.commentId, c.content, c.creationDate,
            c.authorUserId,
@@ -111,7 +129,7 @@ _COLLECTED = f"""collected AS (
          count(*) AS contextCount
   FROM context LEFT JOIN users ON userId = authorUserId GROUP BY solutionId)"""
 
-_RESULTS = f"""results AS (
+_RESULTS = f"""results AS MATERIALIZED (
   SELECT h.query_id, t.ticketId, t.title, t.description, t.resolutionSummary,
          h.score AS similarityScore, h.score,
          s.commentId AS solutionId, s.content AS solutionContent,
@@ -146,6 +164,18 @@ def _result_ctes(pre: bool = False) -> list[str]:
 
 _FROM_RESULTS = _ctes(*_result_ctes())
 
+_RESULT_TEXT = """concat_ws(chr(10), 'TICKET: ' || title, 'Ticket ID: ' || ticketId,
+         'Description: ' || coalesce(nullif(description, ''), 'No description'),
+         'Resolution: ' || resolutionSummary,
+         chr(10) || 'CONTEXT COMMENTS:' || chr(10) || contextLines,
+         chr(10) || 'SOLUTION by ' || solutionRole || ':', solutionContent,
+         chr(10) || 'Similarity Score: '
+         || CAST(round(CAST(score AS DECIMAL(18, 9)), 3) AS DECIMAL(18, 3))) AS text"""
+
+_TEXT_COLUMNS = f"""query_id, {_RESULT_TEXT}, ticketId AS ticket_id,
+       similarityScore AS similarity_score, solutionId AS solution_comment_id,
+       contextCount AS context_comment_count"""
+
 
 def _topk(mode: str = "normalized", floor: float = -2) -> str:
     return f"""{_ctes(_scores(mode))}
@@ -181,7 +211,61 @@ _TEXT_SCORES = """text_scores AS (
   FROM question_vectors q JOIN document_vectors d USING (bucket) GROUP BY ALL)"""
 
 
-def _text_results(question_source: str, key: str, text: str) -> list[str]:
+def _codes(name: str, vectors: str) -> str:
+    """Buckets of an index: ``vectors`` has id, d and x for every part of a vector that is not
+    zero."""
+    return f"""{name} AS MATERIALIZED (
+  SELECT id, p // {PLANES.bits} AS band,
+         sum(CASE WHEN total >= -1e-9 THEN 1 << (p % {PLANES.bits}) ELSE 0 END) AS code
+  FROM (SELECT id, p, sum(x * s) AS total FROM ({vectors}) JOIN signs USING (d) GROUP BY ALL)
+  GROUP BY ALL)"""
+
+
+_SIGNS = f"""signs AS MATERIALIZED (
+  SELECT p, d, CASE WHEN substr(md5(p || ':' || d), 1, 1) < '8' THEN 1.0 ELSE -1.0 END AS s
+  FROM range({PLANES.bands * PLANES.bits}) AS a(p), range({DIM}) AS b(d))"""
+
+
+def _near(queries: str, tickets: str, scores: str) -> str:
+    return f"""near_scores AS (
+  SELECT * FROM {scores} WHERE (query_id, ticketId) IN (
+    SELECT q.id, v.id FROM {queries} q JOIN {tickets} v USING (band, code)))"""
+
+
+_DENSE = f"""SELECT id, d, x / sqrt(sum(x * x) OVER (PARTITION BY id)) AS x FROM (
+  SELECT vec_id AS id, unnest(range({DIM})) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
+
+_INDEXED = [_SIGNS, _codes("codes", _DENSE), _scores(), _near("codes", "codes", "scores")]
+
+_APPROX_HITS = f"""{_ctes(*_INDEXED)},
+found AS (
+  SELECT query_id, ticketId, score, CAST(rank AS INTEGER) AS rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticketId) AS rank
+    FROM near_scores) WHERE rank <= 5)"""
+
+
+def _indexed_ctes() -> list[str]:
+    return [
+        USERS,
+        TICKETS,
+        COMMENTS,
+        *_INDEXED,
+        _hits(OPTIONS.top_k, OPTIONS.min_score, source="near_scores"),
+        _context(OPTIONS.context_limit),
+        _COLLECTED,
+        _RESULTS,
+    ]
+
+
+_TEXT_INDEX = [
+    _SIGNS,
+    _codes("question_codes", "SELECT id, bucket AS d, weight AS x FROM question_vectors"),
+    _codes("document_codes", "SELECT id, bucket AS d, weight AS x FROM document_vectors"),
+    _near("question_codes", "document_codes", "text_scores"),
+]
+
+
+def _text_results(question_source: str, key: str, text: str, indexed: bool = False) -> list[str]:
     return [
         USERS,
         TICKETS,
@@ -189,7 +273,12 @@ def _text_results(question_source: str, key: str, text: str) -> list[str]:
         _buckets("question_vectors", question_source, key, text),
         _buckets("document_vectors", "documents", "doc_id", "text"),
         _TEXT_SCORES,
-        _hits(TEXT_OPTIONS.top_k, TEXT_OPTIONS.min_score, source="text_scores"),
+        *(_TEXT_INDEX if indexed else []),
+        _hits(
+            TEXT_OPTIONS.top_k,
+            TEXT_OPTIONS.min_score,
+            source="near_scores" if indexed else "text_scores",
+        ),
         _context(TEXT_OPTIONS.context_limit),
         _COLLECTED,
         _RESULTS,
@@ -203,9 +292,10 @@ _TITLE = (
     f"regexp_split_to_array(question, '{_SPACE}'), lambda w: w <> ''), 1, {TITLE_MAX_WORDS}), ' ')"
 )
 
-_TRIAGE = [
+def _triage(topics: str, related_from: float) -> list[str]:
+    return [
     _QUESTIONS,
-    f"topics AS (SELECT * FROM (VALUES {_CATEGORY_VALUES}) AS v(code, topic))",
+    f"topics AS ({topics})",
     _buckets("plain_vectors", "questions", "query_id", "question"),
     _buckets("topic_vectors", "topics", "code", "topic"),
     """pairs AS (
@@ -219,8 +309,8 @@ _TRIAGE = [
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) AS place
     FROM pairs) WHERE place = 1)""",
     f"""analyzed AS (
-  SELECT q.query_id, coalesce(score >= {RELATED_FROM}, false) AS related, score,
-         CASE WHEN score >= {RELATED_FROM} THEN code END AS code,
+  SELECT q.query_id, coalesce(score >= {related_from}, false) AS related, score,
+         CASE WHEN score >= {related_from} THEN code END AS code,
          {_STRIP.format(f'substr({_TITLE}, 1, {TITLE_MAX_CHARS})')} AS title,
          {_STRIP.format('question')} AS stripped
   FROM questions q LEFT JOIN best b USING (query_id))""",
@@ -234,11 +324,18 @@ _TRIAGE = [
   FROM analyzed)""",
 ]
 
+
+_TRIAGE = _triage(f"SELECT * FROM (VALUES {_CATEGORY_VALUES}) AS v(code, topic)", RELATED_FROM)
+
+_TABLE_TRIAGE = _triage(
+    "SELECT DISTINCT p_brand AS code, p_brand || ' Parts of ' || p_brand AS topic FROM part", 0.05
+)
+
 _RELATED = """related AS (
   SELECT query_id, title || ' ' || description AS question FROM analysis WHERE is_related)"""
 
 _GATED = f"""{_ctes(*_TRIAGE, _RELATED, *_text_results('related', 'query_id', 'question'))}
-SELECT query_id, ticketId, similarityScore, solutionId, contextCount FROM results"""
+SELECT {_RESULT_COLUMNS} FROM results"""
 
 # --- edges --------------------------------------------------------------------------------------
 
@@ -323,6 +420,9 @@ _ANALYSIS_ERROR = f"""CASE
       > {TITLE_MAX_WORDS} THEN {_text(TITLE_TOO_MANY_WORDS)}
     WHEN {_STRIP.format('description')} = '' THEN {_text(DESCRIPTION_EMPTY)} END"""
 
+_VECTOR_ERRORS = """SELECT vec_id AS ticketId, CASE vec_id % 7 WHEN 1 THEN 'missing'
+  WHEN 2 THEN 'dimension' WHEN 3 THEN 'element' WHEN 4 THEN 'zero' END AS error FROM embeddings"""
+
 ORACLE: dict[str, str] = {
     "retrieve_solutions": f"{_FROM_RESULTS} SELECT {_RESULT_COLUMNS} FROM results",
     "retrieve_prefilter": f"{_ctes(*_result_ctes(pre=True))} SELECT {_RESULT_COLUMNS} FROM results",
@@ -340,29 +440,14 @@ SELECT s.ticketId, s.commentId AS solutionId, u.role AS solutionRole,
        coalesce(contextCount, 0) AS contextCount
 FROM comments s JOIN users u ON u.userId = s.authorUserId
 LEFT JOIN collected c ON c.solutionId = s.commentId WHERE s.isSolution""",
-    "result_text": f"""{_FROM_RESULTS}
-SELECT query_id,
-       concat_ws(chr(10), 'TICKET: ' || title, 'Ticket ID: ' || ticketId,
-         'Description: ' || coalesce(nullif(description, ''), 'No description'),
-         'Resolution: ' || resolutionSummary,
-         chr(10) || 'CONTEXT COMMENTS:' || chr(10) || contextLines,
-         chr(10) || 'SOLUTION by ' || solutionRole || ':', solutionContent) AS text,
-       ticketId AS ticket_id, similarityScore AS similarity_score,
-       solutionId AS solution_comment_id, contextCount AS context_comment_count
-FROM results""",
-    "result_json": f"""{_FROM_RESULTS}
-SELECT query_id,
-       '{{"ticketId":' || ticketId || ',"title":"' || title || '","resolutionSummary":'
-       || coalesce('"' || resolutionSummary || '"', 'null')
-       || ',"solutionComment":{{"commentId":"' || solutionId || '","content":"'
-       || solutionContent || '","creationDate":"' || solutionDate || '","author":{{"role":"'
-       || solutionRole || '"}}}},"contextComments":' || contextJson || '}}' AS result_json
-FROM results""",
+    "result_text": f"{_FROM_RESULTS} SELECT {_TEXT_COLUMNS} FROM results",
+    "result_json": f"{_FROM_RESULTS} SELECT {_RESULT_COLUMNS} FROM results",
     "result_sources": f"""{_FROM_RESULTS},
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id
                                ORDER BY score DESC, ticketId, solutionId) AS rank FROM results)
-SELECT r.query_id, r.rank, r.ticketId, r.title, r.solutionId, r.solutionRole,
+SELECT r.query_id, r.rank, r.ticketId, r.title, r.description, r.resolutionSummary,
+       r.similarityScore, r.solutionId, r.solutionContent, r.solutionDate, r.solutionRole,
        c.position AS contextPosition, c.commentId AS contextId, c.content AS contextContent,
        {_ISO.format('c.creationDate')} AS contextDate, u.role AS contextRole
 FROM ranked r LEFT JOIN context c ON c.solutionId = r.solutionId
@@ -371,8 +456,29 @@ LEFT JOIN users u ON u.userId = c.authorUserId""",
 SELECT vec_id AS query_id, count(r.query_id) AS n_results
 FROM embeddings LEFT JOIN results r ON r.query_id = vec_id GROUP BY vec_id""",
     "retrieve_by_text": f"""{_ctes(_QUESTIONS, *_text_results('questions', 'query_id', 'question'))}
-SELECT query_id, ticketId AS ticket_id, similarityScore AS similarity_score,
-       solutionId AS solution_comment_id, contextCount AS context_comment_count FROM results""",
+SELECT {_TEXT_COLUMNS} FROM results""",
+    "retrieve_by_text_with_index": f"""
+{_ctes(_QUESTIONS, *_text_results('questions', 'query_id', 'question', indexed=True))}
+SELECT {_TEXT_COLUMNS} FROM results""",
+    "approx_topk_hits": f"{_APPROX_HITS} SELECT * FROM found",
+    "approx_recall": f"""{_APPROX_HITS},
+exact AS (
+  SELECT query_id, ticketId FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticketId) AS rank
+    FROM scores) WHERE rank <= 5)
+SELECT query_id, count(*) AS expected, count(f.ticketId) AS found,
+       count(f.ticketId) / count(*) AS recall
+FROM exact LEFT JOIN found f USING (query_id, ticketId) GROUP BY query_id""",
+    "retrieve_with_index": f"{_ctes(*_indexed_ctes())} SELECT {_RESULT_COLUMNS} FROM results",
+    "stream_with_index": f"{_ctes(*_indexed_ctes())} SELECT {_RESULT_COLUMNS} FROM results",
+    "topk_ties": f"""{_ctes(
+        "kinds AS (SELECT doc_id, concat_ws(' ', lang, source) AS kind FROM documents)",
+        _buckets('kind_vectors', 'kinds', 'doc_id', 'kind'))}
+SELECT query_id, ticketId, score, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticketId) AS rank FROM (
+    SELECT q.id AS query_id, v.id AS ticketId, round((1 + sum(q.weight * v.weight)) / 2, 9) AS score
+    FROM kind_vectors q JOIN kind_vectors v USING (bucket) GROUP BY ALL))
+WHERE rank <= 5""",
     "gated_search": _GATED,
     "stream_gated": _GATED,
     "refreshed_counts": f"""{_ctes(USERS)}
@@ -424,27 +530,48 @@ SELECT ticketId, title, resolutionSummary,
 GROUP BY ALL HAVING count(*) > 1""",
     "quarantined_lines": f"""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey,
        (l_orderkey, l_linenumber) IN ({_LINE_KEYS}) AS quarantined FROM lineitem""",
-    "key_violations": f"""{_ctes(USERS, COMMENTS)}
+    "key_violations": f"""{_ctes(USERS)}
 SELECT 'user' AS label, userId AS key, count(*) AS n FROM users GROUP BY ALL HAVING count(*) > 1
 UNION ALL
-SELECT 'comment', commentId, count(*) FROM comments GROUP BY ALL HAVING count(*) > 1
+SELECT 'comment', l_orderkey || '-' || l_returnflag AS key, count(*) FROM lineitem GROUP BY key
+HAVING count(*) > 1
 UNION ALL
 SELECT 'ticket', CAST(o_orderkey AS VARCHAR), count(*) FROM orders GROUP BY ALL
 HAVING count(*) > 1
 UNION ALL
-SELECT 'article', 'p' || p_partkey, count(*) FROM part GROUP BY ALL HAVING count(*) > 1""",
+SELECT 'article', p_brand, count(*) FROM part GROUP BY ALL HAVING count(*) > 1""",
+    "vector_rejects": f"""SELECT * FROM ({_VECTOR_ERRORS}) WHERE error IS NOT NULL""",
+    "load_rejects": f"""{_ctes(USERS, TICKETS, COMMENTS.replace("comments AS (", "lines AS ("), ARTICLES)},
+comments AS (
+  SELECT * REPLACE (CASE WHEN ticketId % 5 <> 0 THEN ticketId || '-' || authorUserId END AS commentId)
+  FROM lines)
+SELECT 'comment' AS label, 'no key' AS reason, count(*) AS n FROM comments WHERE commentId IS NULL
+HAVING count(*) > 0
+UNION ALL
+SELECT 'comment', 'duplicate key', count(*) FROM (
+  SELECT commentId FROM comments WHERE commentId IS NOT NULL GROUP BY ALL HAVING count(*) > 1)
+HAVING count(*) > 0
+UNION ALL
+SELECT label, 'dangling reference', count(*) FROM ({_REFERENCES})
+WHERE label <> 'comment' OR key IS NOT NULL GROUP BY label
+UNION ALL
+SELECT 'ticket', 'vector', count(*) FROM ({_VECTOR_ERRORS}) WHERE error IS NOT NULL""",
     "reference_report": f"{_ctes(USERS, TICKETS, COMMENTS, ARTICLES)}\n{_REFERENCES}",
     "dangling_refs": """SELECT o_orderkey AS vec_id FROM orders
 WHERE NOT EXISTS (SELECT 1 FROM embeddings WHERE vec_id = o_orderkey)""",
-    "attach_vectors_to_tickets": f"""SELECT o_orderkey AS ticketId, len(embedding) AS length,
+    "attach_vectors_to_tickets": f"""SELECT o_orderkey AS ticketId,
        CASE WHEN embedding IS NULL THEN 'missing'
-            WHEN len(embedding) <> {DIM} THEN 'dimension' END AS error
+            WHEN len(embedding) <> {DIM} THEN 'dimension' END AS error,
+       array_to_string(list_transform(embedding, lambda x: round(x::DOUBLE * 1e6)::BIGINT), ',')
+         AS millionths
 FROM orders LEFT JOIN embeddings ON vec_id = o_orderkey""",
     "attached_count": "SELECT count(*) AS n FROM orders JOIN embeddings ON vec_id = o_orderkey",
     "csv_roundtrip": f"""{_ctes(COMMENTS)}
 SELECT commentId, content, strftime(creationDate, '%Y-%m-%d %H:%M:%S') AS created, isSolution,
        ticketId, authorUserId, articleId FROM comments""",
     "csv_text_roundtrip": "SELECT doc_id, text FROM documents",
+    "csv_edges_roundtrip": """SELECT doc_id, ' ' || chr(9) || ' ' || text || chr(9) || '  ' AS text
+FROM documents""",
     "vectors_csv_roundtrip": """SELECT ticketId, CAST(pos - 1 AS BIGINT) AS pos,
        round(CAST(value AS DOUBLE), 9) AS value FROM (
   SELECT vec_id AS ticketId, unnest(embedding) AS value,
@@ -466,12 +593,13 @@ SELECT doc_id, error IS NULL AS is_related, CASE WHEN error IS NULL THEN categor
        CASE WHEN error IS NULL THEN {_STRIP.format('description')} ELSE error END AS description
 FROM checked""",
     "triage_category": f"""{_ctes(*_TRIAGE)}
+SELECT query_id, is_related, category, title, description, category_score FROM analysis""",
+    "triage_by_table": f"""{_ctes(*_TABLE_TRIAGE)}
 SELECT query_id, is_related, category, title, description, category_score FROM analysis""",
     "search_gate": f"""{_ctes(_QUESTIONS)}
 SELECT query_id FROM questions
 WHERE {_STRIP.format('question')} <> ''
-  AND NOT (regexp_matches(lower(question), {_text(SMALL_TALK_PATTERN)})
-           AND NOT regexp_matches(lower(question), {_text(SEARCH_PATTERN)}))""",
+  AND NOT ({_wording(_CHATS)} AND NOT {_wording(_ASKS_FOR_HELP)})""",
     "history_window": f"{_ctes(_HISTORY)} SELECT conv_id, turn, role, content FROM history",
     "prompt_assembly": f"""{_ctes(_ASKED, _HISTORY)},
 parts AS (
@@ -495,17 +623,23 @@ SELECT conv_id, last_turn + 1, 'system', {_text(NEW_PROMPT)} FROM last_turns WHE
 SELECT conv_id, coalesce(system_prompt, {_text(NEW_PROMPT)}) AS system_prompt FROM last_turns""",
     "display_turns": """SELECT conv_id, turn, role, text AS content FROM conversations
 WHERE role IN ('user', 'assistant') OR (role = 'function' AND text <> '')""",
-    "append_turns": f"""{_ctes(_LAST_TURNS, _ASKED)}
+    "append_turns": f"""{_ctes(_LAST_TURNS)},
+again AS (
+  SELECT conv_id, text, last_turn + 1 + CASE WHEN has_system THEN 0 ELSE 1 END
+         + 2 * (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS start
+  FROM conversations JOIN last_turns USING (conv_id) WHERE role = 'user')
 SELECT conv_id, turn, role, text AS content FROM conversations
 UNION ALL
 SELECT conv_id, last_turn + 1, 'system', {_text(NEW_PROMPT)}
-FROM asked JOIN last_turns USING (conv_id) WHERE NOT has_system
+FROM last_turns WHERE NOT has_system AND conv_id IN (SELECT conv_id FROM again)
 UNION ALL
-SELECT conv_id, last_turn + CASE WHEN has_system THEN 1 ELSE 2 END, 'user', question
-FROM asked JOIN last_turns USING (conv_id)
+SELECT conv_id, start, 'user', text FROM again
 UNION ALL
-SELECT conv_id, last_turn + CASE WHEN has_system THEN 2 ELSE 3 END, 'assistant', 'Re: ' || question
-FROM asked JOIN last_turns USING (conv_id)""",
+SELECT conv_id, start + 1, 'assistant', 'Re: ' || text FROM again""",
+    "conversation_files": """SELECT conv_id, role, text AS content,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations""",
+    "recent_files": """SELECT 'part-' AS kind, true AS dated, count(DISTINCT conv_id) AS n
+FROM conversations""",
     "conversation_roundtrip": f"""{_ctes(_LAST_TURNS, _ASKED)}
 SELECT conv_id, turn, role, text AS content FROM conversations
 UNION ALL

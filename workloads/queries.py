@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportgraph.functions.embedding import bucket, hashed_embedding, tokens
-from supportgraph.functions.parsing import parse_bool, parse_datetime, parse_int
+from supportgraph.functions.parsing import as_utc, parse_bool, parse_datetime, parse_int
 from supportgraph.functions.similarity import cosine_score
 from supportgraph.functions.text import (
     iso_datetime,
@@ -20,6 +21,7 @@ from supportgraph.functions.text import (
     stamp,
 )
 from supportgraph.operators import messages as talk
+from supportgraph.operators import quality
 from supportgraph.operators.context import context_rows, solution_cards, with_author_role
 from supportgraph.operators.edges import (
     attach_vectors,
@@ -35,8 +37,16 @@ from supportgraph.operators.quality import (
     validate_analysis,
     vector_errors,
 )
-from supportgraph.operators.search import approx_topk, build_index, exact_topk, fit_hasher, recall
-from supportgraph.operators.triage import triage
+from supportgraph.operators.search import (
+    Planes,
+    TicketIndex,
+    approx_topk,
+    build_index,
+    exact_topk,
+    recall,
+    write_index,
+)
+from supportgraph.operators.triage import topics_of, triage
 from supportgraph.plans import build, retrieve
 from supportgraph.schemas import KEYS
 from supportgraph.sources import conversations as logs
@@ -132,9 +142,20 @@ def topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topk_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search in the form used when the queries are too large to broadcast."""
-    block = 256 * 8 * t.DIM
-    return _topk(spark, sf_dir, broadcast_bytes=block, ticket_block_bytes=block)
+    """The same search in the form used when the queries are too large for one broadcast."""
+    return _topk(spark, sf_dir, broadcast_bytes=256 * 8 * t.DIM)
+
+
+@query
+def topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents by the words for their language and source: few different vectors, many ties."""
+    kinds = t.table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("query_id"), F.concat_ws(" ", "lang", "source").alias("kind")
+    )
+    vectors = hashed_embedding(kinds, F.col("kind"), t.DIM).select("query_id", "embedding")
+    vectors = materialize(vectors, "kinds")
+    hits = exact_topk(vectors, vectors.withColumnRenamed("query_id", "ticketId"), 5, t.DIM)
+    return hits.select("query_id", "ticketId", "score", "rank")
 
 
 @query
@@ -144,7 +165,6 @@ def topk_raw_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.use_utc(spark)
     return context_rows(t.comments(spark, sf_dir, spread=True), 3).select(
         "ticketId", "solutionId", F.col("position").cast("bigint").alias("position"), "commentId"
     )
@@ -152,7 +172,6 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def context_collect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.use_utc(spark)
     comments = with_author_role(
         t.comments(spark, sf_dir, spread=True), t.users(spark, sf_dir)
     )
@@ -173,7 +192,7 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     from supportgraph.functions import text
 
     results = _results(spark, sf_dir)
-    return results.withColumn("text", text.result_text(with_score=False)).withColumn(
+    return results.withColumn("text", text.result_text()).withColumn(
         "m", text.result_metadata()
     ).select(
         "query_id",
@@ -187,8 +206,15 @@ def result_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = _results(spark, sf_dir).drop("description", "similarityScore")
-    return retrieve.with_json(results).select("query_id", "result_json")
+    """The JSON object of each result, read back field by field: number forms differ in SQL."""
+    results = retrieve.with_json(_results(spark, sf_dir))
+    comment = "struct<commentId:string,content:string,creationDate:string,author:struct<role:string>>"
+    fields = (
+        "ticketId bigint, title string, description string, resolutionSummary string, "
+        f"solutionComment {comment}, contextComments array<{comment}>, similarityScore double"
+    )
+    parsed = results.select("query_id", F.from_json("result_json", fields).alias("r"))
+    return _flat(parsed.select("query_id", "r.*"))
 
 
 @query
@@ -199,7 +225,12 @@ def result_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("rank").cast("bigint").alias("rank"),
         "ticketId",
         "title",
+        "description",
+        "resolutionSummary",
+        "similarityScore",
         "solutionId",
+        "solutionContent",
+        "solutionDate",
         "solutionRole",
         F.col("contextPosition").cast("bigint").alias("contextPosition"),
         "contextId",
@@ -218,8 +249,13 @@ def hit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieve_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     questions = t.text_questions(spark, sf_dir)
     results = retrieve.retrieve_by_text(questions, t.text_graph(spark, sf_dir), t.TEXT_OPTIONS)
+    return _with_text_columns(results)
+
+
+def _with_text_columns(results: DataFrame) -> DataFrame:
     return results.select(
         "query_id",
+        "text",
         F.col("metadata.ticket_id").alias("ticket_id"),
         F.col("metadata.similarity_score").alias("similarity_score"),
         F.col("metadata.solution_comment_id").alias("solution_comment_id"),
@@ -227,14 +263,23 @@ def retrieve_by_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _gated_columns(results: DataFrame) -> DataFrame:
-    return results.select(
-        "query_id",
-        "ticketId",
-        "similarityScore",
-        F.col("solutionComment.commentId").alias("solutionId"),
-        F.size("contextComments").cast("bigint").alias("contextCount"),
+def _text_index(spark: SparkSession, graph) -> TicketIndex:
+    return _stored_index(spark, graph.ticket.select("ticketId", "embedding"))
+
+
+def _stored_index(spark: SparkSession, vectors: DataFrame) -> TicketIndex:
+    planes, path = Planes(t.DIM), fresh_path(spark, "index")
+    write_index(build_index(vectors, planes), path)
+    return TicketIndex(spark.read.parquet(path), planes)
+
+
+@query
+def retrieve_by_text_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graph = t.text_graph(spark, sf_dir)
+    results = retrieve.retrieve_by_text(
+        t.text_questions(spark, sf_dir), graph, t.TEXT_OPTIONS, index=_text_index(spark, graph)
     )
+    return _with_text_columns(results)
 
 
 @query
@@ -243,19 +288,14 @@ def gated_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     results = retrieve.gated_search(
         questions, t.text_graph(spark, sf_dir), t.TEXT_OPTIONS, t.RELATED_FROM
     )
-    return _gated_columns(results)
-
-
-def _index(df: DataFrame, hasher, key: str, name: str) -> DataFrame:
-    return materialize(build_index(df, hasher, t.DIM, key=key), name)
+    return _flat(results)
 
 
 def _approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _ticket_vectors(spark, sf_dir)
-    hasher = fit_hasher(vectors)
-    index = _index(vectors, hasher, "ticketId", "index")
-    queries = _index(t.vector_questions(spark, sf_dir), hasher, "query_id", "query-index")
-    return approx_topk(queries, index, 5, t.DIM)
+    index = _stored_index(spark, vectors)
+    hits = approx_topk(t.vector_questions(spark, sf_dir), index, vectors, 5)
+    return hits.select("query_id", "ticketId", "score", "rank")
 
 
 @query
@@ -271,23 +311,12 @@ def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def retrieve_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = _ticket_vectors(spark, sf_dir)
-    hasher = fit_hasher(vectors)
-    index = _index(vectors, hasher, "ticketId", "index")
-    return _flat(
-        retrieve.retrieve_with_index(
-            t.vector_questions(spark, sf_dir),
-            index,
-            hasher,
-            t.search_graph(spark, sf_dir),
-            t.OPTIONS,
-        )
-    )
+    index = _stored_index(spark, _ticket_vectors(spark, sf_dir))
+    questions, graph = t.vector_questions(spark, sf_dir), t.search_graph(spark, sf_dir)
+    return _flat(retrieve.retrieve(questions, graph, t.OPTIONS, index))
 
 
-@query
-def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.use_utc(spark)
+def _streamed(spark: SparkSession, sf_dir: str, index: TicketIndex | None = None) -> DataFrame:
     schema = t.table(spark, sf_dir, "embeddings").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/embeddings*.parquet")
     questions = arriving.select(
@@ -297,7 +326,7 @@ def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fresh_path(spark, "answers")
     job = answer_stream(
         questions,
-        lambda batch: retrieve.retrieve(batch, found, t.OPTIONS),
+        lambda batch: retrieve.retrieve(batch, found, t.OPTIONS, index),
         out,
         fresh_path(spark, "stream"),
     )
@@ -305,10 +334,19 @@ def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(out))
 
 
+@query
+def stream_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir)
+
+
+@query
+def stream_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, _stored_index(spark, _ticket_vectors(spark, sf_dir)))
+
+
 @query
 def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """User turns as they arrive, through triage and search."""
-    t.use_utc(spark)
     schema = t.table(spark, sf_dir, "conversations").schema
     arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
     found = t.text_graph(spark, sf_dir)
@@ -320,7 +358,7 @@ def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
         fresh_path(spark, "stream"),
     )
     job.awaitTermination()
-    return _gated_columns(spark.read.parquet(out))
+    return _flat(spark.read.parquet(out))
 
 
 # --- typing, checks, edges ----------------------------------------------------------------------
@@ -328,24 +366,21 @@ def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def iso_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.use_utc(spark)
     return t.table(spark, sf_dir, "orders").select(
         "o_orderkey",
-        iso_datetime(F.col("o_orderdate")).alias("iso"),
-        stamp(F.col("o_orderdate")).alias("stamp"),
+        iso_datetime(as_utc(F.col("o_orderdate"))).alias("iso"),
+        stamp(as_utc(F.col("o_orderdate"))).alias("stamp"),
     )
 
 
 @query
 def iso_event_times(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t.use_utc(spark)
-    return t.table(spark, sf_dir, "events").select("event_id", iso_datetime(F.col("ts")).alias("iso"))
+    return t.table(spark, sf_dir, "events").select("event_id", iso_datetime(as_utc(F.col("ts"))).alias("iso"))
 
 
 @query
 def parsed_datetimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times written as text and parsed back; every other text is not a time."""
-    t.use_utc(spark)
     orders = t.table(spark, sf_dir, "orders")
     text = F.when(F.col("o_orderstatus") == "P", F.lit("")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
@@ -439,7 +474,7 @@ def expand_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers to their tickets, to comments, and, where there is one, to the article."""
     found = t.graph(spark, sf_dir)
     edges = build_edges(found)
-    start = found.user.where(F.col("userId").startswith("c")).select("userId")
+    start = found.user.select("userId")
     step = expand(start, edges, "userId", "SUBMITS", "ticketId")
     step = expand(step, edges, "ticketId", "CONTAINS", "commentId")
     return expand(
@@ -488,7 +523,52 @@ def quarantined_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def key_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build.key_violations(t.graph(spark, sf_dir))
+    """Keys used twice, in tables keyed by columns that repeat."""
+    found = t.graph(spark, sf_dir)
+    line = t.table(spark, sf_dir, "lineitem")
+    repeated = replace(
+        found,
+        comment=line.select(
+            F.concat_ws("-", F.col("l_orderkey").cast("string"), "l_returnflag").alias("commentId")
+        ),
+        article=found.article.withColumn("articleId", F.col("categoryId")),
+    )
+    return build.key_violations(repeated)
+
+
+def _odd_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored vectors, some made unfit: none, too short, with a hole, without length."""
+    v, key = F.col("embedding"), F.col("ticketId")
+    odd = (
+        F.when(key % 7 == 1, F.lit(None).cast("array<double>"))
+        .when(key % 7 == 2, F.slice(v, 1, t.DIM - 1))
+        .when(key % 7 == 3, F.transform(v, lambda x, i: F.when(i == 5, F.lit(float("nan"))).otherwise(x)))
+        .when(key % 7 == 4, F.transform(v, lambda x: x * 0.0))
+        .otherwise(v)
+    )
+    return _ticket_vectors(spark, sf_dir).withColumn("embedding", odd)
+
+
+@query
+def vector_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.vector_rejects(_odd_vectors(spark, sf_dir), t.DIM).select("ticketId", "error")
+
+
+@query
+def load_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a load from CSV finds, by label and reason: rows without a key, keys used twice,
+    references to no row, unfit vectors."""
+    found = t.graph(spark, sf_dir)
+    key = F.when(F.col("ticketId") % 5 != 0, F.concat_ws("-", F.col("ticketId").cast("string"), "authorUserId"))
+    found = replace(found, comment=found.comment.withColumn("commentId", key))
+    paths = {label: fresh_path(spark, f"{label}-csv") for label in found.tables()}
+    for label, df in found.tables().items():
+        times = {f.name: stamp(F.col(f.name)) for f in df.schema if f.dataType.typeName() == "timestamp"}
+        df.withColumns(times).write.options(**stored.CSV_OPTIONS).csv(paths[label])
+    loaded = stored.load_graph(spark, paths, multi_line=False)
+    keyless = stored.load_rejects(spark, paths, multi_line=False)
+    rejects = keyless.unionByName(build.quality_rejects(loaded, _odd_vectors(spark, sf_dir), t.DIM))
+    return rejects.groupBy("label", "reason").agg(F.count("*").alias("n"))
 
 
 @query
@@ -509,8 +589,8 @@ def attach_vectors_to_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     checked = vector_errors(joined, t.DIM)
     return checked.select(
         "ticketId",
-        F.when(F.col("embedding").isNotNull(), F.size("embedding")).cast("bigint").alias("length"),
         "error",
+        F.array_join(F.transform("embedding", lambda x: F.round(x * 1e6).cast("bigint").cast("string")), ",").alias("millionths"),
     )
 
 
@@ -524,7 +604,6 @@ def attached_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Comments written as CSV text and loaded as a node table."""
-    t.use_utc(spark)
     path = fresh_path(spark, "comments-csv")
     comments = t.comments(spark, sf_dir).withColumn("creationDate", stamp(F.col("creationDate")))
     comments.write.options(**stored.CSV_OPTIONS).csv(path)
@@ -543,8 +622,18 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line breaks and quotes written as CSV and read back whole."""
+    return _csv_texts(spark, sf_dir, F.col("text"))
+
+
+@query
+def csv_edges_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with blanks and tabs at both ends."""
+    return _csv_texts(spark, sf_dir, F.concat(F.lit(" \t "), F.col("text"), F.lit("\t  ")))
+
+
+def _csv_texts(spark: SparkSession, sf_dir: str, text) -> DataFrame:
     path = fresh_path(spark, "documents-csv")
-    documents = t.table(spark, sf_dir, "documents").select("doc_id", "text")
+    documents = t.table(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
     documents.write.options(**stored.CSV_OPTIONS).csv(path)
     rows = stored.read_csv(spark, path)
     return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -633,6 +722,16 @@ def triage_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def triage_by_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same over the categories of the graph instead of the fixed ones."""
+    topics = topics_of(t.category(spark, sf_dir))
+    analyzed = triage(t.text_questions(spark, sf_dir), t.DIM, 0.05, topics)
+    return analyzed.select(
+        "query_id", "is_related", "category", "title", "description", "category_score"
+    )
+
+
 @query
 def search_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.search_gate(t.text_questions(spark, sf_dir)).select("query_id")
@@ -679,11 +778,15 @@ def display_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def append_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    questions = t.prompt_questions(spark, sf_dir)
-    answers = questions.select(
-        "conv_id", "question", F.concat(F.lit("Re: "), F.col("question")).alias("answer")
+    """Every user turn asked and answered again: several answers per conversation."""
+    asked = t.messages(spark, sf_dir).where("role = 'user'")
+    answers = asked.select(
+        "conv_id",
+        "turn",
+        F.col("content").alias("question"),
+        F.concat(F.lit("Re: "), F.col("content")).alias("answer"),
     )
-    return talk.append_turns(t.messages(spark, sf_dir), answers, NEW_PROMPT)
+    return talk.append_turns(t.messages(spark, sf_dir), answers, NEW_PROMPT, "turn")
 
 
 @query
@@ -700,8 +803,23 @@ def conversation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.load_conversations(spark, path, schema)
 
 
+@query
+def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list per conversation; the turn is the place in the list."""
+    path = fresh_path(spark, "conversation-files")
+    logs.write_conversation_files(t.messages(spark, sf_dir), path)
+    return logs.load_conversation_files(spark, path, pattern="*.txt").select(
+        F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"), "role", "content"
+    )
+
+
 @query
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = fresh_path(spark, "conversations")
-    logs.append_conversations(t.messages(spark, sf_dir), path)
-    return logs.list_conversation_files(spark, path)
+    """The files of all conversations, by folder; their times and names differ from run to run."""
+    path = fresh_path(spark, "conversation-files")
+    logs.write_conversation_files(t.messages(spark, sf_dir), path)
+    files = logs.list_conversation_files(spark, path, pattern="*.txt", recursive=True)
+    dated = F.col("last_update") == stamp(F.col("modified"))
+    return files.groupBy(F.substring("label", 1, 5).alias("kind"), dated.alias("dated")).agg(
+        F.count("*").alias("n")
+    )

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from supportgraph.functions.embedding import hashed_embedding
-from supportgraph.functions.parsing import parse_int
+from supportgraph.functions.parsing import as_utc, parse_int
 from supportgraph.operators.edges import attach_vectors
 from supportgraph.options import RetrievalOptions
 from supportgraph.schemas import SupportGraph
@@ -45,10 +45,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small(rows, "doc_id")
 
 
-def use_utc(spark: SparkSession) -> None:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     customer = table(spark, sf_dir, "customer").select(
@@ -107,8 +103,8 @@ def tickets(
         F.concat_ws(" ", F.lit("Order"), key.cast("string"), F.col("o_orderpriority")).alias(
             "title"
         ),
-        F.col("o_orderdate").cast("timestamp").alias("creationDate"),
-        F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate").cast("timestamp")).alias(
+        as_utc(F.col("o_orderdate")).alias("creationDate"),
+        F.when(F.col("o_orderstatus") == "F", as_utc(F.col("o_orderdate"))).alias(
             "resolvedDate"
         ),
         F.when(
@@ -155,7 +151,7 @@ def comments(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFram
             F.lit("quantity"),
             F.col("l_quantity").cast("int").cast("string"),
         ).alias("content"),
-        F.col("l_shipdate").cast("timestamp").alias("creationDate"),
+        as_utc(F.col("l_shipdate")).alias("creationDate"),
         (F.col("l_returnflag") == "R").alias("isSolution"),
         F.col("l_orderkey").alias("ticketId"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("authorUserId"),
@@ -177,7 +173,6 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
     """All node tables. Derived dimensions are written first, so that Spark knows their size."""
-    use_utc(spark)
     return SupportGraph(
         user=users(spark, sf_dir),
         status=materialize(status(spark, sf_dir), "status"),
@@ -190,7 +185,6 @@ def graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
 
 
 def _retrieval_graph(spark: SparkSession, sf_dir: str, vectors: bool) -> SupportGraph:
-    use_utc(spark)
     return SupportGraph(
         user=users(spark, sf_dir),
         status=materialize(status(spark, sf_dir), "status"),
@@ -208,6 +202,8 @@ def text_graph(spark: SparkSession, sf_dir: str) -> SupportGraph:
     """Like ``search_graph``, with the default vectors of the document texts on the tickets."""
     texts = documents(spark, sf_dir).withColumnRenamed("doc_id", "ticketId")
     vectors = hashed_embedding(texts, F.col("text"), DIM).select("ticketId", "embedding")
+    # Stored once: neither a search nor a batch of a stream computes them again.
+    vectors = materialize(vectors, "ticket-vectors")
     found = _retrieval_graph(spark, sf_dir, vectors=False)
     return replace(found, ticket=attach_vectors(found.ticket, vectors))
 
