@@ -14,9 +14,6 @@ from supportgraph.workspace import materialize
 
 # Tickets with more comments than this are worked on in pieces of their time line.
 LARGE_TICKET = 100_000
-# A piece is one hour. Comment times have a resolution of seconds and at most n comments per
-# instant are kept, which bounds a piece by 3,600 n rows.
-PIECE = "hour"
 
 
 def _dated(entries: Column | str) -> Column:
@@ -56,26 +53,32 @@ def _first_look_back(
 
 
 def _ticket_pieces(comments: DataFrame, entry: Column, limit: int) -> DataFrame:
-    """Solutions with ``earlier``, for tickets of any size: inside each hour, then across hours."""
+    """Solutions with ``earlier``, for tickets of any size: inside each piece, then across pieces.
+
+    Pieces are range partitions by ticket and time, so none is larger than such a partition, however
+    many comments a ticket has and however fine its times are.
+    """
     # No look-back reaches past the first n comments of one instant. Spark applies this limit in
     # the map tasks, before rows of one instant come together.
-    instant = Window.partitionBy("ticketId", "piece", "creationDate").orderBy("commentId")
+    instant = Window.partitionBy("ticketId", "creationDate").orderBy("commentId")
     rows = (
         comments.where(F.col("creationDate").isNotNull())
         .select(
             "ticketId",
             "commentId",
             "creationDate",
-            F.date_trunc(PIECE, "creationDate").alias("piece"),
             entry.alias("entry"),
         )
         .withColumn("place", F.row_number().over(instant))
         .where(F.col("place") <= limit)
+        .repartitionByRange("ticketId", "creationDate")
+        .withColumn("piece", F.spark_partition_id())
     )
+    rows = materialize(rows, "time-lines")
     near = _first_look_back(
         rows, ["ticketId", "piece"], "creationDate", [F.desc("place")], limit, "near"
     )
-    # What an hour hands on to later hours: its last n comments.
+    # What a piece hands on to later pieces: its last n comments.
     newest = Window.partitionBy("ticketId", "piece").orderBy(F.desc("creationDate"), "place")
     tails = rows.withColumn("back", F.row_number().over(newest)).where(F.col("back") <= limit)
     far = _first_look_back(

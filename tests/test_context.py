@@ -10,14 +10,14 @@ from supportgraph.operators.ranking import rank_in_group
 COMMENT = "ticketId int, commentId string, creationDate timestamp, isSolution boolean"
 
 
-def random_comments(seed, n=400):
+def random_comments(seed, n=400, step=dt.timedelta(minutes=15)):
     """One ticket with a third of all comments, times that repeat, some missing."""
     rng = random.Random(seed)
     start = dt.datetime(2024, 1, 1)
     rows = []
     for i in range(n):
         ticket = 0 if rng.random() < 0.34 else rng.randrange(1, 25)
-        at = start + dt.timedelta(minutes=15 * rng.randrange(60))
+        at = start + step * rng.randrange(60)
         if rng.random() < 0.2:
             at = start
         rows.append((ticket, f"c{i:04d}", None if rng.random() < 0.05 else at, rng.random() < 0.4))
@@ -45,6 +45,18 @@ def test_context_equals_brute_force(spark, large_ticket, limit):
     assert got == brute_force(rows, limit)
 
 
+def test_pieces_of_fractional_seconds(spark):
+    rows = random_comments(7, step=dt.timedelta(microseconds=137))
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        found = context_rows(spark.createDataFrame(rows, COMMENT), 3, 0)
+        got = {(r.solutionId, r.position, r.commentId) for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert got == brute_force(rows, 3)
+
+
 @pytest.mark.parametrize("large_ticket", [100_000, 0], ids=["whole", "pieces"])
 def test_every_solution_gets_a_card(spark, large_ticket):
     rows = random_comments(9, 120)
