@@ -104,7 +104,7 @@ def offsets(raw: bytes, ranges: list[tuple[int, int]]) -> list[dict]:
     for low, high in ranges:
         ends = []
         for byte in (spans[low][0], spans[high - 1][1]):
-            points += len(raw[at:byte].decode())
+            points += len(raw[at:byte].decode("utf-8", "replace"))
             at = byte
             ends.append(points)
         out.append({"first": low, "end": high, "start": ends[0], "stop": ends[1]})

@@ -47,7 +47,7 @@ def subwords(raw: bytes) -> Iterator[np.ndarray]:
 def has_letter(raw: bytes) -> bool:
     if raw.isascii():
         return bool(raw.translate(LETTERS).strip())
-    return any(c.isalpha() for c in raw.decode())
+    return any(c.isalpha() for c in raw.decode("utf-8", "replace"))
 
 
 def features(raw: bytes) -> tuple[np.ndarray, np.ndarray, int]:
@@ -89,14 +89,14 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def train(
     samples: list[tuple[int, np.ndarray, np.ndarray, int]], labels: list[str], epochs: int = 8,
-    rate: float = 1.0, tolerance: float = 0.001, seed: int = 7,
+    rate: float = 1.0, tolerance: float = 0.001, most: float = 0.4, seed: int = 7,
 ) -> Model:
     """Stochastic gradient descent over (label number, buckets, shares, number of subwords).
 
     Every fifth sample is left out of it. On these the temperature and the weight of short texts
     are chosen that make their labels likeliest, and then the probability below which a text is
     rejected: the one that would reject ``tolerance`` of those whose label is right, and never
-    above one half.
+    above ``most``.
     """
     random = np.random.default_rng(seed)
     embedding = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -128,12 +128,13 @@ def train(
         def loss(setting: tuple[float, float]) -> float:
             return -np.log(chances(*setting)[np.arange(len(truth)), truth] + 1e-12).mean()
 
-        settings = [(t, k) for t in np.geomspace(0.25, 16, 25) for k in (5, 10, 20, 40, 80, 160)]
-        scale, few = min(settings, key=loss)
+        # Of settings that fit about as well, the one that takes least from short texts.
+        settings = [(t, k) for k in (5, 10, 20, 40, 80, 160) for t in np.geomspace(0.25, 16, 25)]
+        scale, few = min(settings, key=lambda s: round(loss(s), 4))
         likely = chances(scale, few)
         right = likely.max(axis=1)[likely.argmax(axis=1) == truth]
         least = float(np.quantile(right, tolerance)) if len(right) else 0.0
-    return Model(labels, (logits * scale).astype(np.float32), bias * scale, float(few), min(least, 0.5))
+    return Model(labels, (logits * scale).astype(np.float32), bias * scale, float(few), min(least, most))
 
 
 def learn(

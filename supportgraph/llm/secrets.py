@@ -137,7 +137,7 @@ class Scanner:
             return found
         at, points, where = 0, 0, {}
         for byte in sorted({b for _, s, e in found for b in (s, e)}):
-            points += len(raw[at:byte].decode())
+            points += len(raw[at:byte].decode("utf-8", "replace"))
             at, where[byte] = byte, points
         return [(kind, where[s], where[e]) for kind, s, e in found]
 

@@ -3,12 +3,9 @@
 import random
 from fractions import Fraction
 
-import pytest
-
-corpus_pipeline = pytest.importorskip("corpus_pipeline")
-
-from supportgraph.llm import packing  # noqa: E402
-from tests.llm import test_decontaminate, test_mixing, test_simhash  # noqa: E402
+import corpus_pipeline
+from supportgraph.llm import packing
+from tests.llm import test_decontaminate, test_mixing, test_simhash
 
 SOUNDS = {"aa": ["ka", "lo", "mi", "tu"], "bb": ["st", "rre", "ön", "ich"]}
 
