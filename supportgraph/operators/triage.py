@@ -11,7 +11,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.functions.embedding import hashed_embedding, text_vector
+from supportgraph.functions.embedding import (
+    ATTEMPTS,
+    PAUSE,
+    REQUEST_ROWS,
+    ask,
+    hashed_embedding,
+    text_vector,
+)
 from supportgraph.functions.rules import CATEGORIES, TITLE_MAX_CHARS, TITLE_MAX_WORDS, strip, words
 from supportgraph.functions.similarity import SCORE_DECIMALS
 from supportgraph.functions.text import join_text
@@ -111,7 +118,7 @@ def triage_with_model(
     def analyze(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         client = client_factory()
         for texts in batches:
-            records = client.analyze(texts.fillna("").tolist())
+            records = ask(client.analyze, texts.fillna("").tolist(), REQUEST_ROWS, ATTEMPTS, PAUSE)
             yield pd.DataFrame(
                 records, columns=["is_related", "category", "title", "description"]
             )

@@ -7,6 +7,7 @@ import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,11 +15,16 @@ from pyspark.sql import DataFrame, SparkSession
 _folders = threading.local()
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="supportgraph-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only a local session without either gets a temporary folder of its own: executors on other
-    machines could not read it.
+    Only a local session without either gets a temporary folder, one per process: executors on
+    other machines could not read it. The session's own settings stay as they are.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -29,8 +35,7 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     if not context.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="supportgraph-"))
-    return context.getCheckpointDir()
+    return _local_folder()
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -9,7 +9,12 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from supportgraph.functions import rules, text
-from supportgraph.functions.embedding import embed_columns, hashed_embedding, model_embedding
+from supportgraph.functions.embedding import (
+    ask,
+    embed_columns,
+    hashed_embedding,
+    model_embedding,
+)
 from supportgraph.functions.parsing import as_utc, parse_bool, parse_datetime, parse_int
 from supportgraph.functions.similarity import cosine_score
 from supportgraph.operators.quality import validate_analysis
@@ -215,3 +220,29 @@ def test_cosine(spark):
     assert [r.n for r in rows] == [1.0, 0.5, 0.0, None]
     assert [r.r for r in rows] == [1.0, 0.0, -1.0, None]
     assert [r.s for r in rows] == [r.n for r in rows]
+
+
+def test_model_requests_are_small_and_tried_again(spark):
+    def factory():
+        class Client:
+            calls = 0
+
+            def embed(self, texts):
+                Client.calls += 1
+                if Client.calls % 2:
+                    raise ConnectionError("busy")
+                assert len(texts) <= 3
+                return [[float(len(t))] for t in texts]
+
+        return Client()
+
+    df = spark.createDataFrame([(i, "x" * i) for i in range(10)], "i int, t string").coalesce(1)
+    found = model_embedding(df, F.col("t"), factory, rows=3, attempts=2, pause=0.0)
+    assert all(r.embedding == [float(r.i)] for r in found.collect())
+    with pytest.raises(Exception, match="busy"):
+        model_embedding(df, F.col("t"), factory, rows=3, attempts=1, pause=0.0).collect()
+
+
+def test_answers_must_match_their_texts():
+    with pytest.raises(ValueError, match="1 answers to 2 texts"):
+        ask(lambda texts: [0], ["a", "b"], 5, 1, 0.0)
