@@ -93,7 +93,9 @@ def _search(
     stored = materialize(_searchable(queries, QUERY_ID, dim), "queries")
     tasks = TASKS_PER_CORE * stored.sparkSession.sparkContext.defaultParallelism
     few = _searchable(tickets, TICKET_ID, dim).coalesce(max(tasks, 1))
-    blocks = max(ceil(stored.count() * 8 * dim / broadcast_bytes), 1)
+    row_bytes = F.octet_length(F.col(QUERY_ID).cast("string")) + 8 * dim
+    size = stored.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
+    blocks = max(ceil(size / broadcast_bytes), 1)
     block_of = F.pmod(F.xxhash64(QUERY_ID), F.lit(blocks))
     parts = []
     for number in range(blocks):

@@ -19,6 +19,10 @@ class RetrievalOptions:
     same_category    keep only tickets of the category the triage gave the question
     history_length   messages of a conversation shown to the model; 0 shows none
     dim              length of every vector
+
+    Spark cuts ranks down inside the map tasks up to spark.sql.optimizer.windowGroupLimitThreshold
+    (1000). Keep ``top_k`` and ``history_length`` below it where one group may be very large, or
+    raise it.
     """
 
     top_k: int = 5
