@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Keys with more than one in so many of all rows are joined by broadcast: fewer than this many
@@ -15,9 +17,22 @@ HOT = 1000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def texts(column: pa.Array) -> list[bytes]:
-    """The UTF-8 bytes of a batch of texts; null is the empty text."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+#: Bytes of the Arrow batches in which rows reach Python.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Cut Arrow batches by their bytes: ten thousand rows, Spark's other bound, may be very long
+    texts. A setting of the session's own is left alone."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
+def texts(column: pa.Array) -> Iterator[bytes]:
+    """The UTF-8 bytes of a batch of texts, a few copied at a time; null is the empty text."""
+    for start in range(0, len(column), 256):
+        for raw in column.slice(start, 256).cast(pa.binary()).to_pylist():
+            yield raw or b""
 
 
 def crc32(column: Column) -> Column:
@@ -25,13 +40,6 @@ def crc32(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))
 
 
-def pack(batch_schema: pa.Schema, columns: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [x if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, batch_schema)],
-        schema=batch_schema,
-    )
-
-
 def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, spread: str) -> DataFrame:
     """``rows`` with the columns of ``groups``, a stored table with one row per key (left join).
 

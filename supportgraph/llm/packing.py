@@ -118,7 +118,7 @@ def pack(
     length: int = 2048,
     vocabulary: str = VOCABULARY,
     end: int = 50256,
-    shard_tokens: int = 1 << 22,
+    shard_tokens: int = 1 << 21,
 ) -> DataFrame:
     """Packed rows: shard, row, n_tokens, ids, cu_seqlens, resets, doc_ids, offsets.
 
@@ -184,7 +184,7 @@ def pack(
         for batch in batches:
             id_type = batch.schema.field(0).type
             for name, raw in zip(batch.column(0).to_pylist(), texts(batch.column(1))):
-                found = [np.array(encode(p), number) for p in pieces(raw.decode())]
+                found = [np.array(encode(p), number) for p in pieces(raw.decode("utf-8", "replace"))]
                 tokens.append(np.concatenate([*found, np.array([end], number)]))
                 names.append(name)
                 held += len(tokens[-1])

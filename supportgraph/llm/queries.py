@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, warc, wordpiece
-from supportgraph.llm.common import crc32
+from supportgraph.llm.common import bound_batches, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -19,6 +19,7 @@ def query(function):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -124,13 +124,13 @@ def count_tokens(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter(Automaton(*shared.value))
         for batch in batches:
-            words = [raw.split() for raw in texts(batch.column(len(kept)))]
+            n_words, n_tokens = [], []
+            for raw in texts(batch.column(len(kept))):
+                words = raw.split()
+                n_words.append(len(words))
+                n_tokens.append(sum([counts[w] for w in words]))
             yield pa.RecordBatch.from_arrays(
-                [
-                    *batch.columns[: len(kept)],
-                    pa.array([len(w) for w in words], pa.int64()),
-                    pa.array([sum([counts[x] for x in w]) for w in words], pa.int64()),
-                ],
+                [*batch.columns[: len(kept)], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
                 names=[*kept, *added],
             )
 
