@@ -294,27 +294,27 @@ _TITLE = (
 
 def _triage(topics: str, related_from: float) -> list[str]:
     return [
-    _QUESTIONS,
-    f"topics AS ({topics})",
-    _buckets("plain_vectors", "questions", "query_id", "question"),
-    _buckets("topic_vectors", "topics", "code", "topic"),
-    """pairs AS (
+        _QUESTIONS,
+        f"topics AS ({topics})",
+        _buckets("plain_vectors", "questions", "query_id", "question"),
+        _buckets("topic_vectors", "topics", "code", "topic"),
+        """pairs AS (
   SELECT q.id AS query_id, c.code, round(coalesce(sum(p.weight * w.weight), 0), 9) AS score
   FROM (SELECT DISTINCT id FROM plain_vectors) q CROSS JOIN topics c
   LEFT JOIN topic_vectors w ON w.id = c.code
   LEFT JOIN plain_vectors p ON p.id = q.id AND p.bucket = w.bucket
   GROUP BY ALL)""",
-    """best AS (
+        """best AS (
   SELECT query_id, code, score FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, code) AS place
     FROM pairs) WHERE place = 1)""",
-    f"""analyzed AS (
+        f"""analyzed AS (
   SELECT q.query_id, coalesce(score >= {related_from}, false) AS related, score,
          CASE WHEN score >= {related_from} THEN code END AS code,
          {_STRIP.format(f'substr({_TITLE}, 1, {TITLE_MAX_CHARS})')} AS title,
          {_STRIP.format('question')} AS stripped
   FROM questions q LEFT JOIN best b USING (query_id))""",
-    f"""analysis AS (
+        f"""analysis AS (
   SELECT query_id, related AND stripped <> '' AS is_related,
          CASE WHEN stripped <> '' THEN code END AS category,
          CASE WHEN stripped <> '' THEN title ELSE {_text(FALLBACK_TITLE)} END AS title,
@@ -322,7 +322,7 @@ def _triage(topics: str, related_from: float) -> list[str]:
               ELSE {_text(DESCRIPTION_EMPTY)} END AS description,
          score AS category_score
   FROM analyzed)""",
-]
+    ]
 
 
 _TRIAGE = _triage(f"SELECT * FROM (VALUES {_CATEGORY_VALUES}) AS v(code, topic)", RELATED_FROM)
