@@ -238,17 +238,21 @@ def keep_one(
 ) -> DataFrame:
     """The rows of ``docs``, one of each group of near duplicates: that with the smallest id.
 
-    Rows whose id is their own are told by it. Those that share an id, or have none, are told by
-    their fingerprint, computed again for them alone: of the rows of a group that have its smallest
-    id (or none, where the whole group has none) one stays.
+    Rows whose id is their own are told by it: their texts are shuffled once, to meet the kept ids.
+    Rows that share an id, or have none, are told by their fingerprint, computed again for them
+    alone: of the rows of a group that have its smallest id (or none, where the whole group has
+    none) one stays.
     """
     marks = materialize(near_duplicates(docs, id, text, shingle, distance), "marks")
     ids = materialize(
-        marks.filter(F.col(id).isNotNull())
-        .groupBy(id).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_least")),
-        "ids",
-    )
-    named = docs.join(ids.filter((F.col("_rows") == 1) & (F.col(id) == F.col("_least"))).select(id), id, "left_semi")
+        marks.groupBy(id).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_least")), "ids"
+    )
+    single = (F.col("_rows") == 1) & (F.col(id) == F.col("_least"))
+    # The kept ids grow with the documents: a broadcast would only ever suit small tables.
+    named = docs.join(ids.filter(single).select(id).hint("merge"), id, "left_semi").select(*docs.columns)
+    shared = ids.filter(F.col(id).isNull() | (F.col("_rows") > 1)).select(F.col(id).alias("_shared"))
+    if shared.isEmpty():
+        return named
 
     @F.arrow_udf("bigint")
     def compute(column: pa.Array) -> pa.Array:
@@ -258,13 +262,11 @@ def keep_one(
     first = marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(
         F.col("fingerprint").alias("_print"), F.col("component").alias("_component"), F.col("component_id").alias("_first")
     )
-    unclear = docs.filter(F.col(id).isNull()).unionByName(
-        docs.join(ids.filter("_rows > 1").select(id), id, "left_semi").select(*docs.columns)
-    )
+    unclear = materialize(docs.join(shared, F.col(id).eqNullSafe(F.col("_shared")), "left_semi"), "unclear")
     told = (
         unclear.withColumn("_print", compute(F.col(text)))
         .join(first.distinct(), "_print")
         .filter(F.col(id).eqNullSafe(F.col("_first")))
         .dropDuplicates(["_component"])
     )
-    return named.select(*docs.columns).unionByName(told.select(*docs.columns))
+    return named.unionByName(told.select(*docs.columns))
