@@ -9,16 +9,18 @@ from supportgraph.workspace import materialize
 
 
 def rank_in_group(
-    df: DataFrame, group: str, order: list[Column], out: str = "rank"
+    df: DataFrame, group: str, order: list[Column], out: str = "rank", cuts: list[Column] | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1 in the given order, which must have no ties.
 
     Rows are range-partitioned by group and order, so a large group lies in many tasks. Each task
     numbers its own rows and adds the row counts of the parts of the group that come before.
+    ``cuts`` are columns that rise with the order and by which the ranges are cut instead, where the
+    values of ``order`` are long.
     """
     part = "__part"
     sliced = materialize(
-        df.repartitionByRange(F.col(group), *order).withColumn(part, F.spark_partition_id()),
+        df.repartitionByRange(F.col(group), *(cuts or order)).withColumn(part, F.spark_partition_id()),
         "ranked",
     )
     before = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

@@ -6,8 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportgraph.functions.text import label_of, stamp
+from supportgraph.operators.ranking import rank_in_group
+from supportgraph.workspace import materialize
 
 TURNS = "array<struct<content:string,role:string>>"
+LINE = "conversation string, place int, role string, content string"
+# Conversations with more turns or bytes than this are written by lines, not as one list.
+LONG_TURNS, LONG_BYTES = 10_000, 1 << 20
+# Their folder, beside those of the lists. Spark skips its name when it reads the lists.
+LINES = "_lines"
 ROWS = "conv_id string, turn int, role string, content string"
 
 
@@ -32,6 +39,27 @@ def _conversation_files(spark: SparkSession, path: str, pattern: str) -> DataFra
     )
 
 
+def _lines_path(spark: SparkSession, path: str) -> str | None:
+    """The folder of the conversations stored by lines, if there is one."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), LINES)
+    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+    return target.toString() if exists else None
+
+
+def _conversation_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``file, reason`` and the columns of LINE: a turn per row, the reason is why it cannot be used."""
+    lines = (
+        spark.read.option("pathGlobFilter", pattern)
+        .option("recursiveFileLookup", True)
+        .text(path)
+        .select(_file_name(F.col("_metadata.file_path")).alias("file"), F.from_json("value", LINE).alias("line"))
+    )
+    reason = F.when(F.col("line.place").isNull(), "no message").when(
+        F.col("line.role").isNull(), "message without role"
+    )
+    return lines.select("file", reason.alias("reason"), "line.*")
+
+
 def load_conversation_files(
     spark: SparkSession, path: str, pattern: str = "*.json", skip_rejects: bool = False
 ) -> DataFrame:
@@ -40,30 +68,75 @@ def load_conversation_files(
     The position in the list is the turn. The conversation is the file name up to its first dot,
     or the folder where this is called ``conv_id=<id>``. File names must not contain a colon. A file that is empty, no list, or has a
     message without a role fails the job; with ``skip_rejects`` it is left out, for the caller to
-    store ``conversation_rejects``.
+    store ``conversation_rejects``. Long conversations that ``write_conversation_files`` stored by
+    lines are read by lines; one with such a message is left out whole, like a list.
     """
-    files = _conversation_files(spark, path, pattern)
+    files, by_lines = _conversation_files(spark, path, pattern), _lines_path(spark, path)
+    message = F.concat_ws(": ", "file", "reason")
     if skip_rejects:
         files = files.where("reason IS NULL")
     else:
-        message = F.concat_ws(": ", "file", "reason")
         checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast(TURNS))
         files = files.withColumn("list", checked.otherwise(F.col("list")))
     turns = files.select("conv_id", F.posexplode("list").alias("turn", "message"))
-    return turns.select("conv_id", "turn", "message.role", "message.content")
+    turns = turns.select("conv_id", "turn", "message.role", "message.content")
+    if by_lines is None:
+        return turns
+    lines = _conversation_lines(spark, by_lines, pattern)
+    if skip_rejects:
+        unfit = lines.where("reason IS NOT NULL").select(F.col("conversation").alias("unfit")).distinct()
+        lines = lines.join(unfit, F.col("conversation").eqNullSafe(F.col("unfit")), "left_anti")
+    else:
+        checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast("int"))
+        lines = lines.withColumn("place", checked.otherwise(F.col("place")))
+    return turns.unionByName(
+        lines.select(F.col("conversation").alias("conv_id"), F.col("place").alias("turn"), "role", "content")
+    )
 
 
 def conversation_rejects(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
     """Conversation files that cannot be used: ``file, reason``."""
-    return _conversation_files(spark, path, pattern).where("reason IS NOT NULL").select("file", "reason")
+    unfit = "reason IS NOT NULL"
+    rejects = _conversation_files(spark, path, pattern).where(unfit).select("file", "reason")
+    by_lines = _lines_path(spark, path)
+    if by_lines is None:
+        return rejects
+    lines = _conversation_lines(spark, by_lines, pattern)
+    return rejects.unionByName(lines.where(unfit).select("file", "reason").distinct())
+
+
+def _write_lines(messages: DataFrame, path: str) -> None:
+    """One JSON object per turn with its place, in files that range over conversation and place."""
+    order = [F.col("turn"), F.col("content"), F.col("role")]
+    # Cut by the start of a content: samples of the cuts reach the driver.
+    cuts = [F.col("turn"), F.substring("content", 1, 32)]
+    placed = rank_in_group(messages, "conv_id", order, "place", cuts).select(
+        "conv_id", (F.col("place") - 1).cast("int").alias("place"), "role", "content"
+    )
+    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation"), "place", "role", "content"))
+    spread = placed.repartitionByRange("conv_id", "place").sortWithinPartitions("conv_id", "place")
+    spread.select("conv_id", line.alias("value")).write.partitionBy("conv_id").text(path)
 
 
 def write_conversation_files(messages: DataFrame, path: str) -> None:
     """One JSON list per conversation, in a folder per conversation: ``conv_id=<id>/part-….txt``.
 
-    A conversation is gathered by one task, so this is an export for short ones; logs are stored by
-    ``append_conversations``.
+    Only conversations that a count shows to be short are gathered. The others are written to
+    ``_lines/conv_id=<id>``, in any number of files with one JSON object per turn and its place in
+    the conversation, so no task ever holds one of them. ``load_conversation_files`` reads both.
     """
+    size = F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in ("content", "role")))
+    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("turns"), size.alias("bytes"))
+    large = (F.col("turns") > LONG_TURNS) | (F.col("bytes") > LONG_BYTES)
+    long = materialize(sizes.where(large).select(F.col("conv_id").alias("__long")), "long-conversations")
+    same, some = F.col("conv_id").eqNullSafe(F.col("__long")), not long.isEmpty()
+    short = messages.join(long, same, "left_anti") if some else messages
+    _write_lists(short, path)
+    if some:
+        _write_lines(messages.join(long, same, "left_semi"), f"{path.rstrip('/')}/{LINES}")
+
+
+def _write_lists(messages: DataFrame, path: str) -> None:
     entry = F.struct("turn", "content", "role")
     lists = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("ordered"))
     text = F.to_json(
@@ -88,18 +161,24 @@ def load_conversations(spark: SparkSession, path: str, schema: str = ROWS) -> Da
 def list_conversation_files(
     spark: SparkSession, path: str, pattern: str = "*.json", recursive: bool = False
 ) -> DataFrame:
-    """Stored files, the one changed last first. File contents are not read."""
+    """Stored files, the one changed last first. File contents are not read.
+
+    ``folder`` is the name of the folder a file is in: a recursive listing also has the files of
+    conversations stored by lines, of which several share a folder.
+    """
+    by_lines = _lines_path(spark, path) if recursive else None
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", recursive)
-        .load(path)
+        .load([path] if by_lines is None else [path, by_lines])
     )
     name = _file_name(F.col("path"))
     return (
         files.select(
             name.alias("file_name"),
             label_of(name).alias("label"),
+            F.element_at(F.split("path", "/"), -2).alias("folder"),
             F.col("modificationTime").alias("modified"),
             stamp(F.col("modificationTime")).alias("last_update"),
         )

@@ -112,6 +112,55 @@ def test_conversation_files_round_trip(spark, tmp_path):
     assert sorted(tuple(r) for r in back.collect()) == rows
 
 
+LONG = [("hot", i, "user" if i % 2 else "assistant", f"{i}\n\"é\"") for i in range(60)]
+
+
+def write_long(spark, tmp_path, monkeypatch, rows):
+    monkeypatch.setattr(logs, "LONG_TURNS", 5, raising=False)
+    monkeypatch.setattr(logs, "LONG_BYTES", 1000, raising=False)
+    path = str(tmp_path / "lists")
+    schema = "conv_id string, turn int, role string, content string"
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows, several parts
+    try:
+        logs.write_conversation_files(spark.createDataFrame(rows, schema).repartition(3), path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    return path
+
+
+def test_a_long_conversation_lies_in_several_files(spark, tmp_path, monkeypatch):
+    short = [("a", 4, "user", "x\ny"), ("a", 9, "assistant", ""), ("b", 0, "user", 'q"')]
+    wide, unnamed = [("wide", 7, "user", "é" * 600)], [(None, i, "user", "n") for i in range(8)]
+    path = write_long(spark, tmp_path, monkeypatch, [*LONG[::-1], *short, *wide, *unnamed])
+    back = logs.load_conversation_files(spark, path, pattern="*.txt").collect()
+    wanted = [*LONG, ("a", 0, "user", "x\ny"), ("a", 1, "assistant", ""), short[2], ("wide", 0, "user", "é" * 600), *unnamed]
+    assert sorted((tuple(r) for r in back), key=str) == sorted(wanted, key=str)
+    files = [p.read_text() for p in (tmp_path / "lists").rglob("conv_id=hot/*.txt")]
+    assert len(files) > 1 and max(len(text.splitlines()) for text in files) < len(LONG)
+    assert len(list((tmp_path / "lists").glob("conv_id=*/*.txt"))) == 2
+    listed = logs.list_conversation_files(spark, path, pattern="*.txt", recursive=True).collect()
+    assert len(listed) == len(list((tmp_path / "lists").rglob("*.txt")))
+    assert {r.folder for r in listed} >= {f"conv_id={name}" for name in ("hot", "a", "b", "wide")}
+
+
+def test_equal_turns_have_the_order_of_a_list(spark, tmp_path, monkeypatch):
+    rows = [("c", turn, role, content) for turn in (None, 1) for content in ("y", "x") for role in ("v", "u")]
+    path = write_long(spark, tmp_path, monkeypatch, rows * 2)
+    back = logs.load_conversation_files(spark, path, pattern="*.txt").orderBy("turn").collect()
+    wanted = [(content, role) for _ in (None, 1) for content in "xy" for role in "uv" for _ in range(2)]
+    assert [(r.turn, r.content, r.role) for r in back] == [(i, *w) for i, w in enumerate(wanted)]
+
+
+def test_broken_long_conversation(spark, tmp_path, monkeypatch):
+    other = [("good", i, "user", "x") for i in range(9)]
+    path = write_long(spark, tmp_path, monkeypatch, [*LONG, ("hot", 60, None, "x"), *other])
+    with pytest.raises(Exception, match="message without role"):
+        logs.load_conversation_files(spark, path, pattern="*.txt").collect()
+    left = logs.load_conversation_files(spark, path, pattern="*.txt", skip_rejects=True).collect()
+    assert sorted(tuple(r) for r in left) == other
+    assert [r.reason for r in logs.conversation_rejects(spark, path, "*.txt").collect()] == ["message without role"]
+
+
 def test_csv_keeps_white_space(spark, tmp_path):
     path = str(tmp_path / "csv")
     texts = ["  lead and trail  ", "tab\t", "\u00a0x\r\ny ", '"', ' "q" ', ",", "\\", None]

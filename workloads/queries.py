@@ -815,11 +815,12 @@ def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of all conversations, by folder; their times and names differ from run to run."""
+    """The files of all conversations, counted by folder, for a long one lies in several; their
+    times and names differ from run to run."""
     path = fresh_path(spark, "conversation-files")
     logs.write_conversation_files(t.messages(spark, sf_dir), path)
     files = logs.list_conversation_files(spark, path, pattern="*.txt", recursive=True)
     dated = F.col("last_update") == stamp(F.col("modified"))
     return files.groupBy(F.substring("label", 1, 5).alias("kind"), dated.alias("dated")).agg(
-        F.count("*").alias("n")
+        F.countDistinct("folder").alias("n")
     )
