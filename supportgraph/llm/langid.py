@@ -89,14 +89,16 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 
 def train(
     samples: list[tuple[int, np.ndarray, np.ndarray, int]], labels: list[str], epochs: int = 8,
-    rate: float = 1.0, tolerance: float = 0.001, most: float = 0.4, seed: int = 7,
+    rate: float = 1.0, tolerance: float = 0.001, most: float = 0.4, margin: float = 0.5, seed: int = 7,
 ) -> Model:
     """Stochastic gradient descent over (label number, buckets, shares, number of subwords).
 
     Every fifth sample is left out of it. On these the temperature and the weight of short texts
     are chosen that make their labels likeliest, and then the probability below which a text is
     rejected: the one that would reject ``tolerance`` of those whose label is right, and never
-    above ``most``.
+    above a bound. The likeliest of L labels has a probability of 1/L at least, so the bound is
+    ``most`` or, where that is more, as with two or three labels, 1/L and ``margin`` of it again.
+    A single label has nothing to compare with and is never rejected.
     """
     random = np.random.default_rng(seed)
     embedding = random.uniform(-1 / WIDTH, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
@@ -134,7 +136,8 @@ def train(
         likely = chances(scale, few)
         right = likely.max(axis=1)[likely.argmax(axis=1) == truth]
         least = float(np.quantile(right, tolerance)) if len(right) else 0.0
-    return Model(labels, (logits * scale).astype(np.float32), bias * scale, float(few), min(least, most))
+    least = min(least, max(most, (1 + margin) / max(len(labels), 1)))
+    return Model(labels, (logits * scale).astype(np.float32), bias * scale, float(few), least)
 
 
 def learn(

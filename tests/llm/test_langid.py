@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from supportgraph.llm import langid
 
@@ -54,6 +55,21 @@ def test_probabilities_are_calibrated(spark):
     assert abs(right - np.mean([r.score for r in found])) < 0.12
 
 
+@pytest.mark.parametrize("foreign", SOUNDS)
+def test_a_language_not_learned_is_rejected(spark, foreign):
+    rng = random.Random(5)
+    learned = [label for label in SOUNDS if label != foreign]
+    rows = [(i, sentence(label, rng.randrange(1, 40), rng), label) for i, label in enumerate(learned * 200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs.filter("doc_id % 4 <> 2"))
+    assert model.reject_below > 1 / len(learned)
+    kept = langid.identify(docs.filter("doc_id % 4 = 2"), model).collect()
+    assert np.mean([r.rejected for r in kept]) < 0.02
+    others = [(i, "щука жила под мостом у реки " * 3, foreign) for i in range(3)]
+    strange = langid.identify(spark.createDataFrame(others, docs.schema), model).collect()
+    assert all(r.lang_pred != "und" and r.rejected for r in strange)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "aa"), (2, "", "bb"), (3, "123 !? …", None), (None, "kalomi", "aa"), (5, "ñ", "cc"), (5, "ñ", "cc"), (6, "ka" * 700_000, "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
