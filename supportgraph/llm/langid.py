@@ -17,6 +17,8 @@ from supportgraph.llm.common import texts
 BUCKETS, WIDTH, SIZES = 1 << 15, 16, (2, 3, 4)
 #: Bytes whose subwords are hashed at a time.
 PIECE = 1 << 19
+#: Rows a label is learned from at least, where it has as many.
+LEAST_ROWS = 100
 UNKNOWN = "und"
 
 #: A-Z in lower case, every other ASCII byte that is no letter a blank.
@@ -142,12 +144,14 @@ def train(
 
 def learn(
     rows: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang",
-    per_label: int = 1000, most_labels: int = 200, **options,
+    per_label: int = 1000, most_rows: int = 200_000, **options,
 ) -> Model:
     """A model from labelled rows.
 
-    A bounded sample is enough for it: about ``per_label`` rows of each of the ``most_labels``
-    labels with most rows, chosen by a hash of id and label, so reruns agree. Their whole texts are
+    Every label is learned. A bounded sample is enough for it: about ``per_label`` rows of each, or
+    fewer where all together would be more than ``most_rows``, chosen by a hash of id and label, so
+    reruns agree. So many labels that fewer than LEAST_ROWS are left for each are an error. Their
+    whole texts are
     reduced to subword shares in the tasks; only these reach the driver, at most 32,768 numbers a
     row. Rows without a label, an id or a letter are no samples. Without any sample the model has
     no labels and rejects everything.
@@ -156,9 +160,12 @@ def learn(
     sizes = {
         r["label"]: r["n"]
         for r in labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "label").limit(most_labels).collect()
+        .limit(most_rows // LEAST_ROWS + 1).collect()
     }
     labels = sorted(sizes)
+    if len(labels) * LEAST_ROWS > most_rows:
+        raise ValueError(f"more than {most_rows // LEAST_ROWS} labels: {most_rows} rows are too few to learn them")
+    per_label = min(per_label, most_rows / max(len(labels), 1))
     if not labels:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_label / n)])[F.col(label)]

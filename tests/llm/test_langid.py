@@ -70,6 +70,25 @@ def test_a_language_not_learned_is_rejected(spark, foreign):
     assert all(r.lang_pred != "und" and r.rejected for r in strange)
 
 
+def test_every_label_is_learned(spark):
+    rows = [(i, f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}q " * 9, f"l{i % 230:03d}") for i in range(1150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.learn(docs, epochs=1)
+    assert model.labels == [f"l{i:03d}" for i in range(230)] and model.logits.shape[1] == 230
+
+
+def test_the_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs = spark.createDataFrame(table(), "doc_id long, text string, lang string, score string")
+    monkeypatch.setattr(langid, "LEAST_ROWS", 5)
+    seen = []
+    monkeypatch.setattr(langid, "train", lambda samples, labels, **options: seen.append((samples, labels)))
+    langid.learn(docs, most_rows=60)
+    samples, labels = seen[0]
+    assert labels == [*SOUNDS] and 30 < len(samples) < 90 and {s[0] for s in samples} == {0, 1, 2}
+    with pytest.raises(ValueError, match="more than 2 labels"):
+        langid.learn(docs, most_rows=10)
+
+
 def test_odd_rows(spark):
     rows = [(1, None, "aa"), (2, "", "bb"), (3, "123 !? …", None), (None, "kalomi", "aa"), (5, "ñ", "cc"), (5, "ñ", "cc"), (6, "ka" * 700_000, "aa")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
