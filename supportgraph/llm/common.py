@@ -35,6 +35,45 @@ def texts(column: pa.Array) -> Iterator[bytes]:
             yield raw or b""
 
 
+class Own:
+    """The columns of a table under names that no operator uses, and back under their own.
+
+    Inside an operator the i-th column is called ``own<i>``; names that operators make for
+    themselves never begin so. Columns with the name of a result, in letters of any case, give way
+    to it: they are known to the operator and left out of the result.
+    """
+
+    def __init__(self, df: DataFrame, added: list[str], keep: list[str] | None = None) -> None:
+        self.names = df.columns
+        gone = {name.lower() for name in added}
+        self.kept = [
+            i for i, c in enumerate(self.names) if c.lower() not in gone and (keep is None or c in keep)
+        ]
+        self.table = df.toDF(*[f"own{i}" for i in range(len(self.names))])
+
+    def __getitem__(self, name: str) -> str:
+        """What the column called ``name`` is called inside; letters in that case go first."""
+        same = [i for i, c in enumerate(self.names) if c == name]
+        same = same or [i for i, c in enumerate(self.names) if c.lower() == name.lower()]
+        if not same:
+            raise ValueError(f"there is no column {name!r} among {self.names}")
+        return f"own{same[0]}"
+
+    @property
+    def columns(self) -> list[str]:
+        """The inside names of the columns that stay."""
+        return [f"own{i}" for i in self.kept]
+
+    def types(self) -> str:
+        """The columns that stay, as the beginning of a schema text."""
+        schema = self.table.schema
+        return "".join(f"own{i} {schema[i].dataType.simpleString()}, " for i in self.kept)
+
+    def restore(self, df: DataFrame, *added: str | Column) -> DataFrame:
+        """The columns that stay, under their own names, and the results."""
+        return df.select(*[F.col(f"own{i}").alias(self.names[i]) for i in self.kept], *added)
+
+
 def crc32(column: Column) -> Column:
     """CRC-32 of the decimal text of a document id; null for a null id."""
     return F.crc32(column.cast("string").cast("binary"))

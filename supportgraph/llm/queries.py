@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, warc, wordpiece
+from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, urls, warc, wordpiece
 from supportgraph.llm.common import bound_batches, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,3 +145,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     remainder = crc32(F.col("doc_id")) % 3
     found = quality.classify(docs.select("doc_id", "text"), labels.select("doc_id", "quality"), remainder != 1)
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+# The rules of the query.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+
+@query
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"]).select(
+        "page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), "score"
+    )
