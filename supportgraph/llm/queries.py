@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, secrets, simhash, urls, warc, wordpiece
+from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, repair, secrets, simhash, urls, warc, wordpiece
 from supportgraph.llm.common import bound_batches, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -159,3 +159,30 @@ def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"), URL_RULES, keep=["page_id"]).select(
         "page_id", "host", "path", "rule", "verdict", F.array_join("words", " ").alias("words"), "score"
     )
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Rows with faults put in by the CRC-32 of ``conv_id:turn``; dropped ones are marked ``gone``."""
+
+    def plain(name: str):
+        return F.coalesce(F.col(name).cast("string"), F.lit(" "))
+
+    fault = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")) % 20
+    text = F.when(fault == 1, "").when(fault == 2, F.translate(plain("text"), ".!?", "")).otherwise(plain("text"))
+    rows = conversations.select(
+        "conv_id", "turn", F.when(fault == 4, "user").otherwise(plain("role")).alias("role"), text.alias("text"),
+        (fault == 0).alias("gone"), F.explode(F.array_repeat(F.lit(0), F.when(fault == 3, 2).otherwise(1))).alias("copy"),
+    )
+    return rows.drop("copy")
+
+
+@query
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repair.repair(damaged(table(spark, sf_dir, "conversations")), gone="gone")
+    digest = F.sha2(repair.lines(F.col("turns")).cast("binary"), 256).alias("repaired_sha256")
+    whole = found.whole.select(F.col("conversation").alias("conv_id"), *repair.REPORT, "audit", digest)
+    digests = repair.digest_in_order(found.pieces).withColumnRenamed("conversation", "of")
+    long = found.long.join(digests, F.col("conversation").eqNullSafe(F.col("of"))).select(
+        F.col("conversation").alias("conv_id"), *repair.REPORT, "audit", F.col("digest").alias("repaired_sha256")
+    )
+    return whole.unionByName(long)
