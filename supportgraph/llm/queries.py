@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from supportgraph.llm import decontaminate, exact_dedup, langid, mixing, packing, quality, repair, secrets, simhash, urls, warc, wordpiece
+from supportgraph.llm import align, decontaminate, exact_dedup, langid, mixing, packing, quality, repair, secrets, simhash, urls, warc, wordpiece
 from supportgraph.llm.common import bound_batches, crc32
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -186,3 +186,8 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("conversation").alias("conv_id"), *repair.REPORT, "audit", F.col("digest").alias("repaired_sha256")
     )
     return whole.unionByName(long)
+
+
+@query
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align_and_count(table(spark, sf_dir, "documents"), keep=["doc_id"])
