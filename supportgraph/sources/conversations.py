@@ -1,58 +1,66 @@
-"""Conversation logs: JSON in, JSON out, and the listing of the stored files."""
+"""Conversation logs: JSON in, JSON out, and the listing of the stored files.
+
+Three layouts. A log holds turns as they were added (``append_conversations``). Conversation files
+hold whole conversations with the place of each turn, any number of them in a file, so a long one
+lies in several. Lists are one JSON list per file and conversation, for programs that expect that.
+In all of them an id is kept as it is: as a text inside the file, or as the name of a folder that is
+never read as a number.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from supportgraph.functions.text import label_of, stamp
 from supportgraph.operators.ranking import rank_in_group
-from supportgraph.workspace import materialize
 
 TURNS = "array<struct<content:string,role:string>>"
 LINE = "conversation string, place int, role string, content string"
-# Conversations with more turns or bytes than this are written by lines, not as one list.
-LONG_TURNS, LONG_BYTES = 10_000, 1 << 20
-# Their folder, beside those of the lists. Spark skips its name when it reads the lists.
-LINES = "_lines"
 ROWS = "conv_id string, turn int, role string, content string"
+FOLDER = "conv_id="
+# Fixed value: the folder name that Spark gives to a null.
+NO_ID = "__HIVE_DEFAULT_PARTITION__"
 
 
-def _file_name(path) -> F.Column:
-    return F.url_decode(F.element_at(F.split(path, "/"), -1))
+def _unescaped(name: Column) -> Column:
+    """A name without %-escapes. Unlike in a web form, "+" stands for itself."""
+    return F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))
 
 
-def _conversation_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``file, conv_id, value, list, reason``: the reason is why a file cannot be used."""
-    files = spark.read.option("pathGlobFilter", pattern).text(path, wholetext=True)
-    name = _file_name(F.col("_metadata.file_path"))
-    label = F.col("conv_id").cast("string") if "conv_id" in files.columns else label_of(name)
-    listed = F.from_json("value", TURNS)
-    bad_message = F.exists("list", lambda m: m.isNull() | m["role"].isNull())
-    return files.select(
-        name.alias("file"), label.alias("conv_id"), "value", listed.alias("list")
-    ).withColumn(
-        "reason",
-        F.when(F.trim("value") == "", "empty")
-        .when(F.col("list").isNull(), "no list of messages")
-        .when(bad_message, "message without role"),
-    )
+def _part_of(path: Column, place: int) -> Column:
+    """A part of a file's path, counted from the end."""
+    return _unescaped(F.element_at(F.split(path, "/"), place))
+
 
+# --- conversation files: a turn per line ---------------------------------------------------------
 
-def _lines_path(spark: SparkSession, path: str) -> str | None:
-    """The folder of the conversations stored by lines, if there is one."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/"), LINES)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return target.toString() if exists else None
+
+def write_conversation_files(messages: DataFrame, path: str) -> None:
+    """One JSON object per turn with its conversation and place, in files that range over both.
+
+    The place counts from 0 in the order of turn, content and role. No task holds a conversation and
+    the number of files does not grow with the number of conversations. A null id stays null.
+    """
+    order = [F.col("turn"), F.col("content"), F.col("role")]
+    # Cut by the start of a content: samples of the cuts reach the driver.
+    cuts = [F.col("turn"), F.substring("content", 1, 32)]
+    placed = rank_in_group(messages, "conv_id", order, "place", cuts)
+    lines = placed.select(
+        F.col("conv_id").cast("string").alias("conversation"),
+        (F.col("place") - 1).cast("int").alias("place"),
+        "role",
+        "content",
+    )
+    spread = lines.repartitionByRange("conversation", "place")
+    spread.sortWithinPartitions("conversation", "place").write.json(path)
 
 
 def _conversation_lines(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    """``file, reason`` and the columns of LINE: a turn per row, the reason is why it cannot be used."""
-    lines = (
-        spark.read.option("pathGlobFilter", pattern)
-        .option("recursiveFileLookup", True)
-        .text(path)
-        .select(_file_name(F.col("_metadata.file_path")).alias("file"), F.from_json("value", LINE).alias("line"))
+    """``file, reason`` and the columns of LINE: the reason is why a line cannot be used."""
+    text = spark.read.option("pathGlobFilter", pattern).text(path)
+    lines = text.select(
+        _part_of(F.col("_metadata.file_path"), -1).alias("file"), F.from_json("value", LINE).alias("line")
     )
     reason = F.when(F.col("line.place").isNull(), "no message").when(
         F.col("line.role").isNull(), "message without role"
@@ -63,86 +71,115 @@ def _conversation_lines(spark: SparkSession, path: str, pattern: str) -> DataFra
 def load_conversation_files(
     spark: SparkSession, path: str, pattern: str = "*.json", skip_rejects: bool = False
 ) -> DataFrame:
-    """Turns of conversations stored as one JSON list per file.
+    """Turns of the conversations in ``path``: ``conv_id, turn, role, content``; the place is the turn.
 
-    The position in the list is the turn. The conversation is the file name up to its first dot,
-    or the folder where this is called ``conv_id=<id>``. File names must not contain a colon. A file that is empty, no list, or has a
-    message without a role fails the job; with ``skip_rejects`` it is left out, for the caller to
-    store ``conversation_rejects``. Long conversations that ``write_conversation_files`` stored by
-    lines are read by lines; one with such a message is left out whole, like a list.
+    A line that is no message or has no role fails the job; with ``skip_rejects`` its conversation
+    is left out whole, for the caller to store ``conversation_rejects``; a line that names no
+    conversation is left out by itself.
     """
-    files, by_lines = _conversation_files(spark, path, pattern), _lines_path(spark, path)
-    message = F.concat_ws(": ", "file", "reason")
-    if skip_rejects:
-        files = files.where("reason IS NULL")
-    else:
-        checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast(TURNS))
-        files = files.withColumn("list", checked.otherwise(F.col("list")))
-    turns = files.select("conv_id", F.posexplode("list").alias("turn", "message"))
-    turns = turns.select("conv_id", "turn", "message.role", "message.content")
-    if by_lines is None:
-        return turns
-    lines = _conversation_lines(spark, by_lines, pattern)
+    lines = _conversation_lines(spark, path, pattern)
     if skip_rejects:
         unfit = lines.where("reason IS NOT NULL").select(F.col("conversation").alias("unfit")).distinct()
-        lines = lines.join(unfit, F.col("conversation").eqNullSafe(F.col("unfit")), "left_anti")
+        # A line that cannot be read names no conversation; others of that id are fit.
+        known = lines.where("reason IS NULL")
+        lines = known.join(unfit.where("unfit IS NOT NULL"), F.col("conversation") == F.col("unfit"), "left_anti")
     else:
+        message = F.concat_ws(": ", "file", "reason")
         checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast("int"))
         lines = lines.withColumn("place", checked.otherwise(F.col("place")))
-    return turns.unionByName(
-        lines.select(F.col("conversation").alias("conv_id"), F.col("place").alias("turn"), "role", "content")
-    )
+    return lines.select(F.col("conversation").alias("conv_id"), F.col("place").alias("turn"), "role", "content")
 
 
 def conversation_rejects(spark: SparkSession, path: str, pattern: str = "*.json") -> DataFrame:
-    """Conversation files that cannot be used: ``file, reason``."""
-    unfit = "reason IS NOT NULL"
-    rejects = _conversation_files(spark, path, pattern).where(unfit).select("file", "reason")
-    by_lines = _lines_path(spark, path)
-    if by_lines is None:
-        return rejects
-    lines = _conversation_lines(spark, by_lines, pattern)
-    return rejects.unionByName(lines.where(unfit).select("file", "reason").distinct())
-
-
-def _write_lines(messages: DataFrame, path: str) -> None:
-    """One JSON object per turn with its place, in files that range over conversation and place."""
-    order = [F.col("turn"), F.col("content"), F.col("role")]
-    # Cut by the start of a content: samples of the cuts reach the driver.
-    cuts = [F.col("turn"), F.substring("content", 1, 32)]
-    placed = rank_in_group(messages, "conv_id", order, "place", cuts).select(
-        "conv_id", (F.col("place") - 1).cast("int").alias("place"), "role", "content"
-    )
-    line = F.to_json(F.struct(F.col("conv_id").cast("string").alias("conversation"), "place", "role", "content"))
-    spread = placed.repartitionByRange("conv_id", "place").sortWithinPartitions("conv_id", "place")
-    spread.select("conv_id", line.alias("value")).write.partitionBy("conv_id").text(path)
+    """Conversation files with lines that cannot be used: ``file, reason``."""
+    lines = _conversation_lines(spark, path, pattern)
+    return lines.where("reason IS NOT NULL").select("file", "reason").distinct()
 
 
-def write_conversation_files(messages: DataFrame, path: str) -> None:
+# --- lists: a file per conversation --------------------------------------------------------------
+
+
+def export_conversation_lists(messages: DataFrame, path: str) -> None:
     """One JSON list per conversation, in a folder per conversation: ``conv_id=<id>/part-….txt``.
 
-    Only conversations that a count shows to be short are gathered. The others are written to
-    ``_lines/conv_id=<id>``, in any number of files with one JSON object per turn and its place in
-    the conversation, so no task ever holds one of them. ``load_conversation_files`` reads both.
+    A list cannot be split over files, so one task writes a conversation. It writes an element per
+    line as the sort delivers them and holds no more than one, so a conversation may have any length.
+    An id cannot be an empty text, which no folder can be called; a null id is a folder of its own.
     """
-    size = F.sum(sum(F.coalesce(F.octet_length(c), F.lit(0)).cast("bigint") for c in ("content", "role")))
-    sizes = messages.groupBy("conv_id").agg(F.count("*").alias("turns"), size.alias("bytes"))
-    large = (F.col("turns") > LONG_TURNS) | (F.col("bytes") > LONG_BYTES)
-    long = materialize(sizes.where(large).select(F.col("conv_id").alias("__long")), "long-conversations")
-    same, some = F.col("conv_id").eqNullSafe(F.col("__long")), not long.isEmpty()
-    short = messages.join(long, same, "left_anti") if some else messages
-    _write_lists(short, path)
-    if some:
-        _write_lines(messages.join(long, same, "left_semi"), f"{path.rstrip('/')}/{LINES}")
-
-
-def _write_lists(messages: DataFrame, path: str) -> None:
-    entry = F.struct("turn", "content", "role")
-    lists = messages.groupBy("conv_id").agg(F.sort_array(F.collect_list(entry)).alias("ordered"))
-    text = F.to_json(
-        F.transform("ordered", lambda m: F.struct(m["content"].alias("content"), m["role"].alias("role")))
+    same = Window.partitionBy("conv_id").orderBy("turn", "content", "role")
+    element = F.to_json(F.struct("content", "role"))
+    name = F.col("conv_id").cast("string")
+    rows = messages.select(
+        F.when(name == "", F.raise_error(F.lit("a conversation without a name has no folder")).cast("string"))
+        .otherwise(name)
+        .alias("conv_id"),
+        "turn",
+        "content",
+        "role",
+    )
+    lines = rows.select(
+        "conv_id",
+        F.concat(
+            F.when(F.row_number().over(same) == 1, "[").otherwise(""),
+            element,
+            F.when(F.lead(F.lit(1)).over(same).isNull(), "]").otherwise(","),
+        ).alias("value"),
+    )
+    lines.write.partitionBy("conv_id").text(path)
+
+
+def _list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """``file, conv_id, value, list, reason``: the reason is why a file cannot be used."""
+    # A recursive read does not turn folder names into columns, which would be typed by their looks.
+    reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    files = reader.text(path, wholetext=True)
+    place = F.col("_metadata.file_path")
+    name, folder = _part_of(place, -1), _part_of(place, -2)
+    own = _unescaped(F.substring(folder, F.lit(len(FOLDER) + 1), F.length(folder)))
+    named = F.when(own != NO_ID, own)
+    listed = F.from_json("value", TURNS)
+    bad_message = F.exists("list", lambda m: m.isNull() | m["role"].isNull())
+    return files.select(
+        name.alias("file"),
+        F.when(folder.startswith(FOLDER), named).otherwise(label_of(name)).alias("conv_id"),
+        "value",
+        listed.alias("list"),
+    ).withColumn(
+        "reason",
+        F.when(F.trim("value") == "", "empty")
+        .when(F.col("list").isNull(), "no list of messages")
+        .when(bad_message, "message without role"),
     )
-    lists.select("conv_id", text.alias("value")).write.partitionBy("conv_id").text(path)
+
+
+def load_conversation_lists(
+    spark: SparkSession, path: str, pattern: str = "*", skip_rejects: bool = False
+) -> DataFrame:
+    """Turns of conversations stored as one JSON list per file, in ``path`` and the folders below.
+
+    The position in the list is the turn. The conversation is the folder where this is called
+    ``conv_id=<id>``, else the file name up to its first dot. File names must not contain a colon. A
+    file is read as one value, which holds 2 GB at most; conversation files have no such bound. A
+    file that is empty, no list, or has a message without a role fails the job; with ``skip_rejects``
+    it is left out, for the caller to store ``list_rejects``.
+    """
+    files = _list_files(spark, path, pattern)
+    if skip_rejects:
+        files = files.where("reason IS NULL")
+    else:
+        message = F.concat_ws(": ", "file", "reason")
+        checked = F.when(F.col("reason").isNotNull(), F.raise_error(message).cast(TURNS))
+        files = files.withColumn("list", checked.otherwise(F.col("list")))
+    turns = files.select("conv_id", F.posexplode("list").alias("turn", "message"))
+    return turns.select("conv_id", "turn", "message.role", "message.content")
+
+
+def list_rejects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Files of lists that cannot be used: ``file, reason``."""
+    return _list_files(spark, path, pattern).where("reason IS NOT NULL").select("file", "reason")
+
+
+# --- logs and listings ---------------------------------------------------------------------------
 
 
 def append_conversations(messages: DataFrame, path: str) -> None:
@@ -163,17 +200,16 @@ def list_conversation_files(
 ) -> DataFrame:
     """Stored files, the one changed last first. File contents are not read.
 
-    ``folder`` is the name of the folder a file is in: a recursive listing also has the files of
-    conversations stored by lines, of which several share a folder.
+    ``folder`` is the name of the folder a file is in. Exported lists lie in folders and are called
+    ``*.txt``: list them with ``pattern="*", recursive=True``.
     """
-    by_lines = _lines_path(spark, path) if recursive else None
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", recursive)
-        .load([path] if by_lines is None else [path, by_lines])
+        .load(path)
     )
-    name = _file_name(F.col("path"))
+    name = _part_of(F.col("path"), -1)
     return (
         files.select(
             name.alias("file_name"),

@@ -83,82 +83,121 @@ def files(tmp_path):
     return str(tmp_path)
 
 
-def test_conversation_files(spark, files, tmp_path):
-    rows = logs.load_conversation_files(spark, files, skip_rejects=True).orderBy("turn").collect()
+def test_conversation_lists(spark, files, tmp_path):
+    rows = logs.load_conversation_lists(spark, files, "*.json", skip_rejects=True).orderBy("turn").collect()
     assert [tuple(r) for r in rows] == [
         ("2024-01-01 10", 0, "system", 'Hé "q"'),
         ("2024-01-01 10", 1, "user", "two\nlines"),
     ]
 
 
-def test_broken_conversation_files(spark, files, tmp_path):
+def test_broken_conversation_lists(spark, files, tmp_path):
     with pytest.raises(Exception, match="broken.json: no list of messages"):
-        logs.load_conversation_files(spark, files).collect()
+        logs.load_conversation_lists(spark, files).collect()
     (tmp_path / "blank.json").write_text(" ")
     (tmp_path / "role.json").write_text('[{"content": "x"}]')
-    assert sorted(tuple(r) for r in logs.conversation_rejects(spark, files).collect()) == [
+    assert sorted(tuple(r) for r in logs.list_rejects(spark, files).collect()) == [
         ("blank.json", "empty"),
         ("broken.json", "no list of messages"),
         ("role.json", "message without role"),
     ]
 
 
-def test_conversation_files_round_trip(spark, tmp_path):
-    path = str(tmp_path / "lists")
-    rows = [("a", 0, "user", "x\ny"), ("a", 1, "assistant", ""), ("b", 0, "user", 'q"')]
-    messages = spark.createDataFrame(rows, "conv_id string, turn int, role string, content string")
-    logs.write_conversation_files(messages, path)
-    back = logs.load_conversation_files(spark, path, pattern="*.txt")
-    assert sorted(tuple(r) for r in back.collect()) == rows
+LONG = [("hot", i, "user" if i % 2 else "assistant", f"{i}\n\"é\"") for i in range(60)]
+# Ids that look like numbers, dates, paths or nothing, and the same number written differently.
+NAMES = ["007", "7", "1.50", "1.5", "2024-01-01", "a b", "a+b", "a%20b", "x=y", "a/b", "a:b", "é", "NULL", "true", None]
+NAMED = [(name, i, "user", f"{name} {i}") for name in NAMES for i in range(2)]
 
 
-LONG = [("hot", i, "user" if i % 2 else "assistant", f"{i}\n\"é\"") for i in range(60)]
+def split(spark, rows):
+    """Few rows in several parts."""
+    return spark.createDataFrame(rows, "conv_id string, turn int, role string, content string").repartition(3)
+
 
+def as_set(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
 
-def write_long(spark, tmp_path, monkeypatch, rows):
-    monkeypatch.setattr(logs, "LONG_TURNS", 5, raising=False)
-    monkeypatch.setattr(logs, "LONG_BYTES", 1000, raising=False)
-    path = str(tmp_path / "lists")
-    schema = "conv_id string, turn int, role string, content string"
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows, several parts
-    try:
-        logs.write_conversation_files(spark.createDataFrame(rows, schema).repartition(3), path)
-    finally:
-        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
-    return path
-
-
-def test_a_long_conversation_lies_in_several_files(spark, tmp_path, monkeypatch):
-    short = [("a", 4, "user", "x\ny"), ("a", 9, "assistant", ""), ("b", 0, "user", 'q"')]
-    wide, unnamed = [("wide", 7, "user", "é" * 600)], [(None, i, "user", "n") for i in range(8)]
-    path = write_long(spark, tmp_path, monkeypatch, [*LONG[::-1], *short, *wide, *unnamed])
-    back = logs.load_conversation_files(spark, path, pattern="*.txt").collect()
-    wanted = [*LONG, ("a", 0, "user", "x\ny"), ("a", 1, "assistant", ""), short[2], ("wide", 0, "user", "é" * 600), *unnamed]
-    assert sorted((tuple(r) for r in back), key=str) == sorted(wanted, key=str)
-    files = [p.read_text() for p in (tmp_path / "lists").rglob("conv_id=hot/*.txt")]
-    assert len(files) > 1 and max(len(text.splitlines()) for text in files) < len(LONG)
-    assert len(list((tmp_path / "lists").glob("conv_id=*/*.txt"))) == 2
-    listed = logs.list_conversation_files(spark, path, pattern="*.txt", recursive=True).collect()
-    assert len(listed) == len(list((tmp_path / "lists").rglob("*.txt")))
-    assert {r.folder for r in listed} >= {f"conv_id={name}" for name in ("hot", "a", "b", "wide")}
-
-
-def test_equal_turns_have_the_order_of_a_list(spark, tmp_path, monkeypatch):
+
+@pytest.fixture
+def several_parts(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("form", ["files", "lists"])
+def test_conversations_round_trip(spark, tmp_path, form, several_parts):
+    path = str(tmp_path / form)
+    write, load = {
+        "files": (logs.write_conversation_files, logs.load_conversation_files),
+        "lists": (logs.export_conversation_lists, logs.load_conversation_lists),
+    }[form]
+    short = [("a", 4, "user", "x\ny"), ("a", 9, "assistant", ""), ("b", 0, "user", 'q"'), ("wide", 7, "user", "é" * 600)]
+    write(split(spark, [*LONG[::-1], *short, *NAMED]), path)
+    wanted = [*LONG, ("a", 0, "user", "x\ny"), ("a", 1, "assistant", ""), short[2], ("wide", 0, "user", "é" * 600), *NAMED]
+    assert as_set(load(spark, path)) == sorted(wanted, key=str)
+
+
+def test_conversation_files_keep_an_empty_name(spark, tmp_path):
+    rows = [("", 0, "user", "x"), (None, 0, "user", "y")]
+    logs.write_conversation_files(split(spark, rows), str(tmp_path / "files"))
+    assert as_set(logs.load_conversation_files(spark, str(tmp_path / "files"))) == sorted(rows, key=str)
+    with pytest.raises(Exception, match="without a name"):
+        logs.export_conversation_lists(split(spark, rows), str(tmp_path / "lists"))
+
+
+def test_numbers_as_ids(spark, tmp_path):
+    rows = spark.createDataFrame([(7, 0, "user", "x"), (10**15, 0, "user", "y")], "conv_id long, turn int, role string, content string")
+    for i, (write, load) in enumerate([(logs.write_conversation_files, logs.load_conversation_files), (logs.export_conversation_lists, logs.load_conversation_lists)]):
+        write(rows, str(tmp_path / str(i)))
+        assert as_set(load(spark, str(tmp_path / str(i)))) == [(str(10**15), 0, "user", "y"), ("7", 0, "user", "x")]
+
+
+def test_a_long_conversation_lies_in_several_files(spark, tmp_path, several_parts):
+    path = str(tmp_path / "files")
+    logs.write_conversation_files(split(spark, [*LONG, ("a", 0, "user", "x")]), path)
+    texts = [p.read_text().splitlines() for p in (tmp_path / "files").glob("*.json")]
+    assert len(texts) > 1 and sum('"hot"' in text[0] + text[-1] for text in texts) > 1
+    listed = logs.list_conversation_files(spark, path).collect()
+    assert len(listed) == len(texts) and {r.folder for r in listed} == {"files"}
+
+
+def test_a_list_is_one_file_in_order(spark, tmp_path, several_parts):
+    path, many = str(tmp_path / "lists"), [(f"c{i % 3}", i, "user", f"text {i}") for i in range(3000)]
+    logs.export_conversation_lists(split(spark, many[::-1]), path)
+    for conv in range(3):
+        (file,) = (tmp_path / "lists" / f"conv_id=c{conv}").glob("*.txt")
+        assert [m["content"] for m in json.loads(file.read_text())] == [f"text {i}" for i in range(conv, 3000, 3)]
+    listed = logs.list_conversation_files(spark, path, pattern="*", recursive=True).collect()
+    assert {r.folder for r in listed} == {"conv_id=c0", "conv_id=c1", "conv_id=c2"}
+
+
+@pytest.mark.parametrize("form", ["files", "lists"])
+def test_equal_turns_have_the_order_of_a_list(spark, tmp_path, form, several_parts):
     rows = [("c", turn, role, content) for turn in (None, 1) for content in ("y", "x") for role in ("v", "u")]
-    path = write_long(spark, tmp_path, monkeypatch, rows * 2)
-    back = logs.load_conversation_files(spark, path, pattern="*.txt").orderBy("turn").collect()
+    path = str(tmp_path / form)
+    if form == "files":
+        logs.write_conversation_files(split(spark, rows * 2), path)
+        back = logs.load_conversation_files(spark, path)
+    else:
+        logs.export_conversation_lists(split(spark, rows * 2), path)
+        back = logs.load_conversation_lists(spark, path)
     wanted = [(content, role) for _ in (None, 1) for content in "xy" for role in "uv" for _ in range(2)]
-    assert [(r.turn, r.content, r.role) for r in back] == [(i, *w) for i, w in enumerate(wanted)]
+    assert [(r.turn, r.content, r.role) for r in back.orderBy("turn").collect()] == [(i, *w) for i, w in enumerate(wanted)]
 
 
-def test_broken_long_conversation(spark, tmp_path, monkeypatch):
+def test_broken_conversation_files(spark, tmp_path):
     other = [("good", i, "user", "x") for i in range(9)]
-    path = write_long(spark, tmp_path, monkeypatch, [*LONG, ("hot", 60, None, "x"), *other])
+    path = str(tmp_path / "files")
+    logs.write_conversation_files(split(spark, [*LONG, ("hot", 60, None, "x"), *other]), path)
     with pytest.raises(Exception, match="message without role"):
-        logs.load_conversation_files(spark, path, pattern="*.txt").collect()
-    left = logs.load_conversation_files(spark, path, pattern="*.txt", skip_rejects=True).collect()
-    assert sorted(tuple(r) for r in left) == other
-    assert [r.reason for r in logs.conversation_rejects(spark, path, "*.txt").collect()] == ["message without role"]
+        logs.load_conversation_files(spark, path).collect()
+    left = logs.load_conversation_files(spark, path, skip_rejects=True)
+    assert as_set(left) == other
+    assert [r.reason for r in logs.conversation_rejects(spark, path).collect()] == ["message without role"]
+    (tmp_path / "files" / "part-x.json").write_text("no json\n")
+    assert as_set(logs.load_conversation_files(spark, path, skip_rejects=True)) == other
+    assert {r.reason for r in logs.conversation_rejects(spark, path).collect()} == {"message without role", "no message"}
 
 
 def test_csv_keeps_white_space(spark, tmp_path):

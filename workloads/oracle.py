@@ -638,6 +638,11 @@ UNION ALL
 SELECT conv_id, start + 1, 'assistant', 'Re: ' || text FROM again""",
     "conversation_files": """SELECT conv_id, role, text AS content,
        row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations""",
+    "conversation_lists": """SELECT CASE conv_id % 4 WHEN 0 THEN lpad(conv_id::VARCHAR, 8, '0')
+         WHEN 1 THEN conv_id::VARCHAR || '.50' WHEN 2 THEN '2024-01-01 ' || conv_id::VARCHAR
+         ELSE 'a+b/' || conv_id::VARCHAR || '%20' END AS conv_id,
+       role, text AS content,
+       row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM conversations""",
     "recent_files": """SELECT 'part-' AS kind, true AS dated, count(DISTINCT conv_id) AS n
 FROM conversations""",
     "conversation_roundtrip": f"""{_ctes(_LAST_TURNS, _ASKED)}

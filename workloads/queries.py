@@ -805,21 +805,35 @@ def conversation_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A JSON list per conversation; the turn is the place in the list."""
+    """Conversations stored in files and loaded again; the turn is the place in the conversation."""
     path = fresh_path(spark, "conversation-files")
     logs.write_conversation_files(t.messages(spark, sf_dir), path)
-    return logs.load_conversation_files(spark, path, pattern="*.txt").select(
+    return logs.load_conversation_files(spark, path).select(
         F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("place"), "role", "content"
     )
 
 
+@query
+def conversation_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON list per conversation, under names that look like numbers, dates and paths."""
+    path, messages = fresh_path(spark, "conversation-lists"), t.messages(spark, sf_dir)
+    number = F.col("conv_id").cast("string")
+    names = F.array(
+        F.lpad(number, 8, "0"), F.concat(number, F.lit(".50")), F.concat(F.lit("2024-01-01 "), number),
+        F.concat(F.lit("a+b/"), number, F.lit("%20")),
+    )
+    named = messages.withColumn("conv_id", F.element_at(names, (F.col("conv_id") % 4 + 1).cast("int")))
+    logs.export_conversation_lists(named, path)
+    lists = logs.load_conversation_lists(spark, path)
+    return lists.select("conv_id", F.col("turn").cast("bigint").alias("place"), "role", "content")
+
+
 @query
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of all conversations, counted by folder, for a long one lies in several; their
-    times and names differ from run to run."""
-    path = fresh_path(spark, "conversation-files")
-    logs.write_conversation_files(t.messages(spark, sf_dir), path)
-    files = logs.list_conversation_files(spark, path, pattern="*.txt", recursive=True)
+    """The files of all lists, counted by folder; their times and names differ from run to run."""
+    path = fresh_path(spark, "conversation-lists")
+    logs.export_conversation_lists(t.messages(spark, sf_dir), path)
+    files = logs.list_conversation_files(spark, path, pattern="*", recursive=True)
     dated = F.col("last_update") == stamp(F.col("modified"))
     return files.groupBy(F.substring("label", 1, 5).alias("kind"), dated.alias("dated")).agg(
         F.countDistinct("folder").alias("n")
