@@ -71,7 +71,9 @@ class Own:
 
     def restore(self, df: DataFrame, *added: str | Column) -> DataFrame:
         """The columns that stay, under their own names, and the results."""
-        return df.select(*[F.col(f"own{i}").alias(self.names[i]) for i in self.kept], *added)
+        # Named at the end: a name given in the same step could be taken for a column of ``df``.
+        out = df.select(*self.columns, *added)
+        return out.toDF(*[self.names[i] for i in self.kept], *out.columns[len(self.kept) :])
 
 
 def crc32(column: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from functools import reduce
 from itertools import accumulate
 
 import ahocorasick
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 from supportgraph.workspace import materialize
 
 #: Bytes of item texts in one automaton; it takes about sixty times as much memory.
@@ -33,61 +34,95 @@ class Matcher:
 
     Any window holds a whole block of ``window // 2`` words that starts at a multiple of that
     number, or, in an item shorter than the window, the whole item. The automaton has these blocks
-    only; around a hit the words are compared one by one. That makes it as large as the items and
-    not ``window`` times as large.
+    only. The windows around a hit are looked up by a rolling hash among those of the items, each
+    once however many hits it holds, and compared word by word. So the work grows with the text
+    alone, also where text and items repeat themselves.
     """
 
+    MODULUS, BASE = (1 << 61) - 1, 1_000_003
+
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
-        self.window, self.items = window, []
-        block, anchors = max(1, window // 2), {}
+        self.window, self.block = window, max(1, window // 2)
+        self.numbers: dict[bytes, int] = {}  # the words of the items
+        self.windows: dict[int, list[tuple[list[int], set[str]]]] = {}
+        self.lead = pow(self.BASE, window, self.MODULUS)
+        anchors: dict[bytes, set[str]] = {}
         for name, raw in items:
             own = words(raw)
-            if not own:
+            if 0 < len(own) < window:
+                anchors.setdefault(b" ".join(own), set()).add(name)
                 continue
-            number, step = len(self.items), block if len(own) >= window else len(own)
-            self.items.append((name, own))
-            for at in range(0, len(own) - step + 1, step):
-                key = b" " + b" ".join(own[at : at + step]) + b" "
-                anchors.setdefault(key.decode("latin-1"), []).append((number, at))
+            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in own]
+            for at in range(0, len(own) - self.block + 1, self.block):
+                anchors.setdefault(b" ".join(own[at : at + self.block]), set())
+            for at, key in enumerate(self._rolling(ids)):
+                self._entry(key, ids[at : at + window], add=True)[1].add(name)
         self.words = ahocorasick.Automaton()
-        for key, places in anchors.items():
-            self.words.add_word(key, (len(key), places))
+        for key, names in anchors.items():
+            padded = b" " + key + b" "
+            self.words.add_word(padded.decode("latin-1"), (len(padded), key.count(b" ") + 1, names))
         self.words.make_automaton()
 
+    def _rolling(self, ids: list[int]) -> Iterator[int]:
+        """The hash of each window."""
+        key = 0
+        for i, number in enumerate(ids):
+            key = (key * self.BASE + number) % self.MODULUS
+            if i >= self.window:
+                key = (key - ids[i - self.window] * self.lead) % self.MODULUS
+            if i >= self.window - 1:
+                yield key
+
+    def _entry(self, key: int, ids: list[int], add: bool = False) -> tuple[list[int], set[str]] | None:
+        """The window of these words, and the items that have it."""
+        for entry in self.windows.get(key, ()):
+            if entry[0] == ids:
+                return entry
+        if not add:
+            return None
+        self.windows.setdefault(key, []).append((ids, set()))
+        return self.windows[key][-1]
+
     def match(self, own: list[bytes]) -> tuple[list[tuple[int, int]], set[str]]:
         """Ranges of hit words, in order and apart, and the names of the items they come from."""
-        if not own or not self.items:
+        if not own or not len(self.words):
             return [], set()
         line = (b" " + b" ".join(own) + b" ").decode("latin-1")
-        starts, runs, names, done = None, [], set(), {}
-        for end, (length, places) in self.words.iter(line):
+        starts, runs, names, known = None, [], set(), set()
+        near: list[tuple[int, int]] = []  # where windows may begin, in order and apart
+        for end, (length, size, short) in self.words.iter(line):
             starts = starts or [0, *accumulate(len(w) + 1 for w in own)]
             here = bisect_left(starts, end - length + 1)
-            for number, at in places:
-                name, item = self.items[number]
-                if here < done.get((number, here - at), -1):
-                    continue  # within a run that was already followed
-                low, high = 0, 0
-                while low < min(here, at) and own[here - low - 1] == item[at - low - 1]:
-                    low += 1
-                while high < min(len(own) - here, len(item) - at) and own[here + high] == item[at + high]:
-                    high += 1
-                done[number, here - at] = here + high
-                if low + high >= min(self.window, len(item)):
-                    runs.append((here - low, here + high))
-                    names.add(name)
-        merged: list[tuple[int, int]] = []
-        for low, high in sorted(runs):
-            if merged and low <= merged[-1][1]:
-                merged[-1] = merged[-1][0], max(high, merged[-1][1])
-            else:
-                merged.append((low, high))
-        return merged, names
-
-
-def merged_ranges(ranges: list[dict]) -> list[tuple[int, int]]:
+            if short:
+                names |= short
+                runs.append((here, here + size))
+            if size == self.block:
+                low, high = max(0, here + size - self.window), min(here, len(own) - self.window) + 1
+                if near and low <= near[-1][1]:
+                    near[-1] = near[-1][0], max(high, near[-1][1])
+                elif low < high:
+                    near.append((low, high))
+        for low, high in near:
+            ids = [self.numbers.get(w, 0) for w in own[low : high + self.window - 1]]
+            for at, key in enumerate(self._rolling(ids)):
+                if key in self.windows:
+                    found = self._entry(key, ids[at : at + self.window])
+                    if found:
+                        if id(found) not in known:
+                            known.add(id(found))
+                            names |= found[1]
+                        start = low + at
+                        if runs and runs[-1][0] <= start <= runs[-1][1]:
+                            runs[-1] = runs[-1][0], max(runs[-1][1], start + self.window)
+                        else:
+                            runs.append((start, start + self.window))
+        return merged(runs), names
+
+
+def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Ranges that touch or overlap made one, in order."""
     out: list[tuple[int, int]] = []
-    for low, high in sorted((r["first"], r["end"]) for r in ranges):
+    for low, high in sorted(runs):
         if out and low <= out[-1][1]:
             out[-1] = out[-1][0], max(high, out[-1][1])
         else:
@@ -124,6 +159,60 @@ def _parts(benchmark: DataFrame, item: str, text: str, part_bytes: int) -> Itera
     yield part
 
 
+_SPANS = "array<struct<first:int,end:int,start:int,stop:int>>"
+
+
+def _scan(rows: DataFrame, kept: int, types: str, part: list, window: int, hits_only: bool) -> DataFrame:
+    """``rows`` (their first ``kept`` columns, the text last) with n_words, ranges and items of one
+    part of the benchmark; the text is left out, and so are rows without a hit if asked for."""
+    shared = rows.sparkSession.sparkContext.broadcast({"items": part})
+    names = [*rows.columns[:kept], "n_words", "ranges", "items"]
+    spans = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "end", "start", "stop")]))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        if "matcher" not in known:  # once per Python worker
+            known["matcher"] = Matcher(known["items"], window)
+        matcher = known["matcher"]
+        for batch in batches:
+            counts, ranges, items = [], [], []
+            for raw in texts(batch.column(kept)):
+                own = words(raw)
+                hits, found = matcher.match(own)
+                counts.append(len(own))
+                ranges.append(offsets(raw, hits))
+                items.append(sorted(found))
+            out = pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:kept],
+                    pa.array(counts, pa.int64()),
+                    pa.array(ranges, spans),
+                    pa.array(items, pa.list_(pa.string())),
+                ],
+                names=names,
+            )
+            yield out.filter(pa.array([bool(r) for r in ranges])) if hits_only else out
+
+    return rows.mapInArrow(scan, f"{types}n_words bigint, ranges {_SPANS}, items array<string>")
+
+
+def _joined_ranges(ranges):
+    """Ranges of several parts, in order, those that touch or overlap made one."""
+
+    def add(done, one):
+        last = F.element_at(done, -1)
+        longer = F.struct(
+            last["first"].alias("first"), F.greatest(last["end"], one["end"]).alias("end"),
+            last["start"].alias("start"), F.greatest(last["stop"], one["stop"]).alias("stop"),
+        )
+        touches = (F.size(done) > 0) & (one["first"] <= last["end"])
+        return F.when(touches, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
+            F.concat(done, F.array(one))
+        )
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast(_SPANS), add)
+
+
 def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -142,68 +231,50 @@ def find_passages(
 
     Both sides are brought to lower case (A-Z) and cut into words of letters, digits and
     characters beyond ASCII. Whole texts are read once, without a shuffle. The benchmark is read
-    in parts of ``part_bytes`` of text, each with an automaton of its own that is broadcast; for
-    every further part the rows are written to the shared folder and read again, so neither the
-    driver nor a task ever holds more than one part.
+    in parts of ``part_bytes`` of text, each with an automaton of its own that is broadcast, so
+    neither the driver nor a task ever holds more than one part. Each further part is one more scan
+    of the texts, which stores the hits alone, under the SHA-256 of the text; these meet the rows in
+    one join.
 
     Null texts have no words, items without words never occur, items with the same id are one, and
-    a null id counts as the empty text. Other columns may hold anything, also under these names:
-    then the result's replace them.
+    a null id counts as the empty text. Columns of ``docs`` with the result's names give way to it,
+    others may have any name.
     """
     added = ["n_words", "ranges", "items"]
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    spans = pa.list_(pa.struct([(n, pa.int32()) for n in ("first", "end", "start", "stop")]))
-    types = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    output = (
-        f"{types}{', ' if types else ''}n_words bigint, "
-        "ranges array<struct<first:int,end:int,start:int,stop:int>>, items array<string>, _text string"
+    own, other = Own(docs, added, keep), Own(benchmark, [])
+    listed = other.table.select(F.col(other[item]).alias("item"), F.col(other[item_text]).alias("text"))
+    source = own.table.select(*own.columns, F.coalesce(F.col(own[text]), F.lit("")).alias("text"))
+    digest = F.sha2(F.col("text").cast("binary"), 256)
+    rows, hits = None, []
+    for part in _parts(listed, "item", "text", part_bytes):
+        if rows is None:
+            rows = part
+        else:
+            named = source.select(digest.alias("digest"), "text")
+            hits.append(materialize(_scan(named, 1, "digest string, ", part, window, True).drop("n_words"), "hits"))
+    if not hits:
+        return own.restore(_scan(source, len(own.kept), own.types(), rows, window, False), *added)
+    first = source.select(*own.columns, digest.alias("digest"), "text")
+    scanned = _scan(first, len(own.kept) + 1, own.types() + "digest string, ", rows, window, False)
+    # Equal texts have equal hits, so one of them counts for each part.
+    more = materialize(
+        reduce(DataFrame.unionByName, [h.dropDuplicates(["digest"]) for h in hits])
+        .groupBy("digest")
+        .agg(F.flatten(F.collect_list("ranges")).alias("more"), F.flatten(F.collect_list("items")).alias("names")),
+        "passages",
     )
-    empty = F.array().cast("array<struct<first:int,end:int,start:int,stop:int>>")
-    rows = docs.select(
-        *kept,
-        F.lit(0).cast("bigint").alias("n_words"),
-        empty.alias("ranges"),
-        F.array().cast("array<string>").alias("items"),
-        F.col(text).alias("_text"),
+    none, no_names = F.array().cast(_SPANS), F.array().cast("array<string>")
+    joined = scanned.join(more, "digest", "left").withColumns(
+        {
+            "ranges": _joined_ranges(F.concat("ranges", F.coalesce("more", none))),
+            "items": F.array_sort(F.array_distinct(F.concat("items", F.coalesce("names", no_names)))),
+        }
     )
-    for number, part in enumerate(_parts(benchmark, item, item_text, part_bytes)):
-        if number:
-            rows = materialize(rows, "passages")
-        shared = docs.sparkSession.sparkContext.broadcast({"items": part})
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known = shared.value
-            if "matcher" not in known:  # once per Python worker
-                known["matcher"] = Matcher(known["items"], window)
-            matcher, n = known["matcher"], len(kept)
-            for batch in batches:
-                counts, ranges, items = [], batch.column(n + 1).to_pylist(), batch.column(n + 2).to_pylist()
-                for i, raw in enumerate(texts(batch.column(n + 3))):
-                    own = words(raw)
-                    counts.append(len(own))
-                    hits, names = matcher.match(own)
-                    if hits:
-                        known_hits = [{"first": a, "end": b} for a, b in hits] + ranges[i]
-                        ranges[i] = offsets(raw, merged_ranges(known_hits))
-                        items[i] = sorted(names.union(items[i]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *batch.columns[:n],
-                        pa.array(counts, pa.int64()),
-                        pa.array(ranges, spans),
-                        pa.array(items, pa.list_(pa.string())),
-                        batch.column(n + 3),
-                    ],
-                    names=[*kept, *added, "_text"],
-                )
-
-        rows = rows.mapInArrow(scan, output)
-    return rows.drop("_text")
-
-
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    return own.restore(joined, *added)
+
+
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that have no passage of the benchmark."""
-    stand_in = [c for c in docs.columns if c in ("n_words", "ranges", "items")]
-    source = docs.select(*[F.col(c).alias(f"_own_{c}" if c in stand_in else c) for c in docs.columns])
-    clean = find_passages(source, benchmark, **options).filter(F.size("ranges") == 0)
-    return clean.select(*[F.col(f"_own_{c}" if c in stand_in else c).alias(c) for c in docs.columns])
+    own = Own(docs, [])
+    found = find_passages(own.table, benchmark, text=own[text], **options)
+    return own.restore(found.filter(F.size("ranges") == 0))

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import join_groups, texts
+from supportgraph.llm.common import Own, join_groups
 from supportgraph.workspace import materialize
 
 #: Positions a digest sets in the filter, and bits of the filter per row.
 PROBES, BITS_PER_ROW = 3, 8
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: The filter is merged and stored in segments of so many bits.
 SEGMENT = 1 << 16
 #: Positions a task gathers before it hands a part of the filter on.
@@ -23,12 +24,8 @@ FLUSH = 1 << 21
 
 def digest(text: Column) -> Column:
     """SHA-256 of the UTF-8 text with A-Z in lower case; null counts as the empty text."""
-
-    @F.arrow_udf("binary")
-    def sha(column: pa.Array) -> pa.Array:
-        return pa.array([hashlib.sha256(x.lower()).digest() for x in texts(column)], pa.binary())
-
-    return sha(text)
+    lower = F.translate(F.coalesce(text, F.lit("")), LETTERS, LETTERS.lower())
+    return F.unhex(F.sha2(lower.cast("binary"), 256))
 
 
 def _positions(digests: pa.Array, bits: int) -> np.ndarray:
@@ -45,6 +42,16 @@ def filter_bits(rows: int, max_filter_bytes: int) -> int:
     return min(wanted, largest)
 
 
+def digest_ranges(rows: int, max_filter_bytes: int) -> list[tuple[bytes | None, bytes | None]]:
+    """Ranges of digests, each of so few rows that its filter has eight bits a row within the bound:
+    (first, end) by their first two bytes, null where a range is open."""
+    fit = max(max_filter_bytes * 8, SEGMENT) // BITS_PER_ROW
+    # A tenth more: digests are spread evenly, but not exactly.
+    n = min(1 << 16, 1 << max(0, (rows * 11 // 10 - 1) // fit).bit_length())
+    edges = [None, *((i * (1 << 16) // n).to_bytes(2, "big") for i in range(1, n)), None]
+    return list(zip(edges, edges[1:]))
+
+
 def repeated_filter(digests: DataFrame, column: str, bits: int) -> DataFrame:
     """First pass: the positions of a Bloom filter that two or more rows set.
 
@@ -120,42 +127,55 @@ def maybe_repeated(digests: DataFrame, column: str, rows: int, max_filter_bytes:
 
 
 def exact_dedup(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", max_filter_bytes: int = 64 << 20
+    docs: DataFrame,
+    id: str = "doc_id",
+    text: str = "text",
+    max_filter_bytes: int = 64 << 20,
+    keep: list[str] | None = None,
 ) -> DataFrame:
     """Every row of ``docs`` with keep_id, group_size, kept and text_sha256.
 
     Texts are equal when they are identical after lower-casing A-Z; a null text counts as empty.
-    The largest id of equal texts stays. The first pass fills a Bloom filter that tells positions
-    set by two or more rows; the second tests every row. Only rows that may be repeated are
-    shuffled, by digest; all others go straight through. A false hit costs its own shuffle and is
-    found to be alone there, so results do not depend on the filter's size.
+    The largest id of equal texts stays. Texts are read and hashed once; the columns ``keep``, all
+    but the text if not given, are stored with their digests, and all that follows works on these.
+    The first pass fills a Bloom filter that tells positions set by two or more rows; the second
+    tests every row. Only rows that may be repeated are shuffled, by digest; all others go straight
+    through. A false hit costs its own shuffle and is found to be alone there.
 
-    The filter has eight bits or more a row up to ``max_filter_bytes``, the bound of the broadcast.
-    Beyond 64 million rows at the default it lets more rows through to the shuffle, at the extreme
-    all of them; give large executors a larger bound.
+    A filter has eight bits or more a row and at most ``max_filter_bytes``, the bound of the
+    broadcast. Where that is too small for all rows, the digests are worked on range by range, each
+    with a filter of its own, so the share of rows that are shuffled is the same at any size. Files
+    are sorted by digest, so a range reads its own part of them.
 
     Rows that have both id and text in common are one document: all are kept or none. A null id
     is smaller than any other and kept only where its text has no other id. An empty table gives
-    an empty result. Columns of ``docs`` that have the result's names give way to it.
+    an empty result. Columns of ``docs`` that have the result's names give way to it, others may
+    have any name.
     """
     added = ["keep_id", "group_size", "kept", "text_sha256"]
-    own = [c for c in docs.columns if c not in added]
-    rows = docs.select(*own).withColumn("_digest", digest(F.col(text)))
-    marked = rows.withColumn(
-        "_maybe", maybe_repeated(rows, "_digest", docs.count(), max_filter_bytes)
-    )
-    suspects = marked.filter("_maybe").drop("_maybe")
-    groups = materialize(
-        suspects.groupBy("_digest").agg(F.max(id).alias("keep_id"), F.count("*").alias("group_size")),
-        "groups",
-    )
-    shuffled = join_groups(suspects, groups, "_digest", "group_size", id)
-    straight = marked.filter(~F.col("_maybe")).select(
-        *own, "_digest", F.col(id).alias("keep_id"), F.lit(1).cast("bigint").alias("group_size")
-    )
-    return (
-        straight.unionByName(shuffled)
-        .withColumn("kept", F.col(id).eqNullSafe(F.col("keep_id")))
-        .withColumn("text_sha256", F.lower(F.hex("_digest")))
-        .select(*own, *added)
+    own = Own(docs, added, [c for c in docs.columns if c != text] if keep is None else keep)
+    narrow = own.table.select(*own.columns, F.col(own[id]).alias("id"), digest(F.col(own[text])).alias("digest"))
+    stored = materialize(narrow.sortWithinPartitions("digest"), "digests")
+    ranges = digest_ranges(stored.count(), max_filter_bytes)
+    found = []
+    for first, end in ranges:
+        rows = stored
+        if first is not None:
+            rows = rows.filter(F.col("digest") >= F.lit(first))
+        if end is not None:
+            rows = rows.filter(F.col("digest") < F.lit(end))
+        marked = rows.withColumn("maybe", maybe_repeated(rows, "digest", rows.count(), max_filter_bytes))
+        suspects = marked.filter("maybe").drop("maybe")
+        groups = materialize(
+            suspects.groupBy("digest").agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")),
+            "groups",
+        )
+        found.append(join_groups(suspects, groups, "digest", "group_size", "id"))
+        alone = [F.col("id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size")]
+        found.append(marked.filter(~F.col("maybe")).drop("maybe").select("*", *alone))
+    done = (
+        reduce(DataFrame.unionByName, found)
+        .withColumn("kept", F.col("id").eqNullSafe(F.col("keep_id")))
+        .withColumn("text_sha256", F.lower(F.hex("digest")))
     )
+    return own.restore(done, *added)

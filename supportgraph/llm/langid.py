@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 
 #: Subwords are the runs of two to four bytes of a word with a blank on either side; they are
 #: hashed into this many buckets, each with an embedding of so many numbers.
@@ -144,22 +144,27 @@ def train(
 
 def learn(
     rows: DataFrame, id: str = "doc_id", text: str = "text", label: str = "lang",
-    per_label: int = 1000, most_rows: int = 200_000, **options,
+    per_label: int = 1000, most_rows: int = 200_000, most_shares: int = 1 << 24, **options,
 ) -> Model:
     """A model from labelled rows.
 
     Every label is learned. A bounded sample is enough for it: about ``per_label`` rows of each, or
     fewer where all together would be more than ``most_rows``, chosen by a hash of id and label, so
     reruns agree. So many labels that fewer than LEAST_ROWS are left for each are an error. Their
-    whole texts are
-    reduced to subword shares in the tasks; only these reach the driver, at most 32,768 numbers a
-    row. Rows without a label, an id or a letter are no samples. Without any sample the model has
+    whole texts are reduced to subword shares in the tasks; only these reach the driver, eight bytes
+    each. Labels with long texts are learned from fewer rows, so that about ``most_shares`` are taken
+    in all; a text has no more of them than three a byte or one a bucket. Rows without a label, an id or a letter are no samples. Without any sample the model has
     no labels and rejects everything.
     """
-    labelled = rows.filter(F.col(label).isNotNull() & F.col(id).isNotNull())
+    own = Own(rows, [])
+    named = own.table.select(
+        F.col(own[id]).cast("string").alias("id"), F.col(own[text]).alias("text"), F.col(own[label]).alias("label")
+    )
+    labelled = named.filter("label IS NOT NULL AND id IS NOT NULL")
+    shares = F.least(F.coalesce(F.octet_length("text"), F.lit(0)) * 3, F.lit(BUCKETS)).cast("bigint")
     sizes = {
-        r["label"]: r["n"]
-        for r in labelled.groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+        r["label"]: (r["n"], r["shares"])
+        for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.sum(shares).alias("shares"))
         .limit(most_rows // LEAST_ROWS + 1).collect()
     }
     labels = sorted(sizes)
@@ -168,9 +173,10 @@ def learn(
     per_label = min(per_label, most_rows / max(len(labels), 1))
     if not labels:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0), 1.0, 1.0)
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, per_label / n)])[F.col(label)]
-    place = F.pmod(F.xxhash64(F.col(id).cast("string"), F.col(label)), F.lit(1 << 30)) / float(1 << 30)
-    chosen = labelled.filter(place < share).select(F.col(label).alias("label"), place.alias("place"), F.col(text).alias("text"))
+    parts = {k: min(per_label / n, most_shares / len(labels) / max(size, 1)) for k, (n, size) in sizes.items()}
+    share = F.create_map(*[F.lit(x) for k, part in parts.items() for x in (k, part)])[F.col("label")]
+    place = F.pmod(F.xxhash64("id", "label"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.filter(place < share).select("label", place.alias("place"), "text")
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,33 +210,34 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: list[str]
     lang_pred is the likeliest label, score its calibrated probability. A null text, a text without
     a letter and, where the model has no labels, every text is "und" with score 0. rejected: "und",
     or less likely than the model's threshold. Whole texts are read, of any length, in pieces.
-    Columns of ``docs`` with the result's names give way to it.
+    Columns of ``docs`` with the result's names give way to it, others may have any name.
     """
     added = ["lang_pred", "score", "rejected"]
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    own = Own(docs, added, keep)
+    n, columns = len(own.kept), [*own.columns, *added]
     shared = docs.sparkSession.sparkContext.broadcast(
         (model.labels, model.logits, model.bias, model.few, model.reject_below)
     )
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model(*shared.value)
+        known = Model(*shared.value)
         for batch in batches:
             names, scores = [], []
-            for raw in texts(batch.column(len(kept))):
-                if own.labels and has_letter(raw):
-                    chances = own.probabilities(raw)
+            for raw in texts(batch.column(n)):
+                if known.labels and has_letter(raw):
+                    chances = known.probabilities(raw)
                     best = int(chances.argmax())
-                    names.append(own.labels[best])
+                    names.append(known.labels[best])
                     scores.append(min(float(chances[best]), 1.0))
                 else:
                     names.append(UNKNOWN)
                     scores.append(0.0)
-            rejected = [n == UNKNOWN or s < own.reject_below for n, s in zip(names, scores)]
+            rejected = [n == UNKNOWN or s < known.reject_below for n, s in zip(names, scores)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected)],
-                names=[*kept, *added],
+                [*batch.columns[:n], pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected)],
+                names=columns,
             )
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    return source.mapInArrow(predict, f"{types}lang_pred string, score double, rejected boolean")
+    source = own.table.select(*own.columns, F.col(own[text]).alias("text"))
+    types = f"{own.types()}lang_pred string, score double, rejected boolean"
+    return own.restore(source.mapInArrow(predict, types), *added)

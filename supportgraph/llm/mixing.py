@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from supportgraph.llm.common import WORD, join_groups
+from supportgraph.llm.common import Own, WORD, join_groups
 from supportgraph.workspace import materialize
 
+ADDED = ["size", "source_size", "target", "copies", "taken"]
 #: Hexadecimal digits of the hash that one histogram tells apart: 4,096 buckets a source.
 DIGITS = 3
 
@@ -130,11 +131,11 @@ def mix(
     comparison with the source's threshold. A source may hold any share of the rows.
 
     Null sources are one source, the last. A source without words has target zero and gives
-    nothing. Columns of ``docs`` with the result's names give way to it. Empty in, empty out.
+    nothing. Columns of ``docs`` with the result's names give way to it, others may have any name.
+    Empty in, empty out.
     """
-    added = ["size", "source_size", "target", "copies", "taken"]
-    own = [c for c in docs.columns if c not in added]
-    rows = sized(docs.select(*own), id, text, source)
+    own = Own(docs, ADDED)
+    rows = sized(own.table, own[id], own[text], own[source])
     keyed = materialize(rows.select("_source", "_hash", "size"), "sizes")
     limits = thresholds(keyed, weights, share, most)
     joined = join_groups(rows, limits, "_source", "rows", "_hash")
@@ -142,16 +143,14 @@ def mix(
     return (
         joined.withColumn("copies", F.col("whole") + more)
         .withColumn("taken", F.col("copies") * F.col("size"))
-        .select(*own, *added)
+        .transform(own.restore, *ADDED)
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them."""
-    names = ["size", "source_size", "target", "copies", "taken"]
-    renamed = {c: f"_own_{c}" for c in docs.columns if c in names}
-    out = mix(docs.withColumnsRenamed(renamed), **options)
+    own = Own(docs, [])
+    names = {name: own[options.get(name, given)] for name, given in (("id", "doc_id"), ("text", "text"), ("source", "source"))}
+    out = mix(own.table, **options | names)
     repeats = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
-    return out.select("*", repeats.alias("_copy")).select(
-        *[F.col(renamed.get(c, c)).alias(c) for c in docs.columns]
-    )
+    return own.restore(out.select(*own.columns, repeats.alias("copy")))

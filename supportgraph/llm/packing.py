@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: A vocabulary file is broadcast; it may be this large at most.
@@ -137,7 +137,9 @@ def pack(
     they occur; a null id stays null. An empty table gives no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast({"file": read_vocabulary(vocabulary)})
-    kind = docs.schema[id].dataType.simpleString()
+    own = Own(docs, [])
+    source = own.table.select(F.col(own[id]).alias("id"), F.col(own[text]).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -198,7 +200,7 @@ def pack(
         "shard bigint, row int, n_tokens int, ids binary, cu_seqlens array<int>, resets binary, "
         f"doc_ids array<{kind}>, offsets array<bigint>"
     )
-    return docs.select(F.col(id).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
 
 
 def write(packed: DataFrame, path: str) -> None:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 from supportgraph.workspace import materialize
 
 #: Tasks that sum normal equations, at most: what meets in one place is bounded by it.
@@ -257,8 +257,12 @@ def classify(
     ``learn_from``: a condition on ``id`` that says which rows may be learned from. Texts are read
     once, whole; their statistics are written to the shared folder, and all that follows works on
     these few numbers. Null and empty texts have statistics like others and get a score. Rows
-    without an id are scored but not learned from; repeated rows count as often as they occur.
+    without an id are scored but not learned from; repeated rows count as often as they occur. Other
+    columns of both tables may have any name.
     """
+    own, marks = Own(docs, []), Own(labels, [])
+    docs = own.table.select(F.col(own[id]).alias(id), F.col(own[text]).alias(text))
+    labels = marks.table.select(F.col(marks[id]).alias(id), F.col(marks[label]).alias(label))
     stats = materialize(document_statistics(docs, text, [id]), "statistics")
     model = learn(stats.filter(learn_from), labels.filter(learn_from), id, label, **options)
     return score(stats, model, [id])

@@ -134,9 +134,7 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256"
-    )
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 @query

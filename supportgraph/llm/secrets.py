@@ -10,8 +10,9 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 
 # What makes a finding of each base kind.
 ASSIGN = rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -154,12 +155,12 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
     digits. Kinds with an embedded checksum count only if it is right. Matches of a kind don't
     overlap, the leftmost wins, and one that fails its check still uses its characters up.
 
-    Null and empty texts have no spans. Rows are not changed, repeated or dropped; other columns
-    may hold anything.
+    Null and empty texts have no spans. Rows are not changed, repeated or dropped; a column called
+    ``spans`` gives way to the result, others may have any name.
     """
-    kept = [c for c in (keep if keep is not None else docs.columns) if c != "spans"]
-    source = docs.select(*kept, docs[text].alias("_text"))
-    schema = docs.select(*kept).schema
+    own = Own(docs, ["spans"], keep)
+    n, names = len(own.kept), [*own.columns, "spans"]
+    source = own.table.select(*own.columns, F.col(own[text]).alias("text"))
     output = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,11 +168,8 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: list[str] | None = N
         for batch in batches:
             found = [
                 [{"kind": k, "start": s, "end": e} for k, s, e in scanner.spans(raw)]
-                for raw in texts(batch.column(len(kept)))
+                for raw in texts(batch.column(n))
             ]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(found, output)], names=[*kept, "spans"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(found, output)], names=names)
 
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    return source.mapInArrow(scan, f"{types}, {SCHEMA}" if types else SCHEMA)
+    return own.restore(source.mapInArrow(scan, own.types() + SCHEMA), "spans")

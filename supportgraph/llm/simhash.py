@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import accumulate, combinations
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import join_groups, texts
+from supportgraph.llm.common import Own, join_groups, texts
 from supportgraph.workspace import materialize
 
 SEED = 42
 #: Shingles whose bits are counted, and fingerprints whose variants are made, at a time.
 SHINGLES, FINGERPRINTS = 1 << 15, 1 << 12
+#: Bytes of variants that a task writes or reads, about.
+VARIANT_BYTES = 32 << 20
 
 
 def fingerprint(raw: bytes, shingle: int) -> int:
@@ -48,8 +51,9 @@ def fingerprints(docs: DataFrame, id: str, text: str, shingle: int) -> DataFrame
                 [batch.column(0), pa.array(prints.view(np.int64))], names=["id", "fingerprint"]
             )
 
-    kind = docs.schema[id].dataType.simpleString()
-    source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    own = Own(docs, [])
+    source = own.table.select(F.col(own[id]).alias("id"), F.col(own[text]).alias("text"))
+    kind = source.schema["id"].dataType.simpleString()
     return source.mapInArrow(compute, f"id {kind}, fingerprint bigint")
 
 
@@ -75,8 +79,13 @@ def variant_masks(distance: int, groups: int) -> list[tuple[int, int, np.ndarray
 
 
 def variants(prints: DataFrame, distance: int, groups: int) -> DataFrame:
-    """(variant, fingerprint) for each of the given fingerprints."""
+    """(variant, fingerprint) for each of the given fingerprints, a stored table.
+
+    The rows are dealt out first: a task gets as many as make VARIANT_BYTES of variants.
+    """
     masks = variant_masks(distance, groups)
+    parts = ceil(prints.count() * sum(len(flips) for *_, flips in masks) * 16 / VARIANT_BYTES)
+    dealt = prints.select("fingerprint").repartition(max(parts, 1), "fingerprint")
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,7 +102,7 @@ def variants(prints: DataFrame, distance: int, groups: int) -> DataFrame:
                         names=["variant", "fingerprint"],
                     )
 
-    return prints.select("fingerprint").mapInArrow(emit, "variant bigint, fingerprint bigint")
+    return dealt.mapInArrow(emit, "variant bigint, fingerprint bigint").repartition(max(parts, 1), "variant")
 
 
 def _forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
@@ -113,7 +122,7 @@ def _forest(prints: np.ndarray, distance: int) -> Iterator[tuple[int, int]]:
 def links(pairs: DataFrame, distance: int) -> DataFrame:
     """Links (a > b) that connect all fingerprints within ``distance`` that share a variant.
 
-    Rows of a variant lie together in a sorted part. Each variant's fingerprints are compared among
+    ``pairs`` has the rows of a variant in one part. Rows of a variant lie together in a sorted part. Each variant's fingerprints are compared among
     themselves and leave a spanning forest of the true links, never all pairs.
     """
 
@@ -147,7 +156,7 @@ def links(pairs: DataFrame, distance: int) -> DataFrame:
         if len(keys):
             yield found(keys, prints)
 
-    together = pairs.repartition("variant").sortWithinPartitions("variant")
+    together = pairs.sortWithinPartitions("variant")
     return together.mapInArrow(find, "a bigint, b bigint").distinct()
 
 
@@ -241,32 +250,36 @@ def keep_one(
     Rows whose id is their own are told by it: their texts are shuffled once, to meet the kept ids.
     Rows that share an id, or have none, are told by their fingerprint, computed again for them
     alone: of the rows of a group that have its smallest id (or none, where the whole group has
-    none) one stays.
+    none) the first one by text, then by all its columns, stays. Columns may have any name.
     """
-    marks = materialize(near_duplicates(docs, id, text, shingle, distance), "marks")
+    own = Own(docs, [])
+    table, key = own.table, own[id]
+    marks = materialize(near_duplicates(table, key, own[text], shingle, distance), "marks")
     ids = materialize(
-        marks.groupBy(id).agg(F.count("*").alias("_rows"), F.min("component_id").alias("_least")), "ids"
+        marks.groupBy(key).agg(F.count("*").alias("rows"), F.min("component_id").alias("least")), "ids"
     )
-    single = (F.col("_rows") == 1) & (F.col(id) == F.col("_least"))
+    single = (F.col("rows") == 1) & (F.col(key) == F.col("least"))
     # The kept ids grow with the documents: a broadcast would only ever suit small tables.
-    named = docs.join(ids.filter(single).select(id).hint("merge"), id, "left_semi").select(*docs.columns)
-    shared = ids.filter(F.col(id).isNull() | (F.col("_rows") > 1)).select(F.col(id).alias("_shared"))
+    named = table.join(ids.filter(single).select(key).hint("merge"), key, "left_semi").select(*own.columns)
+    shared = ids.filter(F.col(key).isNull() | (F.col("rows") > 1)).select(F.col(key).alias("shared"))
     if shared.isEmpty():
-        return named
+        return own.restore(named)
 
     @F.arrow_udf("bigint")
     def compute(column: pa.Array) -> pa.Array:
         prints = np.array([fingerprint(x, shingle) for x in texts(column)], np.uint64)
         return pa.array(prints.view(np.int64))
 
-    first = marks.filter(F.col(id).eqNullSafe(F.col("component_id"))).select(
-        F.col("fingerprint").alias("_print"), F.col("component").alias("_component"), F.col("component_id").alias("_first")
+    first = marks.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(
+        F.col("fingerprint").alias("print"), "component", F.col("component_id").alias("first")
     )
-    unclear = materialize(docs.join(shared, F.col(id).eqNullSafe(F.col("_shared")), "left_semi"), "unclear")
+    unclear = materialize(table.join(shared, F.col(key).eqNullSafe(F.col("shared")), "left_semi"), "unclear")
+    whole = F.struct(*own.columns)
     told = (
-        unclear.withColumn("_print", compute(F.col(text)))
-        .join(first.distinct(), "_print")
-        .filter(F.col(id).eqNullSafe(F.col("_first")))
-        .dropDuplicates(["_component"])
+        unclear.withColumn("print", compute(F.col(own[text])))
+        .join(first.distinct(), "print")
+        .filter(F.col(key).eqNullSafe(F.col("first")))
+        .groupBy("component")
+        .agg(F.min_by(whole, F.struct(F.col(own[text]), F.to_json(whole))).alias("row"))
     )
-    return named.unionByName(told.select(*docs.columns))
+    return own.restore(named.unionByName(told.select("row.*")))

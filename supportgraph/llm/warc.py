@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from supportgraph.llm.common import Own
 from supportgraph.workspace import materialize
 
 #: Header fields of a not-modified answer that must not replace those stored, because
@@ -94,12 +95,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every record with canonical_url, outcome, source_id, status and merged headers.
 
     ``records``: record_id, url, date (timestamp), type ("response", "revisit" or another), status
-    and headers (a map), besides any other columns, which stay. A revisit is joined as of its date
-    with the latest strictly earlier full response (type "response", status 200) of its canonical
-    address; of several at that instant the one with the largest record_id counts.
-
-    outcome: "full" for such a response, "other" for records that are neither; for a revisit
-    "resolved", "no earlier response", "mismatch" or "no validator". Validators are compared as a
+    and headers (a map), besides any other columns, which stay. A revisit that answers "not modified"
+    (status 304) is joined as of its date with the latest strictly earlier full response (type
+    "response", status 200) of its canonical address; of several at that instant the one with the
+    largest record_id counts.
+
+    outcome: "full" for such a response; for a not-modified revisit "resolved", "no earlier
+    response", "mismatch" or "no validator"; "not a 304" for any other revisit, such as one that had
+    the same payload under an answer of its own, which keeps status and headers; "other" for records
+    that are none of these. Validators are compared as a
     cache does: entity tags where both have one, weak or strong alike, else modification times
     where both have one. A resolved revisit has the id of its response, status 200, and the
     response's headers under those of the revisit, apart from fields that describe the revisit's own
@@ -109,13 +113,15 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     none. Repeated rows are repeated in the result. Columns of ``records`` that have the result's
     names give way to it. An address may hold any share of the records, unless at one instant.
     """
-    added = ["canonical_url", "outcome", "source_id"]
-    own = [c for c in records.columns if c not in (*added, "status", "headers")]
-    fields = records.select(
-        *own, "status", _fields(F.col("headers")).alias("_fields"),
-        canonical_url(F.col("url")).alias("_url"), F.unix_micros("date").alias("_ts"),
+    added = ["canonical_url", "outcome", "source_id", "status", "headers"]
+    own = Own(records, added)
+    fields = own.table.select(
+        *own.columns, F.col(own["status"]).alias("status"), F.col(own["type"]).alias("type"),
+        F.col(own["record_id"]).alias("record_id"), _fields(F.col(own["headers"])).alias("_fields"),
+        canonical_url(F.col(own["url"])).alias("_url"), F.unix_micros(own["date"]).alias("_ts"),
     )
     is_revisit = F.coalesce(F.col("type") == "revisit", F.lit(False))
+    not_modified = F.coalesce(F.col("status") == 304, F.lit(False))
     is_full = F.coalesce((F.col("type") == "response") & (F.col("status") == 200), F.lit(False))
     answer = F.struct("_ts", F.col("record_id").alias("id"), _pairs(F.col("_fields")).alias("pairs"))
     found = _latest_response(
@@ -129,7 +135,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     old_time, new_time = both("last-modified")
     same = F.coalesce(old_tag == new_tag, old_time == new_time)
     outcome = (
-        F.when(is_full, "full").when(~is_revisit, "other")
+        F.when(is_full, "full").when(~is_revisit, "other").when(~not_modified, "not a 304")
         .when(F.col("_found").isNull(), "no earlier response").when(same, "resolved")
         .when(same.isNull(), "no validator").otherwise("mismatch")
     )
@@ -137,8 +143,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     newer = F.map_filter("_fields", lambda k, v: ~k.isin(OWN_FIELDS))
     kept = F.map_filter("_stored", lambda k, v: ~F.array_contains(F.map_keys(newer), k))
     merged = F.when(resolved, F.map_concat(kept, newer)).otherwise(F.col("_fields"))
-    return found.withColumn("outcome", outcome).select(
-        *own,
+    return own.restore(
+        found.withColumn("outcome", outcome),
         F.col("_url").alias("canonical_url"),
         "outcome",
         F.when(resolved, F.col("_found.id")).alias("source_id"),

@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from supportgraph.llm.common import texts
+from supportgraph.llm.common import Own, texts
 from supportgraph.llm.packing import VOCABULARY, read_vocabulary
 
-#: Different words whose counts a task remembers.
-REMEMBERED = 1 << 18
+#: Different words whose counts a task remembers, and the longest of them in bytes: what it holds
+#: is bounded, and a longer word is counted each time.
+REMEMBERED, LONGEST = 1 << 17, 64
 FAILS = -1
 
 
@@ -92,9 +93,11 @@ class Counter(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= REMEMBERED:
-            self.clear()
-        self[word] = found = self.automaton.count(b" " + word)
+        found = self.automaton.count(b" " + word)
+        if len(word) <= LONGEST:
+            if len(self) >= REMEMBERED:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -113,11 +116,11 @@ def count_tokens(
     automaton is built once on the driver from a file of bounded size and broadcast.
 
     Null and empty texts have no words. Rows are neither changed, repeated nor dropped; columns of
-    ``docs`` with the result's names give way to it.
+    ``docs`` with the result's names give way to it, others may have any name.
     """
     added = ["n_words", "n_tokens"]
-    kept = [c for c in (keep if keep is not None else docs.columns) if c not in added]
-    types = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    own = Own(docs, added, keep)
+    n, names = len(own.kept), [*own.columns, *added]
     built = build(vocabulary_pieces(read_vocabulary(vocabulary)))
     shared = docs.sparkSession.sparkContext.broadcast((built.child, built.link, built.pops))
 
@@ -125,14 +128,13 @@ def count_tokens(
         counts = Counter(Automaton(*shared.value))
         for batch in batches:
             n_words, n_tokens = [], []
-            for raw in texts(batch.column(len(kept))):
+            for raw in texts(batch.column(n)):
                 words = raw.split()
                 n_words.append(len(words))
                 n_tokens.append(sum([counts[w] for w in words]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(kept)], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())],
-                names=[*kept, *added],
+                [*batch.columns[:n], pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], names=names
             )
 
-    source = docs.select(*kept, F.col(text).alias("_text"))
-    return source.mapInArrow(run, f"{types}n_words bigint, n_tokens bigint")
+    source = own.table.select(*own.columns, F.col(own[text]).alias("text"))
+    return own.restore(source.mapInArrow(run, f"{own.types()}n_words bigint, n_tokens bigint"), *added)

@@ -2,9 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 
+from supportgraph.llm import decontaminate
+from supportgraph.workspace import materialize
 from supportgraph.llm.decontaminate import Matcher, find_passages, remove_contaminated, words
 
 
@@ -70,6 +73,36 @@ def test_rows_and_offsets(spark, part_bytes):
     assert sorted(r.text or "" for r in clean.collect()) == sorted(t or "" for t in texts if not plain(t, items, 4)[1])
 
 
+@pytest.mark.parametrize("text,item", [("a", "a"), ("a b", "a b"), ("a a b", "a a a b a")])
+def test_repetitive_texts_take_linear_time(text, item):
+    own, other = text.split() * (1_000_000 // len(text.split())), " ".join(item.split() * (1200 // len(item.split())))
+    matcher = Matcher([("1", other.encode()), ("2", b"a a a a")], 10)
+    began = time.time()
+    runs, names = matcher.match([w.encode() for w in own])
+    assert time.time() - began < 30
+    few = " ".join(own[:200])
+    count, hit, found, _ = plain(few, [("1", " ".join(other.split()[:60])), ("2", "a a a a")], 10)
+    assert sorted(names) == found
+    if text == "a":
+        assert runs == [(0, len(own))]
+
+
+def test_equal_hashes_are_compared(monkeypatch):
+    monkeypatch.setattr(Matcher, "MODULUS", 7)
+    test_matcher_equals_brute_force(4)
+
+
+def test_further_parts_store_hits_alone(spark, monkeypatch):
+    items, texts = cases()
+    stored = []
+    monkeypatch.setattr(decontaminate, "materialize", lambda df, name: stored.append(materialize(df, name)) or stored[-1])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *["clean z"] * 500])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    out = find_passages(docs, bench, window=4, part_bytes=60)
+    assert out.count() == len(texts) + 500 and len(stored) > 2
+    assert all("text" not in df.columns and df.count() <= len(texts) for df in stored)
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a b c"), (None, "x " * 300_000)], "doc_id long, text string")
     none = spark.createDataFrame([], "item_id long, text string")

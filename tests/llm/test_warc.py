@@ -42,6 +42,9 @@ def brute(rows):
         if type != "revisit":
             out.append((id, "other", None, status, own))
             continue
+        if status != 304:
+            out.append((id, "not a 304", None, status, own))
+            continue
         earlier = [
             r for r in rows
             if None not in (url, date, r[1], r[2]) and r[1] == url and r[2] < date and r[3] == "response" and r[4] == 200
@@ -73,7 +76,7 @@ def test_equals_brute_force(spark, parts):
         headers |= {"ETag": random.choice(['"1"', 'W/"1"', '"2"'])} if random.random() < 0.6 else {}
         headers |= {"LAST-MODIFIED": random.choice("xy")} if random.random() < 0.5 else {}
         kind = random.choice(["response", "revisit", "revisit", "request", None])
-        rows.append((i, url, date, kind, random.choice([200, 200, 404, None]), random.choice([headers, headers, None]), "x"))
+        rows.append((i, url, date, kind, random.choice([200, 304, 304, 404, None] if kind == "revisit" else [200, 200, 404, 304, None]), random.choice([headers, headers, None]), "x"))
     rows.append(rows[7])
     old = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", parts)
@@ -87,6 +90,16 @@ def test_equals_brute_force(spark, parts):
     )
 
 
+def test_only_a_304_is_resolved(spark):
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(0, "http://a/", day, "response", 200, {"ETag": "1", "Content-Type": "text/html"}, None)]
+    rows += [(i, "http://a/", day + datetime.timedelta(i), "revisit", status, {"ETag": "1", "Content-Type": "own"}, None) for i, status in [(1, 304), (2, 404), (3, 200)]]
+    got = {r.record_id: r for r in resolve_revisits(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert (got[1].outcome, got[1].status, got[1].headers["content-type"]) == ("resolved", 200, "text/html")
+    for i, status in [(2, 404), (3, 200)]:
+        assert (got[i].outcome, got[i].status, got[i].headers["content-type"], got[i].source_id) == ("not a 304", status, "own", None)
+
+
 def test_equal_header_names_and_empty(spark):
     row = (1, "http://a/", None, "other", 1, {"A": "1", "a": "2"}, None)
     records = spark.createDataFrame([row], SCHEMA)
