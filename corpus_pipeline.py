@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from supportgraph.llm import decontaminate, langid, mixing, packing, simhash
-from supportgraph.llm.common import bound_batches
+from supportgraph.llm.common import Own, bound_batches
 from supportgraph.workspace import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -20,10 +20,9 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters or too unsure go."""
     bound_batches(spark)
-    model = langid.learn(docs)
-    own = {c: f"_own_{c}" for c in docs.columns if c in ("lang_pred", "score", "rejected")}
-    found = langid.identify(docs.withColumnsRenamed(own), model).filter("NOT rejected")
-    return found.drop("lang_pred", "score", "rejected").withColumnsRenamed({v: k for k, v in own.items()})
+    own = Own(docs, [])
+    found = langid.identify(own.table, langid.learn(docs), own["text"])
+    return own.restore(found.filter("NOT rejected"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
