@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import os
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from supportgraph.llm.common import Own
-from supportgraph.llm.packing import pieces, read_vocabulary
+from supportgraph.llm.packing import PATTERN, pieces, read_vocabulary
 from supportgraph.workspace import materialize
 
 FIRST = "/opt/tokenizers/byte_bpe_50k.json"
@@ -39,18 +40,16 @@ class Tokenizers:
     """Both tokenizers, read from their files' bytes, and the bytes of every token."""
 
     def __init__(self, first: bytes, second: bytes) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.first = Tokenizer.from_str(first.decode())
-        self.first.encode_special_tokens = True
-        self.second = SentencePieceProcessor(model_proto=second)
-        symbols, vocabulary = byte_symbols(), self.first.get_vocab()
+        model = json.loads(first)["model"]
+        symbols, vocabulary = byte_symbols(), model["vocab"]
         self.first_bytes = [b""] * (max(vocabulary.values()) + 1)
         for token, number in vocabulary.items():
             known = all(c in symbols for c in token)
             self.first_bytes[number] = bytes(symbols[c] for c in token) if known else token.encode()
+        self.first, self.first_ids = self._ranked(model)
+        self.second = SentencePieceProcessor(model_proto=second)
         self.second_bytes = [self._piece(i) for i in range(self.second.get_piece_size())]
         # A text is cut at blanks for encoding; no piece may go on over one.
         self.cuts = not any(
@@ -62,6 +61,17 @@ class Tokenizers:
         self.spelled = [f"{i}{end}" for i in range(len(self.first_bytes)) for end in ",|"]
         self.spelled += [f"{i}{end}" for i in range(len(self.second_bytes)) for end in ",;"]
 
+    def _ranked(self, model: dict) -> tuple[tiktoken.Encoding, list[int] | None]:
+        """An encoder by ranks for a byte-level vocabulary: single bytes first, then what merges make,
+        in their order. Also the id of each rank, unless these are the ranks themselves."""
+        made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+        tokens = [c for c in byte_symbols() if c in model["vocab"]]
+        tokens = sorted(tokens, key=model["vocab"].__getitem__) + list(dict.fromkeys(made))
+        ids = [model["vocab"][token] for token in tokens]
+        ranks = {self.first_bytes[number]: rank for rank, number in enumerate(ids)}
+        encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return encoding, None if ids == list(range(len(ids))) else ids
+
     def _piece(self, number: int) -> bytes:
         piece = self.second.id_to_piece(number)
         if self.second.is_byte(number):
@@ -76,8 +86,9 @@ class Tokenizers:
                 parts.append(part)
                 owners.append(i)
         found: list = [([], []) for _ in texts]
-        for i, encoding in zip(owners, self.first.encode_batch_fast(parts, add_special_tokens=False)):
-            found[i][0].extend(encoding.ids)
+        for i, part in zip(owners, parts):
+            ranks = self.first.encode_ordinary(part)
+            found[i][0].extend([self.first_ids[r] for r in ranks] if self.first_ids else ranks)
         for i, ids in zip(owners, self.second.encode([p[1:] for p in parts], num_threads=1)):
             found[i][1].extend(ids)
         for i, text in enumerate(texts):
