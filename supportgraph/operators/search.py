@@ -9,11 +9,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -23,10 +23,10 @@ from supportgraph.workspace import materialize
 
 QUERY_ID, TICKET_ID, VECTOR = "query_id", "ticketId", "embedding"
 
-# Queries are sent to every executor in blocks of this size.
-BROADCAST_BYTES = 64 << 20
-# Tasks of one scan of the tickets, per core: each of them hands on k rows per query.
-TASKS_PER_CORE = 4
+# Rows of a stored block; bytes of the queries a task holds and, about, of the tickets it reads.
+BLOCK_ROWS = 256
+GROUP_BYTES = 64 << 20
+SLICE_BYTES = 512 << 20
 
 
 def _searchable(df: DataFrame, key: str, dim: int) -> DataFrame:
@@ -56,23 +56,108 @@ def best_per_query(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _scan(
-    queries: pa.Table, tickets: DataFrame, schema: StructType, k, dim, min_score, score_mode, planes
+def _blocks(queries: DataFrame, tickets: DataFrame, dim: int) -> DataFrame:
+    """Both tables as stored blocks of unit vectors: ``side`` (0: queries), ``block`` (a number),
+    ``rows``, the ids of the side and the ``matrix``."""
+    kinds = queries.schema[QUERY_ID].dataType, tickets.schema[TICKET_ID].dataType
+    sides = [
+        _searchable(table, key, dim).select(
+            F.lit(side).alias("side"),
+            *[(F.col(key) if i == side else F.lit(None).cast(kind)).alias(f"id{i}") for i, kind in enumerate(kinds)],
+            F.col(VECTOR).cast("array<double>").alias(VECTOR),
+        )
+        for side, (table, key) in enumerate([(queries, QUERY_ID), (tickets, TICKET_ID)])
+    ]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        number, current, ids, rows, types = 0, None, [], [], None
+
+        def out() -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            matrix = np.concatenate(rows)
+            held = pa.concat_arrays(ids)
+            offsets = pa.array([0, len(held)], pa.int32())
+            lists = [
+                pa.ListArray.from_arrays(offsets, held) if i == current else pa.nulls(1, pa.list_(kind))
+                for i, kind in enumerate(types)
+            ]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([current], pa.int32()), pa.array([part + number], pa.int64()),
+                    pa.array([len(held)], pa.int64()), *lists, pa.array([matrix.tobytes()], pa.binary()),
+                ],
+                names=["side", "block", "rows", "ids0", "ids1", "matrix"],
+            )
+
+        for batch in batches:
+            types = [batch.schema.field(i).type for i in (1, 2)]
+            side = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(np.diff(side)) + 1), len(side)]
+            for start, stop in zip(edges, edges[1:]):
+                if start == stop:
+                    continue
+                if ids and side[start] != current:
+                    yield out()
+                    ids, rows = [], []
+                current = int(side[start])
+                own = batch.slice(start, stop - start)
+                names, units = unit_rows(own.column(1 + current), own.column(3), dim)
+                for at in range(0, len(units), BLOCK_ROWS):
+                    ids.append(names.slice(at, BLOCK_ROWS))
+                    rows.append(units[at : at + BLOCK_ROWS])
+                    if sum(map(len, rows)) >= BLOCK_ROWS:
+                        yield out()
+                        ids, rows = [], []
+        if ids:
+            yield out()
+
+    names = [f"ids{i} array<{kind.simpleString()}>" for i, kind in enumerate(kinds)]
+    schema = f"side int, block bigint, rows bigint, {', '.join(names)}, matrix binary"
+    return materialize(sides[0].unionByName(sides[1]).mapInArrow(pack, schema), "blocks")
+
+
+def _search(
+    queries: DataFrame, tickets: DataFrame, k, dim, min_score, score_mode, group_bytes, planes=None
 ) -> DataFrame:
-    """The k best of one block of queries, written to the shared folder."""
-    ids, rows = unit_rows(queries.column(0), queries.column(1), dim)
-    shared = tickets.sparkSession.sparkContext.broadcast((ids, rows))
+    """The k best of each query, written to the shared folder.
+
+    Groups of query blocks and slices of ticket blocks make a grid; a shuffle brings the blocks of
+    a cell into one task, which holds its queries and reads its tickets block by block.
+    """
+    blocks = _blocks(queries, tickets, dim)
+    sizes = {r.side: r.n for r in blocks.groupBy("side").agg(F.sum("rows").alias("n")).collect()}
+    bytes_of = [sizes.get(side, 0) * dim * 8 for side in (0, 1)]
+    groups = max(ceil(bytes_of[0] / group_bytes), 1)
+    cores = blocks.sparkSession.sparkContext.defaultParallelism
+    slices = max(ceil(bytes_of[1] / SLICE_BYTES), ceil(cores / groups), 1)
+    group, slice_ = F.pmod("block", F.lit(groups)), F.pmod("block", F.lit(slices))
+    cells = F.when(
+        F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.lit(slices - 1)), lambda s: group * slices + s)
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda g: g * slices + slice_))
+    dealt = blocks.withColumn("cell", F.explode(cells.cast("array<int>"))).repartitionById(groups * slices, "cell")
     normalized = score_mode == "normalized"
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows = shared.value
-        codes = planes.codes(query_rows) if planes else None
-        best, ticket_type = TopK(query_rows, k, min_score, normalized, codes), None
+        held, best, query_ids, ticket_type = [], None, None, None
         for batch in batches:
-            ticket_type = batch.schema.field(0).type
-            names, block = unit_rows(batch.column(0), batch.column(1), dim)
-            best.push(names, block, planes.codes(block) if planes else None)
-        if ticket_type is not None:
+            ticket_type = batch.schema.field(2).type.value_type
+            for i in range(batch.num_rows):
+                side = batch.column(0)[i].as_py()
+                rows = np.frombuffer(batch.column(3)[i].as_buffer(), np.float64).reshape(-1, dim)
+                ids = batch.column(1 + side)[i].values
+                if side == 0:
+                    held.append((ids, rows))
+                    continue
+                if best is None:  # queries come first
+                    if not held:
+                        return
+                    query_ids, rows_of = pa.concat_arrays([h[0] for h in held]), np.concatenate([h[1] for h in held])
+                    held = []
+                    best = TopK(rows_of, k, min_score, normalized, planes.codes(rows_of) if planes else None)
+                best.push(ids, rows, planes.codes(rows) if planes else None)
+        if best is not None:
             position, score, name = best.result()
             columns = [
                 query_ids.take(pa.array(position, pa.int64())),
@@ -81,27 +166,9 @@ def _scan(
             ]
             yield pa.RecordBatch.from_arrays(columns, names=[QUERY_ID, TICKET_ID, "score"])
 
-    found = materialize(best_per_query(tickets.mapInArrow(scan, schema), k), "hits")
-    shared.destroy()
-    return found
-
-
-def _search(
-    queries: DataFrame, tickets: DataFrame, k, dim, min_score, score_mode, broadcast_bytes, planes=None
-) -> DataFrame:
     schema = _hit_schema(queries, tickets)
-    stored = materialize(_searchable(queries, QUERY_ID, dim), "queries")
-    tasks = TASKS_PER_CORE * stored.sparkSession.sparkContext.defaultParallelism
-    few = _searchable(tickets, TICKET_ID, dim).coalesce(max(tasks, 1))
-    row_bytes = F.octet_length(F.col(QUERY_ID).cast("string")) + 8 * dim
-    size = stored.agg(F.coalesce(F.sum(row_bytes), F.lit(0))).first()[0]
-    blocks = max(ceil(size / broadcast_bytes), 1)
-    block_of = F.pmod(F.xxhash64(QUERY_ID), F.lit(blocks))
-    parts = []
-    for number in range(blocks):
-        part = stored.where(block_of == number) if blocks > 1 else stored
-        parts.append(_scan(part.toArrow(), few, schema, k, dim, min_score, score_mode, planes))
-    return reduce(DataFrame.unionByName, parts)
+    sorted_ = dealt.sortWithinPartitions("side").select("side", "ids0", "ids1", "matrix")
+    return materialize(best_per_query(sorted_.mapInArrow(scan, schema), k), "hits")
 
 
 def exact_topk(
@@ -111,7 +178,7 @@ def exact_topk(
     dim: int,
     min_score: float | None = None,
     score_mode: str = "normalized",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The k most similar tickets of every query: ``query_id, ticketId, score, rank``, written to
     the shared folder.
@@ -120,12 +187,12 @@ def exact_topk(
     ``embedding``. A threshold is applied in the tasks: a ticket below it cannot push a ticket
     above it out of the k best, so this gives what filtering the k best afterwards gives.
 
-    Queries are written out once and sent to all executors in blocks of about ``broadcast_bytes``,
-    one scan of the tickets for each block; tickets are never shuffled. A scan has a few tasks per
-    core, each reads many splits and keeps a rising floor for every query, so what is shuffled
-    grows with the cores and not with the splits.
+    Both tables are written out once as blocks of vectors. Queries are cut into groups of about
+    ``group_bytes``, tickets into slices, and a shuffle brings each group and slice together: no row
+    passes the driver, nothing is broadcast, and all cells are worked on at once. A cell holds its
+    queries, streams its tickets past a rising floor and hands on k rows per query.
     """
-    return _search(queries, tickets, k, dim, min_score, score_mode, broadcast_bytes)
+    return _search(queries, tickets, k, dim, min_score, score_mode, group_bytes)
 
 
 # --- index and approximate search ---------------------------------------------------------------
@@ -219,7 +286,7 @@ def approx_topk(
     k: int,
     min_score: float | None = None,
     score_mode: str = "normalized",
-    broadcast_bytes: int = BROADCAST_BYTES,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """The k most similar tickets among those that share a band with the query.
 
@@ -230,8 +297,8 @@ def approx_topk(
     """
     planes = index.planes
     queries = materialize(_searchable(queries, QUERY_ID, planes.dim), "questions")
-    near = tickets.join(candidates(queries, index), TICKET_ID, "left_semi")
-    return _search(queries, near, k, planes.dim, min_score, score_mode, broadcast_bytes, planes)
+    near = materialize(tickets.join(candidates(queries, index), TICKET_ID, "left_semi").select(TICKET_ID, VECTOR), "near")
+    return _search(queries, near, k, planes.dim, min_score, score_mode, group_bytes, planes)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def test_exact_equals_brute_force(spark, block, k, min_score, mode):
     found = exact_topk(
         vectors(spark, "query_id", queries).repartition(3),
         vectors(spark, "ticketId", tickets).repartition(5),
-        k, DIM, min_score, mode, broadcast_bytes=block,
+        k, DIM, min_score, mode, group_bytes=block,
     )
     assert as_set(found) == brute_force(queries, tickets, k, min_score, mode == "normalized")
 
@@ -166,7 +166,7 @@ def test_approximate_search_is_exact_inside_its_buckets(indexed):
         near = [t for t, other in zip(tickets, codes(tickets)) if (own == other).any()]
         expected |= brute_force([(q, v)], near, 4)
     assert as_set(approx_topk(left, index, right, 4)) == expected
-    assert as_set(approx_topk(left, index, right, 4, broadcast_bytes=8 * DIM * 4)) == expected
+    assert as_set(approx_topk(left, index, right, 4, group_bytes=8 * DIM * 4)) == expected
 
 
 def test_recall(indexed):

@@ -142,8 +142,8 @@ def topk_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def topk_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search in the form used when the queries are too large for one broadcast."""
-    return _topk(spark, sf_dir, broadcast_bytes=256 * 8 * t.DIM)
+    """The same search with queries cut into many groups, as where they don't fit one task."""
+    return _topk(spark, sf_dir, group_bytes=256 * 8 * t.DIM)
 
 
 @query
