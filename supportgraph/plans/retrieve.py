@@ -16,6 +16,7 @@ from supportgraph.functions.text import (
     result_text,
 )
 from supportgraph.operators.context import LARGE_TICKET, solution_cards, with_author_role
+from supportgraph.operators.ivf import ListIndex, ivf_topk
 from supportgraph.operators.ranking import rank_in_group
 from supportgraph.operators.search import TicketIndex, approx_topk, exact_topk
 from supportgraph.operators.triage import triage
@@ -33,10 +34,10 @@ def find_tickets(
     questions: DataFrame,
     graph: SupportGraph,
     options: RetrievalOptions,
-    index: TicketIndex | None = None,
+    index: TicketIndex | ListIndex | None = None,
 ) -> DataFrame:
     """Hits ``query_id, ticketId, score, rank`` above the threshold, written to the shared folder:
-    of all tickets, or of those that share a bucket of ``index`` with the question."""
+    of all tickets, or of those that ``index`` finds near the question."""
     tickets = graph.ticket
     if options.filter_mode == "pre":
         tickets = closed_tickets(graph)
@@ -44,6 +45,11 @@ def find_tickets(
         return exact_topk(
             questions, tickets, options.top_k, options.dim, options.min_score, options.score_mode
         )
+    if isinstance(index, ListIndex):
+        some = tickets if options.filter_mode == "pre" else None
+        return ivf_topk(
+            questions, index, options.top_k, options.min_score, options.score_mode, tickets=some
+        )
     return approx_topk(
         questions, index, tickets, options.top_k, options.min_score, options.score_mode
     )
@@ -107,7 +113,7 @@ def retrieve(
     questions: DataFrame,
     graph: SupportGraph,
     options: RetrievalOptions = RETRIEVER,
-    index: TicketIndex | None = None,
+    index: TicketIndex | ListIndex | None = None,
 ) -> DataFrame:
     """Past solutions for ``questions (query_id, embedding)``, by exact search or through a stored
     index; see ``answer_hits``."""
@@ -149,7 +155,7 @@ def retrieve_by_text(
     options: RetrievalOptions = RETRIEVER,
     client_factory: ClientFactory | None = None,
     text_columns: tuple[str, ...] = ("question",),
-    index: TicketIndex | None = None,
+    index: TicketIndex | ListIndex | None = None,
 ) -> DataFrame:
     """Past solutions for ``questions (query_id, question)`` with text, metadata and score."""
     vectors = embed_columns(questions, list(text_columns), options.dim, client_factory)
@@ -165,7 +171,7 @@ def gated_search(
     client_factory: ClientFactory | None = None,
     analysis: DataFrame | None = None,
     topics: list[tuple[str, str]] = CATEGORIES,
-    index: TicketIndex | None = None,
+    index: TicketIndex | ListIndex | None = None,
 ) -> DataFrame:
     """Triage, then retrieval for related questions only.
 

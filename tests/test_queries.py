@@ -11,6 +11,8 @@ from check import compare, connection
 from workloads.oracle import ORACLE
 from workloads.queries import QUERIES
 
+# Fitted by k-means, which SQL cannot repeat: see test_ivf.
+TRAINED = {"ivf_topk_hits", "ivf_recall"}
 SF_DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables not present")
 
@@ -33,7 +35,7 @@ def test_query(spark, con, name):
 
 def test_every_sql_has_a_query():
     assert set(oracle_sql()) <= set(queries())
-    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) - set(ORACLE) == TRAINED
 
 
 def test_entry(spark):

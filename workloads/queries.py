@@ -30,6 +30,7 @@ from supportgraph.operators.edges import (
     expand,
     without_foreign_keys,
 )
+from supportgraph.operators.ivf import ListIndex, build_lists, ivf_topk, looked_at, read_lists, train, write_lists
 from supportgraph.operators.quality import (
     dangling_references,
     duplicate_keys,
@@ -309,6 +310,30 @@ def approx_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recall(_approx(spark, sf_dir), exact)
 
 
+def _text_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ListIndex]:
+    """The vectors of all documents by their texts, which form clusters, and their inverted lists."""
+    vectors = materialize(t.text_graph(spark, sf_dir).ticket.select("ticketId", "embedding").where("embedding IS NOT NULL"), "vectors")
+    quantizer, path = train(vectors, t.DIM), fresh_path(spark, "lists")
+    write_lists(build_lists(vectors, quantizer), quantizer, path)
+    return vectors, read_lists(spark, path)
+
+
+@query
+def ivf_topk_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similar documents through inverted lists; trained, so without SQL."""
+    vectors, index = _text_lists(spark, sf_dir)
+    return ivf_topk(vectors.withColumnRenamed("ticketId", "query_id"), index, 5)
+
+
+@query
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document the share of the exact hits that are found, and of the documents looked at."""
+    vectors, index = _text_lists(spark, sf_dir)
+    queries = vectors.withColumnRenamed("ticketId", "query_id")
+    rates = recall(ivf_topk(queries, index, 5), exact_topk(queries, vectors, 5, t.DIM))
+    return rates.join(looked_at(queries, index), "query_id")
+
+
 @query
 def retrieve_with_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = _stored_index(spark, _ticket_vectors(spark, sf_dir))
