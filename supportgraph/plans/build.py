@@ -10,9 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from supportgraph.functions.embedding import ClientFactory, embed_columns
-from supportgraph.operators.edges import EDGE_KINDS, attach_vectors, build_edges
+from supportgraph.operators.edges import attach_vectors, dangling_of, edges_of, resolve_references
 from supportgraph.operators.quality import (
-    dangling_references,
     duplicate_keys,
     valid_vectors,
     vector_rejects,
@@ -26,6 +25,7 @@ from supportgraph.sources.tables import (
     refresh_table,
     write_csv_with_vectors,
 )
+from supportgraph.workspace import materialize
 
 
 def key_violations(graph: SupportGraph) -> DataFrame:
@@ -40,26 +40,9 @@ def key_violations(graph: SupportGraph) -> DataFrame:
 
 
 def reference_report(graph: SupportGraph) -> DataFrame:
-    """References to no row: ``label, key, column, value``."""
-    tables = graph.tables()
-    parts = []
-    for kind in EDGE_KINDS:
-        key = KEYS[kind.holder]
-        rows = dangling_references(
-            tables[kind.holder].select(F.col(key).alias("__key"), kind.column),
-            kind.column,
-            tables[kind.referred],
-            KEYS[kind.referred],
-        )
-        parts.append(
-            rows.select(
-                F.lit(kind.holder).alias("label"),
-                F.col("__key").cast("string").alias("key"),
-                F.lit(kind.column).alias("column"),
-                F.col(kind.column).cast("string").alias("value"),
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    """References to no row: ``label, key, column, value``. A row without a key cannot be named and is
+    among those of ``load_rejects``."""
+    return dangling_of(resolve_references(graph))
 
 
 def embed_tickets(
@@ -100,16 +83,23 @@ def with_vectors(graph: SupportGraph, vectors: DataFrame, dim: int) -> SupportGr
     return replace(graph, ticket=attach_vectors(graph.ticket, valid_vectors(vectors, dim)))
 
 
-def quality_rejects(graph: SupportGraph, vectors: DataFrame | None = None, dim: int = 0) -> DataFrame:
+def quality_rejects(
+    graph: SupportGraph,
+    vectors: DataFrame | None = None,
+    dim: int = 0,
+    resolved: DataFrame | None = None,
+) -> DataFrame:
     """What is wrong with a graph, in one table: ``label, key, reason, detail``.
 
     Keys used twice with their number, references to no row with column and value, and, for
-    ``vectors (ticketId, embedding)``, those that cannot be searched with the reason.
+    ``vectors (ticketId, embedding)``, those that cannot be searched with the reason. ``resolved``:
+    the graph's references where they have been looked up already.
     """
     repeated = key_violations(graph).select(
         "label", "key", F.lit("duplicate key").alias("reason"), F.col("n").cast("string").alias("detail")
     )
-    dangling = reference_report(graph).select(
+    missing = reference_report(graph) if resolved is None else dangling_of(resolved)
+    dangling = missing.select(
         "label",
         "key",
         F.lit("dangling reference").alias("reason"),
@@ -157,15 +147,15 @@ def build(
     root = f"{top}/{version}"
     refresh_graph(graph, f"{root}/nodes")
     stored = read_graph(spark, f"{root}/nodes")
-    edges = build_edges(stored)
-    edges.write.mode("overwrite").partitionBy("edge_type").parquet(f"{root}/edges")
+    resolved = materialize(resolve_references(stored), "references")
+    edges_of(resolved).write.mode("overwrite").partitionBy("edge_type").parquet(f"{root}/edges")
     refresh_table(embed_tickets(stored, dim, client_factory).ticket, f"{root}/tickets_embedded")
     full = replace(stored, ticket=spark.read.parquet(f"{root}/tickets_embedded"))
     planes = Planes(dim, **index_settings)
     write_index(build_index(full.ticket, planes), f"{root}/index")
     settings = spark.createDataFrame([(dim, planes.bands, planes.bits)], "dim int, bands int, bits int")
     refresh_table(settings.coalesce(1), f"{root}/index_settings")
-    found = quality_rejects(stored, full.ticket.select("ticketId", "embedding"), dim)
+    found = quality_rejects(stored, full.ticket.select("ticketId", "embedding"), dim, resolved)
     refresh_table(found if rejects is None else rejects.unionByName(found), f"{root}/rejects")
     spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(
         f"{top}/current"

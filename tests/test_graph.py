@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 from supportgraph.operators.edges import (
     attach_vectors,
     build_edges,
+    dangling_of,
     edge_counts,
+    edges_of,
     expand,
+    resolve_references,
+    walk,
     without_foreign_keys,
 )
 from supportgraph.operators.quality import (
@@ -168,3 +172,44 @@ def test_build_refuses_duplicate_keys(spark, graph, tmp_path):
     twice = replace(graph, status=graph.status.unionByName(graph.status))
     with pytest.raises(ValueError, match="status"):
         build(spark, twice, str(tmp_path / "built"), dim=8)
+
+
+def plain_walk(start, links, most):
+    """Breadth first from one node."""
+    depth, line = {start: 0}, [start]
+    for node in line:
+        if depth[node] == most:
+            continue
+        for a, b in links:
+            if a == node and b not in depth:
+                depth[b] = depth[node] + 1
+                line.append(b)
+    return {(node, d) for node, d in depth.items() if d}
+
+
+@pytest.mark.parametrize("direction,most,least", [("out", 4, 1), ("in", 3, 1), ("both", 5, 2), ("both", 1, 1)])
+def test_walks_find_the_shortest_way(spark, direction, most, least):
+    import random
+
+    random.seed(most)
+    nodes = [("xy"[i % 2], f"n{i // 2}") for i in range(24)]
+    pairs = [(random.choice(nodes), random.choice(nodes)) for _ in range(40)] + [(nodes[0], n) for n in nodes[:12]]
+    pairs += [(nodes[3], nodes[4]), (nodes[4], nodes[3])]  # a cycle
+    rows = [(a[1], b[1], "E", a[0], b[0]) for a, b in pairs]
+    edges = spark.createDataFrame(rows + rows[:5], "src string, dst string, edge_type string, src_label string, dst_label string")
+    starts = [nodes[0], nodes[5], nodes[0]]
+    links = {"out": pairs, "in": [(b, a) for a, b in pairs], "both": pairs + [(b, a) for a, b in pairs]}[direction]
+    found = walk(spark.createDataFrame([*starts, ("x", None)], "label string, node string"), edges, most, least, direction)
+    got = [((r.start_label, r.start), (r.label, r.node), r.depth) for r in found.collect()]
+    want = {(s, node, d) for s in set(starts) for node, d in plain_walk(s, links, most) if d >= least}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert walk(spark.createDataFrame([], "label string, node string"), edges, 3).collect() == []
+    assert walk(spark.createDataFrame([nodes[0]], "label string, node string"), edges, 3, edge_types=["none"]).collect() == []
+
+
+def test_references_are_looked_up_once(spark, graph):
+    resolved = resolve_references(graph)
+    assert resolved.where("ref IS NULL").count() == 0
+    plan = resolved._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 1
+    assert edges_of(resolved).count() + dangling_of(resolved).count() == resolved.count()

@@ -442,16 +442,30 @@ FROM comments s JOIN users u ON u.userId = s.authorUserId
 LEFT JOIN collected c ON c.solutionId = s.commentId WHERE s.isSolution""",
     "result_text": f"{_FROM_RESULTS} SELECT {_TEXT_COLUMNS} FROM results",
     "result_json": f"{_FROM_RESULTS} SELECT {_RESULT_COLUMNS} FROM results",
-    "result_sources": f"""{_FROM_RESULTS},
-ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id
-                               ORDER BY score DESC, ticketId, solutionId) AS rank FROM results)
-SELECT r.query_id, r.rank, r.ticketId, r.title, r.description, r.resolutionSummary,
-       r.similarityScore, r.solutionId, r.solutionContent, r.solutionDate, r.solutionRole,
-       c.position AS contextPosition, c.commentId AS contextId, c.content AS contextContent,
-       {_ISO.format('c.creationDate')} AS contextDate, u.role AS contextRole
-FROM ranked r LEFT JOIN context c ON c.solutionId = r.solutionId
-LEFT JOIN users u ON u.userId = c.authorUserId""",
+    "result_sources": f"""{_ctes(USERS, TICKETS, COMMENTS, _scores(), _hits(OPTIONS.top_k, OPTIONS.min_score))},
+found AS MATERIALIZED (
+  SELECT h.query_id, h.score, t.ticketId, t.title, t.description, t.resolutionSummary,
+         s.commentId AS solutionId, s.content AS solutionContent, s.creationDate AS solutionAt,
+         u.role AS solutionRole
+  FROM hits h JOIN tickets t ON t.ticketId = h.ticketId AND t.statusId = 'F'
+  JOIN comments s ON s.ticketId = t.ticketId AND s.isSolution
+  JOIN users u ON u.userId = s.authorUserId),
+earlier AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT f.ticketId, f.solutionId, c.commentId, c.content, c.creationDate, u.role,
+           row_number() OVER (PARTITION BY f.ticketId, f.solutionId
+                              ORDER BY c.creationDate DESC, c.commentId) AS position
+    FROM (SELECT DISTINCT ticketId, solutionId, solutionAt FROM found) f
+    JOIN comments c ON c.ticketId = f.ticketId AND c.creationDate < f.solutionAt
+    LEFT JOIN users u ON u.userId = c.authorUserId)
+  WHERE position <= {OPTIONS.context_limit})
+SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id
+                                      ORDER BY f.score DESC, f.ticketId, f.solutionId) AS rank,
+       f.ticketId, f.title, f.description, f.resolutionSummary, f.score AS similarityScore,
+       f.solutionId, f.solutionContent, {_ISO.format('f.solutionAt')} AS solutionDate, f.solutionRole,
+       e.position AS contextPosition, e.commentId AS contextId, e.content AS contextContent,
+       {_ISO.format('e.creationDate')} AS contextDate, e.role AS contextRole
+FROM found f LEFT JOIN earlier e USING (ticketId, solutionId)""",
     "hit_counts": f"""{_FROM_RESULTS}
 SELECT vec_id AS query_id, count(r.query_id) AS n_results
 FROM embeddings LEFT JOIN results r ON r.query_id = vec_id GROUP BY vec_id""",
@@ -481,6 +495,22 @@ SELECT query_id, ticketId, score, CAST(rank AS INTEGER) AS rank FROM (
 WHERE rank <= 5""",
     "gated_search": _GATED,
     "stream_gated": _GATED,
+    "walk_from_statuses": f"""{_GRAPH},
+links AS MATERIALIZED (
+  SELECT src, src_label, dst, dst_label FROM edges UNION SELECT dst, dst_label, src, src_label FROM edges),
+step1 AS MATERIALIZED (
+  SELECT DISTINCT o_orderstatus AS start, dst_label AS label, dst AS node
+  FROM orders JOIN links ON src = o_orderstatus AND src_label = 'status'),
+step2 AS MATERIALIZED (
+  SELECT DISTINCT start, dst_label AS label, dst AS node
+  FROM step1 JOIN links ON src = node AND src_label = label),
+step3 AS MATERIALIZED (
+  SELECT DISTINCT start, dst_label AS label, dst AS node
+  FROM step2 JOIN links ON src = node AND src_label = label)
+SELECT start, label, node, CAST(min(depth) AS INTEGER) AS depth FROM (
+  SELECT *, 1 AS depth FROM step1 UNION ALL SELECT *, 2 FROM step2
+  UNION ALL SELECT *, 3 FROM step3)
+WHERE NOT (label = 'status' AND node = start) GROUP BY ALL""",
     "refreshed_counts": f"""{_ctes(USERS)}
 SELECT 'user' AS label, count(*) AS n FROM users
 UNION ALL SELECT 'status', count(DISTINCT o_orderstatus) FROM orders
@@ -621,6 +651,23 @@ UNION ALL
 SELECT conv_id, last_turn + 1, 'system', {_text(NEW_PROMPT)} FROM last_turns WHERE NOT has_system""",
     "last_system_prompt": f"""{_ctes(_LAST_TURNS)}
 SELECT conv_id, coalesce(system_prompt, {_text(NEW_PROMPT)}) AS system_prompt FROM last_turns""",
+    "stream_prompts": f"""WITH turns AS (
+  SELECT *, coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS) OVER (
+           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+           {_text(NEW_PROMPT)}) || ' Search first.' AS system_prompt,
+         list({{'role': role, 'text': text}}) OVER (
+           PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS before
+  FROM conversations),
+kept AS (
+  SELECT conv_id, turn, text, system_prompt,
+         list_filter(coalesce(before, []), lambda m: m.role IN ('user', 'assistant')) AS before
+  FROM turns WHERE role = 'user')
+SELECT conv_id, turn,
+       array_to_string(list_concat(['system: ' || system_prompt],
+         list_transform(before, lambda m: m.role || ': ' || coalesce(m.text, '')),
+         ['user: ' || text]), chr(10)) AS prompt,
+       len(before) + 2 AS n_messages
+FROM kept""",
     "display_turns": """SELECT conv_id, turn, role, text AS content FROM conversations
 WHERE role IN ('user', 'assistant') OR (role = 'function' AND text <> '')""",
     "append_turns": f"""{_ctes(_LAST_TURNS)},

@@ -28,6 +28,7 @@ from supportgraph.operators.edges import (
     build_edges,
     edge_counts,
     expand,
+    walk,
     without_foreign_keys,
 )
 from supportgraph.operators.ivf import ListIndex, build_lists, ivf_topk, looked_at, read_lists, train, write_lists
@@ -53,6 +54,7 @@ from supportgraph.schemas import KEYS
 from supportgraph.sources import conversations as logs
 from supportgraph.sources import tables as stored
 from supportgraph.streaming.questions import answer_stream
+from supportgraph.streaming.conversations import STATE_STORE, prompt_stream
 from supportgraph.workspace import fresh_path, materialize
 from workloads import tables as t
 
@@ -386,6 +388,28 @@ def stream_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(spark.read.parquet(out))
 
 
+@query
+def stream_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prompt for every user turn as it arrives, with the turns before it kept as state."""
+    schema = t.table(spark, sf_dir, "conversations").schema
+    arriving = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversations*.parquet")
+    turns = arriving.select("conv_id", "turn", "role", F.col("text").alias("content"))
+    out, key = fresh_path(spark, "prompts"), STATE_STORE[0]
+    before = spark.conf.get(key, None)
+    spark.conf.set(*STATE_STORE)
+    try:
+        prompts = prompt_stream(turns, 3, NEW_PROMPT, " Search first.")
+        writer = prompts.writeStream.option("checkpointLocation", fresh_path(spark, "stream"))
+        writer.trigger(availableNow=True).format("parquet").start(out).awaitTermination()
+    finally:
+        if before is not None:
+            spark.conf.set(key, before)
+    lines = F.transform("messages", lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return spark.read.schema(prompts.schema).parquet(out).select(
+        "conv_id", "turn", F.array_join(lines, "\n").alias("prompt"), F.size("messages").cast("bigint").alias("n_messages")
+    )
+
+
 # --- typing, checks, edges ----------------------------------------------------------------------
 
 
@@ -507,6 +531,14 @@ def expand_two_hop(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("userId", "ticketId", "commentId", "articleId")
 
 
+@query
+def walk_from_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What can be reached from every status in one to three steps, in either direction."""
+    found = t.graph(spark, sf_dir)
+    starts = found.status.select(F.lit("status").alias("label"), F.col("statusId").alias("node"))
+    return walk(starts, build_edges(found), 3, direction="both").select("start", "label", "node", "depth")
+
+
 @query
 def refreshed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows per node table after two full refreshes."""
