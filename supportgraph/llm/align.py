@@ -61,7 +61,7 @@ class Tokenizers:
         self.spelled = [f"{i}{end}" for i in range(len(self.first_bytes)) for end in ",|"]
         self.spelled += [f"{i}{end}" for i in range(len(self.second_bytes)) for end in ",;"]
 
-    def _ranked(self, model: dict) -> tuple[tiktoken.Encoding, list[int] | None]:
+    def _ranked(self, model: dict) -> tuple[tiktoken.Encoding, np.ndarray | None]:
         """An encoder by ranks for a byte-level vocabulary: single bytes first, then what merges make,
         in their order. Also the id of each rank, unless these are the ranks themselves."""
         made = ["".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
@@ -70,7 +70,7 @@ class Tokenizers:
         ids = [model["vocab"][token] for token in tokens]
         ranks = {self.first_bytes[number]: rank for rank, number in enumerate(ids)}
         encoding = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return encoding, None if ids == list(range(len(ids))) else ids
+        return encoding, None if ids == list(range(len(ids))) else np.array(ids)
 
     def _piece(self, number: int) -> bytes:
         piece = self.second.id_to_piece(number)
@@ -78,23 +78,22 @@ class Tokenizers:
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]] | None]:
-        """Ids of both for a blank and each text; None where their bytes are not those of the text."""
-        parts, owners = [], []
-        for i, text in enumerate(texts):
-            for part in pieces(" " + text) if self.cuts else [" " + text]:
-                parts.append(part)
-                owners.append(i)
-        found: list = [([], []) for _ in texts]
-        for i, part in zip(owners, parts):
-            ranks = self.first.encode_ordinary(part)
-            found[i][0].extend([self.first_ids[r] for r in ranks] if self.first_ids else ranks)
-        for i, ids in zip(owners, self.second.encode([p[1:] for p in parts], num_threads=1)):
-            found[i][1].extend(ids)
-        for i, text in enumerate(texts):
-            raw, (a, b) = (" " + text).encode(), found[i]
-            if b"".join(map(self.first_bytes.__getitem__, a)) != raw or b"".join(map(self.second_bytes.__getitem__, b)) != raw:
-                found[i] = None
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both for a blank and each text; None where their bytes are not those of the text.
+
+        The tokens of the first side are cut from the text's own bytes: where they are as many bytes,
+        they are the same. Those of the second are compared.
+        """
+        cut = [list(pieces(" " + text)) if self.cuts else [" " + text] for text in texts]
+        second = iter(self.second.encode([part[1:] for parts in cut for part in parts], num_threads=1))
+        found, table = [], self.second_bytes
+        for text, parts in zip(texts, cut):
+            raw = (" " + text).encode()
+            a = np.concatenate([np.array(self.first.encode_ordinary(part), np.int64) for part in parts])
+            a = a if self.first_ids is None else self.first_ids[a]
+            ids = [next(second) for _ in parts]
+            same = self.first_sizes[a].sum() == len(raw) and b"".join([table[i] for b in ids for i in b]) == raw
+            found.append((a, np.concatenate([np.array(b, np.int64) for b in ids])) if same else None)
         return found
 
 
@@ -158,9 +157,10 @@ def shared_ends(first: np.ndarray, second: np.ndarray, starts: np.ndarray, stops
 class Aligned:
     """The alignment of some texts, worked out together."""
 
-    def __init__(self, tools: Tokenizers, ids: list[tuple[list[int], list[int]]]) -> None:
-        self.sizes = [np.array([len(pair[side]) for pair in ids]) for side in (0, 1)]
-        first, second = (np.array([x for pair in ids for x in pair[side]], np.int64) for side in (0, 1))
+    def __init__(self, tools: Tokenizers, ids: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        self.sizes = [np.array([len(pair[side]) for pair in ids], np.int64) for side in (0, 1)]
+        none = np.empty(0, np.int64)
+        first, second = (np.concatenate([none, *(pair[side] for pair in ids)]) for side in (0, 1))
         ends_first, ends_second = np.cumsum(tools.first_sizes[first]), np.cumsum(tools.second_sizes[second])
         stops = np.cumsum(self.sizes[0])
         shared = shared_ends(ends_first, ends_second, stops - self.sizes[0], stops)

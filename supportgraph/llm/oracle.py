@@ -86,30 +86,55 @@ ORACLE: dict[str, str] = {
     """,
     "op8_revisits": r"""
         WITH base AS (
-            SELECT page_id, url, '"' || md5(html) || '"' AS tag, 'day ' || (page_id % 1000) AS modified,
+            SELECT page_id, url, '"' || md5(html) || '"' AS tag, '"' || md5(html || '2') || '"' AS second,
+                   'day ' || (page_id % 1000) AS modified, 'day ' || ((page_id + 1) % 1000) AS later,
                    octet_length(encode(html))::VARCHAR AS length,
-                   1700000000 + page_id AS moment, 86400 * 365 AS day,
+                   1700000000 + page_id AS moment, 86400 AS day, 86400 * 365 AS year, 'http://all.example/' AS common,
                    regexp_extract(url, '^[^/]*//[^/]*') AS front, regexp_replace(url, '^[^/]*//[^/]*', '') AS back
             FROM pages
         ),
         captures AS (
-            SELECT page_id * 8 AS record_id, page_id, url, moment AS ts, 'response' AS type, 200 AS status, tag AS etag,
+            SELECT page_id * 16 AS record_id, page_id, url, moment AS ts, 'response' AS type, 200 AS status, tag AS etag,
                    modified, length, 'text/html' AS content, 'max-age=60' AS cache, NULL::VARCHAR AS age FROM base
             UNION ALL
-            SELECT page_id * 8 + 1, page_id, upper(front) || back || '#again', moment + day, 'revisit', 304, 'W/' || tag,
+            SELECT page_id * 16 + 1, page_id, upper(front) || back || '#again', moment + year, 'revisit', 304, 'W/' || tag,
                    NULL, '0', NULL, 'max-age=3600', NULL FROM base
             UNION ALL
-            SELECT page_id * 8 + 2, page_id, url, moment + 2 * day, 'revisit', 304, 'x' || tag, NULL, '0', NULL, NULL, NULL
+            SELECT page_id * 16 + 2, page_id, url, moment + 2 * year, 'revisit', 304, 'x' || tag, NULL, '0', NULL, NULL, NULL
             FROM base WHERE page_id % 3 = 0
             UNION ALL
-            SELECT page_id * 8 + 3, page_id, url, moment - day, 'revisit', 304, tag, NULL, NULL, NULL, NULL, NULL
+            SELECT page_id * 16 + 3, page_id, url, moment - year, 'revisit', 304, tag, NULL, NULL, NULL, NULL, NULL
             FROM base WHERE page_id % 5 = 0
             UNION ALL
-            SELECT page_id * 8 + 4, page_id, url, moment + 3 * day, 'revisit', 304, NULL, modified, NULL, NULL, NULL, '9'
+            SELECT page_id * 16 + 4, page_id, url, moment + 3 * year, 'revisit', 304, NULL, modified, NULL, NULL, NULL, '9'
             FROM base WHERE page_id % 7 = 0
             UNION ALL
-            SELECT page_id * 8 + 5, page_id, url, moment + 4 * day, 'revisit', 304, NULL, NULL, NULL, NULL, NULL, '9'
+            SELECT page_id * 16 + 5, page_id, url, moment + 4 * year, 'revisit', 304, NULL, NULL, NULL, NULL, NULL, '9'
             FROM base WHERE page_id % 11 = 0
+            UNION ALL
+            SELECT page_id * 16 + 6, page_id, url, moment + 182 * day, 'response', 200, second, later, length, 'text/html',
+                   'max-age=120', NULL FROM base WHERE page_id % 2 = 0
+            UNION ALL
+            SELECT page_id * 16 + 7, page_id, url, moment + 200 * day, 'response', 200, tag, modified, length, 'text/html',
+                   NULL, NULL FROM base WHERE page_id % 4 = 0
+            UNION ALL
+            SELECT page_id * 16 + 8, page_id, url, moment + 190 * day, 'revisit', 304, second, NULL, '0', NULL, NULL, NULL
+            FROM base WHERE page_id % 2 = 0
+            UNION ALL
+            SELECT page_id * 16 + 9, page_id, url, moment + 5 * day, 'revisit', 200, tag, NULL, '0', 'text/html', NULL, NULL
+            FROM base WHERE page_id % 13 = 0
+            UNION ALL
+            SELECT page_id * 16 + 10, page_id, url, moment + 6 * day, 'revisit', 404, tag, NULL, '0', NULL, NULL, NULL
+            FROM base WHERE page_id % 17 = 0
+            UNION ALL
+            SELECT page_id * 16 + 11, page_id, common, moment, 'response', 200, tag, NULL, length, 'text/html', NULL, NULL
+            FROM base WHERE page_id % 3 = 1
+            UNION ALL
+            SELECT page_id * 16 + 12, page_id, common, moment + 1, 'revisit', 304, tag, NULL, '0', NULL, NULL, NULL
+            FROM base WHERE page_id % 3 = 1
+            UNION ALL
+            SELECT page_id * 16 + 13, page_id, common, moment + 2, 'revisit', 304, second, NULL, '0', NULL, NULL, NULL
+            FROM base WHERE page_id % 3 = 1
         ),
         split AS (
             SELECT *, regexp_replace(trim(url), '#.*$', '') AS plain FROM captures
@@ -144,7 +169,7 @@ ORACLE: dict[str, str] = {
             FROM joined
         ),
         outcomes AS (
-            SELECT *, CASE WHEN type = 'response' THEN 'full' WHEN found IS NULL THEN 'no earlier response'
+            SELECT *, CASE WHEN type = 'response' THEN 'full' WHEN status <> 304 THEN 'not a 304' WHEN found IS NULL THEN 'no earlier response'
                            WHEN same THEN 'resolved' WHEN same IS NULL THEN 'no validator' ELSE 'mismatch' END AS outcome
             FROM judged
         )

@@ -89,35 +89,54 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """Capture records of every page: a full response, and later revisits that vary by page.
+    """Capture records of every page: up to three dated full responses, the second under another tag,
+    and revisits between and after them that vary by page.
 
     One revisit has the address in other letters and the tag in its weak form; some pages have a
     revisit with another page's tag, one before any response, one with a time and no tag, one with
-    neither.
+    neither, one with the same payload under status 200 and one that is not found. A third of the
+    pages are captured under one common address too, where every revisit has thousands of earlier
+    responses.
     """
     page, url = F.col("page_id"), F.col("url")
-    tag, modified = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.concat(F.lit("day "), (page % 1000).cast("string"))
+
+    def tagged(*parts):
+        return F.concat(F.lit('"'), F.md5(F.concat(*parts)), F.lit('"'))
+
+    tag, second = tagged(F.col("html")), tagged(F.col("html"), F.lit("2"))
+    modified, later = (F.concat(F.lit("day "), ((page + n) % 1000).cast("string")) for n in (0, 1))
     shouted = F.concat(F.upper(F.regexp_extract(url, "^[^/]*//[^/]*", 0)), F.regexp_replace(url, "^[^/]*//[^/]*", ""))
 
     def record(number, when, address, seconds, kind, status, **headers):
         entries = [F.struct(F.lit(k.replace("_", "-")).alias("key"), v.alias("value")) for k, v in headers.items()]
         return F.when(when, F.struct(
-            (page * 8 + number).alias("record_id"), address.alias("url"),
+            (page * 16 + number).alias("record_id"), address.alias("url"),
             F.timestamp_seconds(F.lit(1_700_000_000) + page + seconds).alias("date"), F.lit(kind).alias("type"),
             F.lit(status).alias("status"), F.map_from_entries(F.array(*entries)).alias("headers"),
         ))
 
-    every, day = F.lit(True), 86_400 * 365
-    length, none = F.octet_length("html").cast("string"), F.lit("0")
+    every, day = F.lit(True), 86_400
+    year = 365 * day
+    length, none, html, common = F.octet_length("html").cast("string"), F.lit("0"), F.lit("text/html"), F.lit("http://all.example/")
     records = F.array(
         record(0, every, url, 0, "response", 200, ETag=tag, Last_Modified=modified, Content_Length=length,
-               Content_Type=F.lit("text/html"), Cache_Control=F.lit("max-age=60")),
-        record(1, every, F.concat(shouted, F.lit("#again")), day, "revisit", 304, ETag=F.concat(F.lit("W/"), tag),
+               Content_Type=html, Cache_Control=F.lit("max-age=60")),
+        record(1, every, F.concat(shouted, F.lit("#again")), year, "revisit", 304, ETag=F.concat(F.lit("W/"), tag),
                Cache_Control=F.lit("max-age=3600"), Content_Length=none),
-        record(2, page % 3 == 0, url, 2 * day, "revisit", 304, ETag=F.concat(F.lit("x"), tag), Content_Length=none),
-        record(3, page % 5 == 0, url, -day, "revisit", 304, ETag=tag),
-        record(4, page % 7 == 0, url, 3 * day, "revisit", 304, Last_Modified=modified, Age=F.lit("9")),
-        record(5, page % 11 == 0, url, 4 * day, "revisit", 304, Age=F.lit("9")),
+        record(2, page % 3 == 0, url, 2 * year, "revisit", 304, ETag=F.concat(F.lit("x"), tag), Content_Length=none),
+        record(3, page % 5 == 0, url, -year, "revisit", 304, ETag=tag),
+        record(4, page % 7 == 0, url, 3 * year, "revisit", 304, Last_Modified=modified, Age=F.lit("9")),
+        record(5, page % 11 == 0, url, 4 * year, "revisit", 304, Age=F.lit("9")),
+        record(6, page % 2 == 0, url, 182 * day, "response", 200, ETag=second, Last_Modified=later, Content_Length=length,
+               Content_Type=html, Cache_Control=F.lit("max-age=120")),
+        record(7, page % 4 == 0, url, 200 * day, "response", 200, ETag=tag, Last_Modified=modified, Content_Length=length,
+               Content_Type=html),
+        record(8, page % 2 == 0, url, 190 * day, "revisit", 304, ETag=second, Content_Length=none),
+        record(9, page % 13 == 0, url, 5 * day, "revisit", 200, ETag=tag, Content_Type=html, Content_Length=none),
+        record(10, page % 17 == 0, url, 6 * day, "revisit", 404, ETag=tag, Content_Length=none),
+        record(11, page % 3 == 1, common, 0, "response", 200, ETag=tag, Content_Length=length, Content_Type=html),
+        record(12, page % 3 == 1, common, 1, "revisit", 304, ETag=tag, Content_Length=none),
+        record(13, page % 3 == 1, common, 2, "revisit", 304, ETag=second, Content_Length=none),
     )
     return pages.select(F.explode(F.filter(records, lambda r: r.isNotNull())).alias("r")).select("r.*")
 
@@ -127,7 +146,7 @@ def op8_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.resolve_revisits(captures(table(spark, sf_dir, "pages")))
     lines = F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat(e.key, F.lit(": "), e.value))
     return found.select(
-        "record_id", F.floor(F.col("record_id") / 8).alias("page_id"), "canonical_url", "outcome", "source_id",
+        "record_id", F.floor(F.col("record_id") / 16).alias("page_id"), "canonical_url", "outcome", "source_id",
         "status", F.array_join(lines, "\n").alias("headers"),
     )
 
