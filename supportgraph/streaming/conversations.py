@@ -36,7 +36,7 @@ class History(StatefulProcessor):
         self.last = handle.getValueState("last", "turn bigint")
         self.prompt = handle.getValueState("prompt", "content string")
 
-    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows), ignore_index=True)
         texts = arrived.astype(object).where(arrived.notna(), None)
         turns = sorted(
@@ -65,7 +65,7 @@ class History(StatefulProcessor):
         if self.expire_ms is not None:
             for due in list(self.handle.listTimers()):
                 self.handle.deleteTimer(due[0] if isinstance(due, tuple) else due)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.expire_ms)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.expire_ms)
         if asked:
             yield pd.DataFrame(
                 {"conv_id": [key[0]] * len(asked), "turn": [a[0] for a in asked], "messages": [a[1] for a in asked]}
@@ -78,7 +78,7 @@ class History(StatefulProcessor):
         out += [{"role": role, "content": content or ""} for _, role, content in history if role in MODEL_ROLES and role != "system"]
         return [*out, {"role": "user", "content": question}]
 
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         for state in (self.history, self.last, self.prompt):
             state.clear()
         yield from ()
