@@ -458,14 +458,15 @@ earlier AS MATERIALIZED (
     FROM (SELECT DISTINCT ticketId, solutionId, solutionAt FROM found) f
     JOIN comments c ON c.ticketId = f.ticketId AND c.creationDate < f.solutionAt
     LEFT JOIN users u ON u.userId = c.authorUserId)
-  WHERE position <= {OPTIONS.context_limit})
-SELECT f.query_id, row_number() OVER (PARTITION BY f.query_id
-                                      ORDER BY f.score DESC, f.ticketId, f.solutionId) AS rank,
-       f.ticketId, f.title, f.description, f.resolutionSummary, f.score AS similarityScore,
+  WHERE position <= {OPTIONS.context_limit}),
+ranked AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ticketId, solutionId) AS rank
+  FROM found)
+SELECT f.query_id, f.rank, f.ticketId, f.title, f.description, f.resolutionSummary, f.score AS similarityScore,
        f.solutionId, f.solutionContent, {_ISO.format('f.solutionAt')} AS solutionDate, f.solutionRole,
        e.position AS contextPosition, e.commentId AS contextId, e.content AS contextContent,
        {_ISO.format('e.creationDate')} AS contextDate, e.role AS contextRole
-FROM found f LEFT JOIN earlier e USING (ticketId, solutionId)""",
+FROM ranked f LEFT JOIN earlier e USING (ticketId, solutionId)""",
     "hit_counts": f"""{_FROM_RESULTS}
 SELECT vec_id AS query_id, count(r.query_id) AS n_results
 FROM embeddings LEFT JOIN results r ON r.query_id = vec_id GROUP BY vec_id""",
