@@ -17,6 +17,7 @@ from supportgraph.operators.quality import (
     vector_rejects,
 )
 from supportgraph.operators.search import Planes, TicketIndex, build_index, write_index
+from supportgraph.plans.embeddings import embed_columns_by_content
 from supportgraph.schemas import KEYS, SupportGraph
 from supportgraph.sources.tables import (
     read_csv,
@@ -50,16 +51,14 @@ def embed_tickets(
     dim: int,
     client_factory: ClientFactory | None = None,
     null_text: str | None = None,
+    store: str | None = None,
 ) -> SupportGraph:
-    """The graph with a vector of title and description on every ticket."""
-    tickets = embed_columns(
-        graph.ticket.drop("embedding"),
-        ["title", "description"],
-        dim,
-        client_factory,
-        null_text,
-    )
-    return replace(graph, ticket=tickets)
+    """The graph with a vector of title and description on every ticket. With ``store``, a folder of
+    vectors by content, only texts that it does not hold are embedded."""
+    plain, columns = graph.ticket.drop("embedding"), ["title", "description"]
+    if store is None:
+        return replace(graph, ticket=embed_columns(plain, columns, dim, client_factory, null_text))
+    return replace(graph, ticket=embed_columns_by_content(plain, columns, store, dim, client_factory, null_text))
 
 
 def embed_csv(
@@ -70,10 +69,15 @@ def embed_csv(
     client_factory: ClientFactory | None = None,
     text_columns: tuple[str, ...] = ("title", "description"),
     multi_line: bool = True,
+    store: str | None = None,
 ) -> None:
-    """Read a CSV of tickets and write it with a vector column, as a JSON list."""
-    rows = read_csv(spark, source, multi_line)
-    vectors = embed_columns(rows, list(text_columns), dim, client_factory)
+    """Read a CSV of tickets and write it with a vector column, as a JSON list. With ``store``, a
+    folder of vectors by content, only texts that it does not hold are embedded."""
+    rows, columns = read_csv(spark, source, multi_line), list(text_columns)
+    if store is None:
+        vectors = embed_columns(rows, columns, dim, client_factory)
+    else:
+        vectors = embed_columns_by_content(rows, columns, store, dim, client_factory)
     write_csv_with_vectors(vectors, target)
 
 
@@ -130,6 +134,7 @@ def build(
     dim: int,
     client_factory: ClientFactory | None = None,
     rejects: DataFrame | None = None,
+    store: str | None = None,
     **index_settings: int,
 ) -> SupportGraph:
     """Write node tables, edges, vectors, rejects and the vector index, and read the tables back.
@@ -138,7 +143,8 @@ def build(
     ``root/current`` name it, so a failed build leaves the last one as it was, and ``graph`` may
     have been read from it. Earlier versions stay until they are deleted. Raises when a key is
     used twice. Edges are stored by type, so a walk reads one type only. ``rejects`` (see
-    ``load_rejects``) are stored together with what ``quality_rejects`` finds.
+    ``load_rejects``) are stored together with what ``quality_rejects`` finds. ``store``: see
+    ``embed_tickets``; a build after a few changes then embeds the changed texts only.
     """
     repeated = key_violations(graph).limit(5).collect()
     if repeated:
@@ -149,7 +155,7 @@ def build(
     stored = read_graph(spark, f"{root}/nodes")
     resolved = materialize(resolve_references(stored), "references")
     edges_of(resolved).write.mode("overwrite").partitionBy("edge_type").parquet(f"{root}/edges")
-    refresh_table(embed_tickets(stored, dim, client_factory).ticket, f"{root}/tickets_embedded")
+    refresh_table(embed_tickets(stored, dim, client_factory, store=store).ticket, f"{root}/tickets_embedded")
     full = replace(stored, ticket=spark.read.parquet(f"{root}/tickets_embedded"))
     planes = Planes(dim, **index_settings)
     write_index(build_index(full.ticket, planes), f"{root}/index")

@@ -613,6 +613,15 @@ SELECT id AS doc_id, bucket, n FROM v_counts""",
 SELECT id AS doc_id, bucket, round(weight, 9) AS weight FROM v""",
     "embed_csv_batch": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
 SELECT id AS doc_id, bucket, round(weight, 9) AS weight FROM v""",
+    "embedded_by_content": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
+SELECT id AS doc_id, bucket, round(weight, 9) AS weight FROM v""",
+    "texts_to_embed": """WITH runs AS (
+  SELECT * FROM (VALUES (0, 'en'), (1, 'de'), (2, 'fr'), (3, 'es'), (4, 'all')) AS runs(run, arrived)),
+arrivals AS (
+  SELECT DISTINCT run, arrived, coalesce(text, '') AS text
+  FROM runs JOIN documents ON arrived = 'all' OR arrived = lang),
+first_runs AS (SELECT text, min(run) AS run FROM arrivals GROUP BY text)
+SELECT arrived, count(text) AS n_texts FROM runs LEFT JOIN first_runs USING (run) GROUP BY arrived""",
     "title_rules": f"""WITH records AS (
   SELECT doc_id, CASE WHEN doc_id % 12 <> 11 THEN 'cat_00' || (doc_id % 12) END AS category,
          split_part(text, '.', 1) AS title,

@@ -50,6 +50,7 @@ from supportgraph.operators.search import (
 )
 from supportgraph.operators.triage import topics_of, triage
 from supportgraph.plans import build, retrieve
+from supportgraph.plans.embeddings import embed_by_content, unseen_texts
 from supportgraph.schemas import KEYS
 from supportgraph.sources import conversations as logs
 from supportgraph.sources import tables as stored
@@ -751,6 +752,33 @@ def embed_csv_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def embedded_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents embedded through a store that an earlier run over the same documents filled."""
+    store, rows = fresh_path(spark, "vector-store"), t.documents(spark, sf_dir)
+    embed_by_content(rows, F.col("text"), store, t.DIM)
+    vectors = embed_by_content(rows, F.col("text"), store, t.DIM)
+    return (
+        vectors.select("doc_id", F.posexplode("embedding").alias("bucket", "weight"))
+        .where("weight > 0")
+        .select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("weight", 9).alias("weight"))
+    )
+
+
+@query
+def texts_to_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many texts go to the model when the languages of the documents arrive one after the other,
+    and when all documents arrive once more."""
+    store, rows = fresh_path(spark, "vector-store"), t.table(spark, sf_dir, "documents")
+    counts = []
+    for lang in ["en", "de", "fr", "es", None]:
+        arrived = rows if lang is None else rows.where(F.col("lang") == lang)
+        unseen = unseen_texts(arrived, F.col("text"), store)
+        counts.append(materialize(unseen.agg(F.lit(lang or "all").alias("arrived"), F.count("*").alias("n_texts")), "counts"))
+        embed_by_content(arrived, F.col("text"), store, t.DIM)
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query
 def title_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document sentences as titles and whole texts as descriptions, some with bad categories."""
