@@ -154,22 +154,28 @@ def build_lists(vectors: DataFrame, quantizer: Quantizer, key: str = TICKET_ID)
     return _searchable(vectors, key, quantizer.dim).mapInArrow(encode, schema)
 
 
+def write_quantizer(spark: SparkSession, quantizer: Quantizer, path: str) -> None:
+    row = (*quantizer.centroids.shape, *quantizer.books.shape, quantizer.centroids.tobytes(), quantizer.books.tobytes())
+    names = "lists int, dim int, parts int, codes int, width int, centroids binary, books binary"
+    spark.createDataFrame([row], names).coalesce(1).write.parquet(path)
+
+
+def read_quantizer(spark: SparkSession, path: str) -> Quantizer:
+    r = spark.read.parquet(path).first()
+    centroids = np.frombuffer(r.centroids).reshape(r.lists, r.dim)
+    return Quantizer(centroids, np.frombuffer(r.books).reshape(r.parts, r.codes, r.width))
+
+
 def write_lists(entries: DataFrame, quantizer: Quantizer, path: str) -> None:
     """Store an index: entries sorted by list, so that a lookup reads the row groups of its lists, and
     the quantiser in one row."""
     key = entries.columns[1]
     entries.repartitionByRange("list", key).sortWithinPartitions("list").write.parquet(f"{path}/entries")
-    spark = entries.sparkSession
-    row = (*quantizer.centroids.shape, *quantizer.books.shape, quantizer.centroids.tobytes(), quantizer.books.tobytes())
-    names = "lists int, dim int, parts int, codes int, width int, centroids binary, books binary"
-    spark.createDataFrame([row], names).coalesce(1).write.parquet(f"{path}/quantizer")
+    write_quantizer(entries.sparkSession, quantizer, f"{path}/quantizer")
 
 
 def read_lists(spark: SparkSession, path: str) -> ListIndex:
-    r = spark.read.parquet(f"{path}/quantizer").first()
-    centroids = np.frombuffer(r.centroids).reshape(r.lists, r.dim)
-    books = np.frombuffer(r.books).reshape(r.parts, r.codes, r.width)
-    return ListIndex(spark.read.parquet(f"{path}/entries"), Quantizer(centroids, books))
+    return ListIndex(spark.read.parquet(f"{path}/entries"), read_quantizer(spark, f"{path}/quantizer"))
 
 
 def _sizes(entries: DataFrame, lists: int) -> np.ndarray:

@@ -49,6 +49,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of what lies in a folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return [status.getPath().getName() for status in found]
+
+
 @contextmanager
 def removed_afterwards(spark: SparkSession) -> Iterator[None]:
     """Delete what ``materialize`` writes inside the block once it ends well. What the block

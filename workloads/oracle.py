@@ -607,6 +607,17 @@ FROM documents""",
        round(CAST(value AS DOUBLE), 9) AS value FROM (
   SELECT vec_id AS ticketId, unnest(embedding) AS value,
          generate_subscripts(embedding, 1) AS pos FROM embeddings)""",
+    "index_changes": """WITH now AS (SELECT vec_id % 10 AS kind, embedding FROM embeddings)
+SELECT 'inserted' AS change, count(*) AS n FROM now WHERE kind = 0
+UNION ALL
+SELECT 'changed', count(*) FROM now WHERE kind = 1 AND embedding <> list_reverse(embedding)
+UNION ALL
+SELECT 'deleted', count(*) FROM now WHERE kind = 2""",
+    "index_after_upkeep": """WITH vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+lengths AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS length FROM vectors)
+SELECT ticketId, CAST(pos - 1 AS BIGINT) AS pos, round(value / length, 6) AS value FROM (
+  SELECT vec_id AS ticketId, length, unnest(v) AS value, generate_subscripts(v, 1) AS pos FROM lengths)""",
     "embed_tokens": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}
 SELECT id AS doc_id, bucket, n FROM v_counts""",
     "embed_documents": f"""{_ctes(_buckets('v', 'documents', 'doc_id', 'text'))}

@@ -21,7 +21,7 @@ from supportgraph.functions.text import (
     stamp,
 )
 from supportgraph.operators import messages as talk
-from supportgraph.operators import quality
+from supportgraph.operators import quality, upkeep
 from supportgraph.operators.context import context_rows, solution_cards, with_author_role
 from supportgraph.operators.edges import (
     attach_vectors,
@@ -709,6 +709,37 @@ def vectors_csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _kept_up(spark: SparkSession, sf_dir: str) -> tuple[upkeep.Upkeep, str]:
+    """An index of an earlier state of all vectors, some not there yet, some other than now and some
+    that are gone now, brought to the present state and compacted."""
+    now = _ticket_vectors(spark, sf_dir)
+    kind, key, vector = F.pmod("ticketId", F.lit(10)), F.col("ticketId"), F.col("embedding")
+    before = now.where(kind != 0).select("ticketId", F.when(kind == 1, F.reverse(vector)).otherwise(vector).alias("embedding"))
+    before = before.unionByName(now.where(kind == 2).select((-1 - key).alias("ticketId"), "embedding"))
+    path = fresh_path(spark, "kept-index")
+    upkeep.create(before, train(now, t.DIM), path)
+    done = upkeep.update(now, path)
+    upkeep.compact(spark, path)
+    return done, path
+
+
+@query
+def index_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done, _ = _kept_up(spark, sf_dir)
+    return spark.createDataFrame(
+        [("inserted", done.inserted), ("changed", done.changed), ("deleted", done.deleted)], "change string, n long"
+    )
+
+
+@query
+def index_after_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unit vectors that the index holds in the end."""
+    entries = upkeep.read(spark, _kept_up(spark, sf_dir)[1]).entries
+    return entries.select("ticketId", F.posexplode("embedding")).select(
+        "ticketId", F.col("pos").cast("bigint").alias("pos"), F.round("col", 6).alias("value")
+    )
+
+
 # --- embedding and triage -----------------------------------------------------------------------
 
 
