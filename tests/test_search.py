@@ -3,6 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from supportgraph.operators import search
 from supportgraph.operators.blocks import QUERY_STEP, TopK
 from supportgraph.operators.search import (
     Planes,
@@ -175,3 +176,51 @@ def test_recall(indexed):
     rates = recall(approx_topk(left, index, right, 5), exact).collect()
     assert len(rates) == 25
     assert sum(r.found for r in rates) / sum(r.expected for r in rates) > 0.9
+
+
+def test_copies_are_searched_once(spark, monkeypatch):
+    stored, blocks = [], search._blocks
+    monkeypatch.setattr(search, "_blocks", lambda *a: stored.append(blocks(*a)) or stored[-1])
+    queries, tickets = random_rows("q", 4, 8, copies=300), random_rows("t", 6, 9, copies=300)
+    queries.append(queries[0])  # an id that comes twice
+    left, right = vectors(spark, "query_id", queries), vectors(spark, "ticketId", tickets)
+    assert as_set(exact_topk(left.limit(304), right, 3, DIM)) == brute_force(queries[:304], tickets, 3)
+    sizes = {r.side: r.n for r in stored[0].groupBy("side").agg(F.sum("rows").alias("n")).collect()}
+    assert sizes == {0: 4, 1: 5 + 3}
+    twice = exact_topk(left, right, 3, DIM).where("query_id = 'q000'").collect()
+    best = brute_force(queries[:1], tickets, 1).pop()
+    assert sorted((r["rank"], r.ticketId) for r in twice)[:2] == [(1, best[1]), (2, best[1])]
+
+
+def test_cells_of_any_size_give_the_same(spark, monkeypatch):
+    for name, size in [("SLICE_BYTES", 8 * DIM * 20), ("STREAM_BYTES", 8 * DIM * 9), ("BLOCK_ROWS", 4), ("TASK_PAIRS", 50)]:
+        monkeypatch.setattr(search, name, size)
+    queries, tickets = random_rows("q", 30, 1), random_rows("t", 90, 2)
+    found = exact_topk(vectors(spark, "query_id", queries), vectors(spark, "ticketId", tickets), 5, DIM, 0.5)
+    assert as_set(found) == brute_force(queries, tickets, 5, 0.5)
+
+
+def test_small_groups_of_queries_do_not_copy_the_tickets(spark, monkeypatch):
+    cells, explode = [], F.explode
+    monkeypatch.setattr(F, "explode", lambda c: cells.append(c) or explode(c))
+    left, right = vectors(spark, "query_id", random_rows("q", 64, 1)), vectors(spark, "ticketId", random_rows("t", 64, 2))
+    exact_topk(left, right, 2, DIM, group_bytes=8 * DIM)
+    copies = spark.createDataFrame([(1, 0)], "side int, block long").select(F.size(cells[0])).first()[0]
+    assert copies == 1
+    streams, slices = search._grid(600_000, 600_000, 64, 12)
+    assert streams * slices >= 36 and (streams + slices) * 600_000 * 64 * 8 < 5 << 30
+
+
+def test_single_precision_misses_nothing():
+    random = np.random.default_rng(3)
+    middle = random.normal(size=64)
+    rows = middle + 1e-6 * random.normal(size=(3000, 64))  # scores that differ far below its precision
+    units = rows / np.linalg.norm(rows, axis=1)[:, None]
+    best = TopK(units[:700], 4, 0.2, False)
+    for low in range(0, 3000, 700):
+        best.push(pa.array(range(low, min(low + 700, 3000))), units[low : low + 700])
+    position, score, name = best.result()
+    scores = np.round(units[:700] @ units.T, 9)
+    want = np.lexsort((np.broadcast_to(np.arange(3000), scores.shape), -scores))[:, :4]
+    found = np.lexsort((name, -score, position))
+    assert (name[found].reshape(700, 4) == want).mean() > 0.999  # a rounding may go the other way
