@@ -213,3 +213,25 @@ def test_references_are_looked_up_once(spark, graph):
     plan = resolved._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join LeftOuter") == 1
     assert edges_of(resolved).count() + dangling_of(resolved).count() == resolved.count()
+
+
+def test_references_are_not_shuffled_where_all_or_few_are_unknown(spark, graph):
+    from supportgraph.operators.edges import build_edges, resolve_references
+
+    plan = resolve_references(graph)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    one = build_edges(graph).where("edge_type = 'SUBMITS'")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in one  # a walk along one kind reads that kind only
+
+
+def test_a_node_many_starts_reach_is_one_row_on_its_way(spark, monkeypatch):
+    from supportgraph.operators import edges as module
+
+    written, keep = [], module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name: written.append((name, keep(df, name))) or written[-1][1])
+    starts = [("a", f"s{i:03d}") for i in range(150)]
+    links = [("a", s, "b", "hub", "E") for _, s in starts] + [("b", "hub", "c", f"n{i}", "E") for i in range(20)]
+    edges = spark.createDataFrame(links, "src_label string, src string, dst_label string, dst string, edge_type string")
+    found = module.walk(spark.createDataFrame(starts, "label string, node string").coalesce(1), edges, 2)
+    assert found.count() == 150 * 21
+    assert sum(df.count() for name, df in written if name == "walk") < 150 + 21 * 150 / 8
