@@ -19,6 +19,7 @@ TURNS = "array<struct<content:string,role:string>>"
 LINE = "conversation string, place int, role string, content string"
 ROWS = "conv_id string, turn int, role string, content string"
 FOLDER = "conv_id="
+COMMIT = "mapreduce.fileoutputcommitter.algorithm.version"
 # Fixed value: the folder name that Spark gives to a null.
 NO_ID = "__HIVE_DEFAULT_PARTITION__"
 
@@ -105,6 +106,7 @@ def export_conversation_lists(messages: DataFrame, path: str) -> None:
     A list cannot be split over files, so one task writes a conversation. It writes an element per
     line as the sort delivers them and holds no more than one, so a conversation may have any length.
     An id cannot be an empty text, which no folder can be called; a null id is a folder of its own.
+    Tasks put their own folders in place: the driver would move one after the other.
     """
     same = Window.partitionBy("conv_id").orderBy("turn", "content", "role")
     element = F.to_json(F.struct("content", "role"))
@@ -125,7 +127,7 @@ def export_conversation_lists(messages: DataFrame, path: str) -> None:
             F.when(F.lead(F.lit(1)).over(same).isNull(), "]").otherwise(","),
         ).alias("value"),
     )
-    lines.write.partitionBy("conv_id").text(path)
+    lines.write.option(COMMIT, "2").partitionBy("conv_id").text(path)
 
 
 def _list_files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
