@@ -96,3 +96,40 @@ def test_codes_approximate_the_vectors():
     rough = query @ quantizer.centroids[lists].T + sum(quantizer.tables(query)[:, j].take(codes[:, j], axis=1) for j in (0, 1))
     # Six bits for eight dimensions leave no more than this share of a normal residual.
     assert np.abs(rough - query @ units.T).mean() < 2 ** (-6 / 8) * np.abs(query @ left.T).mean()
+
+
+def test_of_equal_tickets_the_first_are_found(spark):
+    """More copies in a list than its short list holds."""
+    values = np.concatenate([clustered(60, 7), np.repeat(clustered(1, 8), 300, axis=0)])[::-1]
+    tickets = table(spark, "ticketId", values)
+    queries = tickets.withColumnRenamed("ticketId", "query_id")
+    quantizer = ivf.train(tickets, DIM, lists=4)
+    index = ivf.ListIndex(ivf.build_lists(tickets, quantizer), quantizer)
+    assert rows(ivf.ivf_topk(queries, index, 3, probes=4)) == rows(exact_topk(queries, tickets, 3, DIM))
+
+
+def test_many_shelves_and_tasks_give_the_same_hits(spark, data, monkeypatch):
+    tickets, queries, index = data
+    one = rows(ivf.ivf_topk(queries, index, 5))
+    monkeypatch.setattr(ivf, "SHELF_BYTES", 300 * 8 * DIM)
+    monkeypatch.setattr(ivf, "TASK_PAIRS", 1000)
+    assert rows(ivf.ivf_topk(queries, index, 5)) == one
+    found = ivf.ivf_topk(queries, index, 5, 0.9, probes=10**6, refine=10**6)
+    assert rows(found) == rows(exact_topk(queries, tickets, 5, DIM, 0.9))
+
+
+def test_shelves_hold_neighbours_and_no_more_than_fits():
+    centres = np.array([[10.0 * (i % 4), i % 3] for i in range(40)])
+    shelf = ivf.shelves(centres, np.ones(40), 12)
+    assert np.bincount(shelf).max() <= 12
+    assert all(len({tuple(c)[0] for c in centres[shelf == s]}) == 1 for s in set(shelf))
+    assert list(ivf.shelves(centres[:1], np.array([99.0]), 12)) == [0]
+
+
+def test_a_query_is_sent_to_a_shelf_once(spark, data, monkeypatch):
+    """Whatever the number of lists it looks into there."""
+    _, queries, index = data
+    sent, union = [], type(queries).unionByName
+    monkeypatch.setattr(type(queries), "unionByName", lambda own, other: sent.append(other.count()) or union(own, other))
+    ivf.ivf_topk(queries, index, 5, probes=30)
+    assert sent == [200]
