@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import ceil
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +11,26 @@ from supportgraph.functions.rules import CATEGORY_CODES, FALLBACK_TITLE, analysi
 from supportgraph.functions.similarity import norm
 
 
+#: Rows whose keys a task counts; tasks that share the rows of one key.
+ROWS_OF_A_TASK, SHARES = 1 << 19, 32
+
+
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
-    """Keys that occur more than once, with their counts. Counts are combined before the shuffle,
-    so a key that fills a third of the table is one row per task."""
-    return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that occur more than once, with their counts.
+
+    A table that all cores can hold the keys of is counted before the shuffle, so a key that fills a
+    third of it is one row per task. Of a larger one, rows are dealt to as many tasks as its size asks
+    for, so what a task holds does not grow with the table; a key's rows are dealt in SHARES.
+    """
+    rows, cores = df.count(), df.sparkSession.sparkContext.defaultParallelism
+    if rows <= cores * ROWS_OF_A_TASK:
+        return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    tasks = ceil(rows / ROWS_OF_A_TASK)
+    share = F.pmod(F.monotonically_increasing_id(), F.lit(SHARES)).alias("__share")
+    dealt = df.select(*keys, share).repartition(tasks, *keys, "__share")
+    counts = dealt.groupBy(*keys, "__share").agg(F.count("*").alias("n")).drop("__share")
+    total = F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("n")  # never null, like a count
+    return counts.repartition(tasks, *keys).groupBy(*keys).agg(total).where("n > 1")
 
 
 def split_duplicates(df: DataFrame, *keys: str) -> tuple[DataFrame, DataFrame]:

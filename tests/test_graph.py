@@ -3,6 +3,7 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
+from supportgraph.operators import quality
 from supportgraph.operators.edges import (
     attach_vectors,
     build_edges,
@@ -104,6 +105,21 @@ def test_duplicates(spark):
     assert require_unique(kept, "id") is kept
 
 
+def test_large_tables_are_counted_by_more_tasks(spark, monkeypatch):
+    """Before, the number of tasks stayed, whatever the number of keys; equal and null keys are dealt, too."""
+    rows = [(i % 400, "x") for i in range(700)] + [(7, "x")] * 300 + [(None, "x"), (None, "x"), (5, None)]
+    df = spark.createDataFrame(rows, "id int, part string")
+    few = duplicate_keys(df, "id", "part")
+    monkeypatch.setattr(quality, "ROWS_OF_A_TASK", 20)
+    many = duplicate_keys(df, "id", "part")
+    assert many.schema == few.schema
+    assert sorted(map(str, many.collect())) == sorted(map(str, few.collect()))
+    assert many.rdd.getNumPartitions() == 51
+    kept, held = split_duplicates(df, "id", "part")
+    assert (kept.count(), held.count()) == (103, 900)
+
+
+
 def test_vector_checks(spark):
     rows = [
         ("ok", [1.0, 0.0]), ("short", [1.0]), ("zero", [0.0, 0.0]), ("none", None),
