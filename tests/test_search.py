@@ -224,3 +224,60 @@ def test_single_precision_misses_nothing():
     want = np.lexsort((np.broadcast_to(np.arange(3000), scores.shape), -scores))[:, :4]
     found = np.lexsort((name, -score, position))
     assert (name[found].reshape(700, 4) == want).mean() > 0.999  # a rounding may go the other way
+
+
+def test_first_floors_reach_every_cell(spark, monkeypatch):
+    for name, size in [("SLICE_BYTES", 8 * DIM * 20), ("SEED_BYTES", 8 * DIM * 12), ("BLOCK_ROWS", 4), ("TASK_PAIRS", 50)]:
+        monkeypatch.setattr(search, name, size)
+    written, kept = {}, search.materialize
+    monkeypatch.setattr(search, "materialize", lambda df, name: written.setdefault(name, kept(df, name)))
+    queries, tickets = random_rows("q", 30, 1), random_rows("t", 90, 2)
+    found = exact_topk(vectors(spark, "query_id", queries), vectors(spark, "ticketId", tickets), 2, DIM, 0.5)
+    assert as_set(found) == brute_force(queries, tickets, 2, 0.5)
+    blocks = written["floors"].collect()
+    assert sum(r.rows for r in blocks) == 30  # every query goes on, with or without a floor
+    floors = np.concatenate([np.frombuffer(r.floors) for r in blocks])
+    best = {}
+    for q, _, place, score in brute_force(queries, tickets, 2):
+        best[q] = min(best.get(q, 1), score)
+    known = dict(written["asked"].collect())
+    of = np.concatenate([r.ids0 for r in blocks])
+    by_kind = {known[q]: score for q, score in best.items()}
+    assert (floors > 0.5).mean() > 0.5 and all(f <= max(by_kind[i], 0.5) + 1e-6 for i, f in zip(of, floors))
+
+
+def test_cells_have_a_bounded_number_of_pairs():
+    for dim, rows in [(4, 3_000_000), (64, 3_000_000), (768, 500_000)]:
+        streams, slices = search._grid(rows, rows, dim, 12)
+        assert rows * rows / streams / slices <= search.MOST_PAIRS
+    assert search._grid(1_000, 1_000, 64, 12) == (1, 1)
+
+
+def test_memory_of_codes_does_not_grow_with_a_slice(spark, monkeypatch):
+    monkeypatch.setattr(search, "CODE_ROWS", 16)
+    rows, codes = random_rows("t", 90, 3), Planes.codes
+
+    def at_most(self, units):
+        assert len(units) <= 16, "products with all planes of a whole slice"
+        return codes(self, units)
+
+    left, right = vectors(spark, "query_id", rows), vectors(spark, "ticketId", rows)
+    entries = build_index(right, PLANES).localCheckpoint()
+    index = TicketIndex(entries, PLANES)
+    wanted = entries.select("ticketId").distinct().localCheckpoint()
+    monkeypatch.setattr(search, "candidates", lambda *a: wanted)
+    monkeypatch.setattr(Planes, "codes", at_most)
+    found = approx_topk(left, index, right, 1)
+    assert {(r.query_id, r.ticketId) for r in found.collect()} == {(t, t) for t, _ in rows}
+
+
+def test_known_floors_lose_nothing():
+    units = np.random.default_rng(5).normal(size=(400, 16))
+    units /= np.linalg.norm(units, axis=1)[:, None]
+    plain = TopK(units, 3, None, True)
+    plain.push(pa.array(range(400)), units)
+    want = sorted(zip(*(x.tolist() for x in plain.result())))
+    seeded = TopK(units, 3, None, True, floors=plain.floor)
+    seeded.push(pa.array(range(400)), units)
+    got = sorted(zip(*(x.tolist() for x in seeded.result())))
+    assert [(q, n) for q, _, n in got] == [(q, n) for q, _, n in want]
