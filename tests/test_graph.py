@@ -251,3 +251,31 @@ def test_a_node_many_starts_reach_is_one_row_on_its_way(spark, monkeypatch):
     found = module.walk(spark.createDataFrame(starts, "label string, node string").coalesce(1), edges, 2)
     assert found.count() == 150 * 21
     assert sum(df.count() for name, df in written if name == "walk") < 150 + 21 * 150 / 8
+
+
+def test_a_step_of_many_links_is_several_jobs_that_drop_their_shuffles(spark, monkeypatch):
+    import random
+
+    from supportgraph.operators import edges as module
+
+    random.seed(most := 3)
+    nodes = [("xyz"[i % 3], f"n{i // 3}") for i in range(60)]
+    pairs = [(random.choice(nodes), random.choice(nodes)) for _ in range(90)] + [(nodes[0], n) for n in nodes[:30]]
+    rows = [(a[1], b[1], "E", a[0], b[0]) for a, b in pairs]
+    edges = spark.createDataFrame(rows, "src string, dst string, edge_type string, src_label string, dst_label string")
+    starts = [nodes[0], nodes[5], nodes[7]]
+    settings, jobs, keep = set(), [], module.materialize
+
+    def watch(df, name):
+        settings.add(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        jobs.append(name)
+        return keep(df, name)
+
+    monkeypatch.setattr(module, "materialize", watch)
+    monkeypatch.setattr(module, "JOB_LINKS", 60)
+    found = module.walk(spark.createDataFrame(starts, "label string, node string"), edges, most, direction="both")
+    links = pairs + [(b, a) for a, b in pairs]
+    got = [((r.start_label, r.start), (r.label, r.node), r.depth) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(s, n, d) for s in starts for n, d in plain_walk(s, links, most)}
+    assert settings == {"true"} and jobs.count("walk") > most + 1
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
