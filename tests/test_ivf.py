@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,3 +134,40 @@ def test_a_query_is_sent_to_a_shelf_once(spark, data, monkeypatch):
     monkeypatch.setattr(type(queries), "unionByName", lambda own, other: sent.append(other.count()) or union(own, other))
     ivf.ivf_topk(queries, index, 5, probes=30)
     assert sent == [200]
+
+
+def test_nearest_is_that_of_double_precision():
+    """Centres that differ by less than single precision can tell, and equal ones."""
+    random = np.random.default_rng(4)
+    rows, centres = random.normal(size=(500, DIM)), random.normal(size=(40, DIM))
+    centres = np.concatenate([centres, centres + 1e-9 * random.normal(size=centres.shape), centres])
+    want = np.array([(centres @ r - (centres**2).sum(axis=1) / 2).argmax() for r in rows])
+    got = ivf.nearest(rows, centres)
+    away = ((rows - centres[got]) ** 2).sum(axis=1) - ((rows - centres[want]) ** 2).sum(axis=1)
+    assert (got < 80).all() and away.max() < 1e-12
+
+
+def test_training_in_tasks_gives_the_same(spark, data, monkeypatch):
+    tickets, _, index = data
+    monkeypatch.setattr(ivf, "DRIVER_PAIRS", 0)
+    rounds, deal = [], ivf._nearest_in_tasks
+    monkeypatch.setattr(ivf, "_nearest_in_tasks", lambda *args: lambda centres, find=deal(*args): rounds.append(len(centres)) or find(centres))
+    found = ivf.train(tickets, DIM)
+    assert len(rounds) == 13
+    assert np.array_equal(found.centroids, index.quantizer.centroids) and np.array_equal(found.books, index.quantizer.books)
+
+
+def test_a_cell_is_looked_at_by_many_queries_at_once_and_ties_of_codes_are_all_in(monkeypatch):
+    """With one code all tickets of a list tie, so its short list of five holds them all."""
+    values = clustered(3000, 2)
+    units = values / np.linalg.norm(values, axis=1)[:, None]
+    own = ivf.Quantizer(ivf.kmeans(units, 30, True, 1), np.zeros((2, 1, 8)))
+    lists, codes = own.encode(units)
+    shelf = ivf.Shelf(lists, lists, pa.array(np.arange(3000)), units, codes, own)
+    calls, look = [], ivf.Shelf._look
+    monkeypatch.setattr(ivf.Shelf, "_look", lambda self, cell, who, found, short: calls.append(cell) or look(self, cell, who, found, short))
+    who, cells = np.repeat(np.arange(3000), 30), np.tile(np.arange(30), 3000)
+    row, scores, names = shelf.best(units, who, cells, 3, 5, None, False)
+    assert len(calls) <= 3 * 30
+    exact = np.sort(np.round(units @ units.T, 9), axis=1)[:, ::-1][:, :3]
+    assert np.abs(scores.reshape(-1, 3) - exact).max() < 2e-9
